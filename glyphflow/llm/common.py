@@ -118,3 +118,66 @@ def _join(total: np.ndarray | None, length: int, acc: np.ndarray, done: int, bas
     n = min(len(total), len(acc) - length)
     p = np.uint64(pow(int(base), done, 1 << 64))
     return total[:n] * p + acc[length : length + n]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first `keys` columns; the rows come sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+#: Bits of a bitmap(): 16 MB, whatever the number of hashes.
+BITMAP_BITS = 27
+
+
+def bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A set of the 64-bit numbers of a column, as 2^bits bits by their lowest bits.
+
+    Of fixed size, so it can be broadcast however long the column is. Numbers of the set
+    are always found; others may be found too, the more the longer the column.
+    """
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = df.select(F.shiftright(low, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit numbers are in a bitmap."""
+    x = x.view(np.uint64)
+    low = x & np.uint64(len(words) * 64 - 1)
+    return (words[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """v and root of every vertex of edges(a, b): root is the smallest vertex of v's component.
+
+    Rounds of contraction: every vertex goes to its smallest neighbour if that is smaller,
+    chains are followed, edges are renamed and doubles dropped, until no edge is left. The
+    vertices at least halve in few rounds; no vertex's neighbours meet in one task.
+    """
+    left = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
+        to = checkpointed(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("to")))
+        for _ in range(2):
+            to = checkpointed(to.join(to.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to")))
+        steps.append(to)
+        at = lambda name: to.select(F.col("v").alias(name), F.col("to").alias(f"to_{name}"))  # noqa: B023, E731
+        renamed = left.join(at("a"), "a").join(at("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        left = checkpointed(renamed.filter("a < b").distinct())
+    if not steps:
+        return left.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    out = steps[0].select("v", F.col("to").alias("root"))
+    for to in steps[1:]:
+        out = out.join(to.select(F.col("v").alias("root"), F.col("to").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
+    return checkpointed(out)

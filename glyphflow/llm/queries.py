@@ -7,8 +7,9 @@ from .licenses import op5_license_scan
 from .packing import op4_best_fit_packing
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op7_quality_rules
+from .substring_dedup import op9_substring_dedup
 from .token_count import op2_token_counts
 from .vector_search import ORACLE as OP3, op3_exact_top_k
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_top_k, op4_best_fit_packing, op5_license_scan, op7_quality_rules, op8_quality_classifier, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_top_k, op4_best_fit_packing, op5_license_scan, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_bpe_round_trip)}
 ORACLES = {"op3_exact_top_k": OP3}

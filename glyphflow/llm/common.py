@@ -181,3 +181,27 @@ def components(edges: DataFrame) -> DataFrame:
     for to in steps[1:]:
         out = out.join(to.select(F.col("v").alias("root"), F.col("to").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
     return checkpointed(out)
+
+
+#: Ids are broadcast, as 64-bit integers, up to this number.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, *, inside: bool) -> DataFrame:
+    """Rows of docs whose doc_id is (inside) or isn't (rows with null doc_id too) in the column doc_id of `ids`.
+
+    A short list is broadcast and the texts stay where they are; a long one is joined by a shuffle.
+    """
+    few = ids.select("doc_id").limit(BROADCAST_IDS + 1).toArrow()
+    if few.num_rows > BROADCAST_IDS:
+        return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi" if inside else "left_anti").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(np.unique(few.column(0).to_numpy()))
+    at = docs.columns.index("doc_id")
+
+    def keep(batches):
+        for b in batches:
+            col = b.column(at)
+            found = np.isin(pc.fill_null(col, 0).to_numpy(zero_copy_only=False), sent.value) & pc.is_valid(col).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(found if inside else ~found))
+
+    return docs.mapInArrow(keep, docs.schema)

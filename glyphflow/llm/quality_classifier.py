@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, slices, table
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 BUCKETS, DIM = 1 << 17, 16
@@ -200,3 +200,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+    margins, bias = (model := fit(docs, labels)).margins(), float(model.bias[1] - model.bias[0])
+    sent = docs.sparkSession.sparkContext.broadcast((margins, bias))
+    name, at = sha256(margins.tobytes() + str(bias).encode()).hexdigest(), docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            for b in slices(batch, at):
+                if name not in _scorers:
+                    _scorers.clear()
+                    _scorers[name] = Scorer(*sent.value)
+                texts = [(x or "").encode("utf-8") for x in b.column(at).to_pylist()]
+                yield b.filter(pa.array(_scorers[name](texts) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

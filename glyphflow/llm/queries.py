@@ -8,9 +8,10 @@ from .ngram_join import op6_ngram_jaccard_join
 from .packing import op4_best_fit_packing
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op7_quality_rules
+from .secret_scan import op1_secret_scan
 from .substring_dedup import op9_substring_dedup
 from .token_count import op2_token_counts
 from .vector_search import ORACLE as OP3, op3_exact_top_k
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_top_k, op4_best_fit_packing, op5_license_scan, op6_ngram_jaccard_join, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_exact_top_k, op4_best_fit_packing, op5_license_scan, op6_ngram_jaccard_join, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_bpe_round_trip)}
 ORACLES = {"op3_exact_top_k": OP3}

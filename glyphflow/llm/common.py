@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished steps now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
     if not batch.num_rows:
@@ -66,20 +73,68 @@ def map_texts(docs: DataFrame, rows: Callable, schema: str, *, text: str = "text
     return docs.select(*[F.col(k) for k in keys], col.alias("text")).mapInArrow(run, schema)
 
 
-def hashed(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words. cache: kept between calls; cleared when it grows large."""
-    import xxhash
-
-    if len(cache) > 1_000_000:
-        cache.clear()
-    get, h = cache.get, xxhash.xxh3_64_intdigest
-    out = [get(w) for w in words]
-    if None in out:
-        for i, x in enumerate(out):
-            if x is None:
-                w = words[i]
-                out[i] = cache[w] = h(w)
-    return np.array(out, dtype=np.uint64)
+#: Texts are hashed in runs of about so many bytes.
+RUN_BYTES = 1 << 20
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Of each byte, the number it stands for; and the odd base of the polynomial over them.
+_BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE, _INVERSE = 0xC6BC279692B5CC8B, pow(0xC6BC279692B5CC8B, -1, 1 << 64)
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
+    while len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _powers[i] = np.concatenate([_powers[i], _powers[i] * np.uint64(pow(base, len(_powers[i]), 1 << 64))])
+    return _powers
+
+
+def _run_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a run."""
+    x = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_BLANK[x], [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), starts
+    power, inverse = _grown(len(x) + 1)
+    total = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[x] * power[: len(x)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """64-bit hashes of the words (between ASCII white space) of texts, all in numpy.
+
+    Yields (i, hashes, bounds) for runs of texts: the words of text i + j are
+    hashes[bounds[j]:bounds[j + 1]]. A word's hash depends on its bytes alone. Long
+    texts are hashed in parts cut at white space.
+    """
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > RUN_BYTES:
+            t, parts, start = texts[at], [], 0
+            while start < len(t):
+                end = min(len(t), start + RUN_BYTES)
+                while end < len(t) and not _BLANK[t[end]]:
+                    nearest = [p for p in (t.find(c, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if p >= 0] if end - start <= 2 * RUN_BYTES else []
+                    end = min(nearest, default=len(t))
+                parts.append(_run_hashes(t[start:end])[0])
+                start = end
+            h = np.concatenate(parts)
+            yield at, h, np.array([0, len(h)])
+            at += 1
+            continue
+        n, size = at, 0
+        while n < len(texts) and size + len(texts[n]) < RUN_BYTES:
+            size += len(texts[n]) + 1
+            n += 1
+        n = max(n, at + 1)
+        h, starts = _run_hashes(b" ".join(texts[at:n]))
+        yield at, h, np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[at:n]])]))
+        at = n
 
 
 def mix(x: np.ndarray) -> np.ndarray:

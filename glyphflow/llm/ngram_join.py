@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, checkpointed, components, grouped, hashed, in_bitmap, map_texts, mix, slices, table, windows_hash
+from .common import bitmap, checkpointed, components, grouped, in_bitmap, map_texts, mix, release, slices, table, windows_hash, word_hashes
 
 SIZE, PERCENT, COMMON = 5, 75, 32
 LEAF = 8
@@ -41,16 +41,17 @@ CHUNK = 512
 FLUSH = 2_000_000
 #: Bytes kept of a hash when shingles are counted (a shingle may only seem more common).
 COUNTED = 6
-_words: dict[bytes, int] = {}
 
-
-def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hashed(words, _words)
-    return np.unique(windows_hash(h, min(size, len(words))))
+def shingle_sets(texts: list[bytes], size: int = SIZE) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    for _, h, bounds in word_hashes([t.lower() for t in texts]):
+        w = windows_hash(h, size)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= size:
+                s = np.sort(w[a : b - size + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            else:
+                yield windows_hash(h[a:b], b - a) if b > a else np.empty(0, dtype=np.uint64)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -60,13 +61,13 @@ def node_of(s: np.ndarray) -> int:
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in 2^k groups by their lowest bits, about four shingles a group."""
-    groups = 1 << min(10, max(4, (len(s) // 4).bit_length()))
+    """Counts of a set's shingles in 2^k groups by their lowest bits, one or two shingles a group (more beyond 65536 groups)."""
+    groups = 1 << min(16, max(4, (len(s) // 2).bit_length()))
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
-    return p.reshape(-1, groups).sum(axis=0)
+    return p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def may_link(bound: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarray:
@@ -116,9 +117,8 @@ def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def rows(ids, texts):
         out = []
-        for t in texts:
-            s = shingles(t, size)
-            out.append((len(s), node_of(s), point_of(s).astype("<i4").tobytes()))
+        for s in shingle_sets(texts, size):
+            out.append((len(s), node_of(s), point_of(s).astype("<u2").tobytes()))
         return (pa.array(ids, pa.int64()), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))])
 
     return map_texts(docs, rows, "doc_id long, n_shingles long, node long, point binary", binary=True)
@@ -144,8 +144,7 @@ def common_shingles(docs: DataFrame, size: int, common: int) -> DataFrame:
 
         for batch in batches:
             for b in slices(batch, 0):
-                for t in b.column(0).to_pylist():
-                    s = shingles(t or b"", size)
+                for s in shingle_sets([t or b"" for t in b.column(0).to_pylist()], size):
                     held.append(s)
                     n += len(s)
                 if n > FLUSH:
@@ -167,21 +166,22 @@ def common_shingles(docs: DataFrame, size: int, common: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "key long")
 
 
-def blocks(docs: DataFrame, size: int, percent: int, common: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of other shingles as (block, node); members of common shingles' blocks as (key, node, rest), rest: how many shingles of the node's prefix aren't common."""
+def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
+    """Blocks of other shingles as (true, block, node, null); members of common shingles' blocks as (false, key, node, rest), rest: how many shingles of the node's prefix aren't common."""
     spark = docs.sparkSession
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(bitmap(checkpointed(common_shingles(docs, size, common)), "key"))
+    release(spark)
 
     def emit(batches):
-        names = ["bucket", "keys", "nodes", "rest"]
+        """Packed runs of (key, node), of each bucket of keys; and of (key, node, rest) of common keys, dealt by node."""
         keys: list[np.ndarray] = []
         nodes: list[tuple[int, int]] = []
-        hot: list[tuple[int, int, int]] = []
+        hot: list[np.ndarray] = []
         n = 0
 
         def made() -> Iterator[pa.RecordBatch]:
-            """Packed runs of (key, node) by bucket; then the members of common blocks, one a row."""
+            rows: list[tuple] = []
             if keys:
                 k = np.concatenate(keys)
                 v = np.repeat(np.array([x for x, _ in nodes], dtype=np.int64), [c for _, c in nodes])
@@ -189,16 +189,13 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> tuple[DataF
                 k, v = k[order], v[order]
                 edges = np.searchsorted(k, (np.arange(buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
                 edges = np.append(edges, len(k))
-                used = np.flatnonzero(np.diff(edges))
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([k[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary()), pa.array([v[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary()), pa.array([None] * len(used), pa.int64())], names=names)
-            for at in range(0, len(hot), 100_000):
-                some = hot[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(some), pa.int64()), pa.array([x[0].to_bytes(8, "little", signed=True) for x in some], pa.binary()), pa.array([x[1].to_bytes(8, "little", signed=True) for x in some], pa.binary()), pa.array([x[2] for x in some], pa.int64())], names=names)
+                rows += [(int(i), True, k[edges[i] : edges[i + 1]].tobytes(), v[edges[i] : edges[i + 1]].tobytes(), None) for i in np.flatnonzero(np.diff(edges))]
+            rows += [(int(x[0, 1] % buckets), False, x[:, 0].tobytes(), x[:1, 1].tobytes(), int(x[0, 2])) for x in hot]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "cold", "keys", "nodes", "rest"])
 
         for batch in batches:
             for b in slices(batch, 0):
-                for t in b.column(0).to_pylist():
-                    s = shingles(t or b"", size)
+                for s in shingle_sets([t or b"" for t in b.column(0).to_pylist()], size):
                     if not len(s):
                         continue
                     node, take = node_of(s), len(s) + (-percent * len(s) // 100) + 1
@@ -207,43 +204,50 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> tuple[DataF
                     if len(own):
                         keys.append(own)
                         nodes.append((node, len(own)))
-                        n += len(own)
                     if len(own) < take:
-                        hot += [(x, node, len(own)) for x in s[is_common][: take - len(own)].view(np.int64).tolist()]
-                if n + len(hot) > FLUSH:
+                        x = s[is_common][: take - len(own)].view(np.int64)
+                        hot.append(np.column_stack([x, np.full(len(x), node), np.full(len(x), len(own))]))
+                    n += take
+                if n > FLUSH:
                     yield from made()
                     keys, nodes, hot, n = [], [], [], 0
         yield from made()
 
     def gather(batches):
-        for rows in grouped(batches, 1):
-            k = np.frombuffer(b"".join([r[1] for r in rows]), "<u8")
-            v = np.frombuffer(b"".join([r[2] for r in rows]), "<i8")
+        names = ["cold", "block", "nodes", "rest"]
+        for rows in grouped(batches, 2):
+            if not rows[0][1]:
+                seen = {(r[3], r[2]): r for r in rows}.values()
+                keys = [np.frombuffer(r[2], "<i8") for r in seen]
+                each = [len(k) for k in keys]
+                node = np.repeat(np.array([int.from_bytes(r[3], "little", signed=True) for r in seen], dtype=np.int64), each)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * sum(each)), pa.array(np.concatenate(keys)), pa.array([x.tobytes() for x in node], pa.binary()), pa.array(np.repeat(np.array([r[4] for r in seen]), each), pa.int64())], names=names)
+                continue
+            k = np.frombuffer(b"".join([r[2] for r in rows]), "<u8")
+            v = np.frombuffer(b"".join([r[3] for r in rows]), "<i8")
             order = np.lexsort((v, k))
             k, v = k[order], v[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
             k, v = k[new], v[new]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             ends = np.append(first[1:], len(k))
-            made = {v[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True) if b - a > 1}
+            several = ends - first > 1
+            made = list({v[a:b].tobytes() for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True)})
             ids = [node_of(np.frombuffer(x, "<u8")) for x in made]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(made), pa.binary())], names=["block", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(ids), pa.bool_()), pa.array(ids, pa.int64()), pa.array(made, pa.binary()), pa.array([None] * len(ids), pa.int64())], names=names)
 
     def unpacked(batches):
         for b in batches:
-            members = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in members]), pa.int64()), pa.array(np.concatenate([*members, np.empty(0, "<i8")]), pa.int64())], names=["block", "node"])
-
-    def read(batches):
-        for b in batches:
-            number = lambda i: pa.array(np.frombuffer(b"".join(b.column(i).to_pylist()), "<i8"))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([number(0), number(1), b.column(2)], names=["key", "node", "rest"])
+            members = [np.frombuffer(x, "<i8") for x in b.column("nodes").to_pylist()]
+            at = np.repeat(np.arange(len(members)), [len(x) for x in members])
+            yield pa.RecordBatch.from_arrays([b.column("cold").take(pa.array(at)), b.column("block").take(pa.array(at)), pa.array(np.concatenate([*members, np.empty(0, "<i8")]), pa.int64()), b.column("rest").take(pa.array(at))], names=["cold", "block", "node", "rest"])
 
-    emitted = checkpointed(docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "bucket long, keys binary, nodes binary, rest long"))
-    packed = emitted.filter("bucket >= 0").select("bucket", "keys", "nodes").repartition("bucket").sortWithinPartitions("bucket")
-    cold = packed.mapInArrow(gather, "block long, members binary").dropDuplicates(["block"]).mapInArrow(unpacked, "block long, node long")
-    hot = emitted.filter("bucket < 0").select("keys", "nodes", "rest").mapInArrow(read, "key long, node long, rest long").distinct()
-    return cold, hot
+    packed = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, rest long")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "cold")
+    found = checkpointed(dealt.mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"))
+    release(spark)
+    one = found.filter("cold").dropDuplicates(["block"]).unionByName(found.filter("not cold"))
+    return checkpointed(one.mapInArrow(unpacked, "cold boolean, block long, node long, rest long"))
 
 
 PAIR = "a long, b long"
@@ -259,7 +263,7 @@ def block_pairs(cold: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def search(batches):
         for rows in grouped(batches, 1):
             node, size = [r[1] for r in rows], [r[2] for r in rows]
-            p = [np.frombuffer(r[3], "<i4") for r in rows]
+            p = [np.frombuffer(r[3], "<u2") for r in rows]
             tree, found = RTree(p, size), []
             for i in range(len(rows)):
                 found += [(node[i], node[j]) for j in tree.query(p[i], size[i], percent).tolist() if j > i]
@@ -277,7 +281,7 @@ def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int)
         for b in batches:
             found = []
             for a, n, p, c, m, q in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                p, q = np.frombuffer(p, "<i4"), np.frombuffer(q, "<i4")
+                p, q = np.frombuffer(p, "<u2"), np.frombuffer(q, "<u2")
                 g = min(len(p), len(q))
                 if may_link(np.minimum(fold(p, g), fold(q, g)).sum(), n, m, percent):
                     found.append((a, c))
@@ -309,9 +313,9 @@ def rest_pairs(hot: DataFrame, hubs: DataFrame, roots: DataFrame, points: DataFr
             if not block:
                 continue
             if tree is None:
-                tree = RTree([np.frombuffer(r[3], "<i4") for r in block], [r[2] for r in block])
+                tree = RTree([np.frombuffer(r[3], "<u2") for r in block], [r[2] for r in block])
             node, own, n, p = rows[3:]
-            found += [(node, block[j][0]) for j in tree.query(np.frombuffer(p, "<i4"), n, percent).tolist() if block[j][1] != own]
+            found += [(node, block[j][0]) for j in tree.query(np.frombuffer(p, "<u2"), n, percent).tolist() if block[j][1] != own]
             if len(found) > 20_000:
                 yield _pairs(found)
                 found = []
@@ -335,8 +339,8 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, size: int, perc
     def sets(ids, texts):
         node, raw = [], []
         wanted = in_bitmap(sent.value, np.array(ids, dtype=np.int64)) if ids else []
-        for use, t in zip(wanted, texts, strict=True):
-            if use and len(s := shingles(t, size)):
+        for s in shingle_sets([t for use, t in zip(wanted, texts, strict=True) if use], size):
+            if len(s):
                 node.append(node_of(s))
                 raw.append(s.tobytes())
         return pa.array(node, pa.int64()), pa.array(raw, pa.binary())
@@ -352,9 +356,10 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, size: int, perc
             yield _pairs(found)
 
     whole = map_texts(docs.filter("doc_id is not null"), sets, "node long, shingles binary", binary=True)
-    stored = checkpointed(whole.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    side = lambda k: stored.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
-    return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, PAIR))
+    side = lambda k: whole.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
+    out = checkpointed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(compare, PAIR))
+    release(spark)
+    return out
 
 
 def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
@@ -363,8 +368,9 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     nodes = checkpointed(info.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     # One row of points a node: the row of its smallest doc_id.
     points = checkpointed(info.select("doc_id", "node", "point").join(nodes, ["doc_id", "node"]).select("node", "n", "point").dropDuplicates(["node"]))
-    cold, hot = blocks(docs, size, percent, common)
-    hot = checkpointed(hot)
+    found = blocks(docs, size, percent, common)
+    cold = found.filter("cold").select("block", "node")
+    hot = found.filter("not cold").select(F.col("block").alias("key"), "node", "rest")
     # A block's hub: the member with the fewest uncommon shingles in its prefix, as the text that its near copies were made from has.
     hubs = checkpointed(hot.groupBy("key").agg(F.min(F.struct("rest", "node")).alias("m")).select("key", F.col("m.node").alias("hub")))
     pairs = checkpointed(block_pairs(cold, points, percent).unionByName(hub_pairs(hot, hubs, points, percent)).distinct())

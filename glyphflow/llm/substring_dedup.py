@@ -30,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, checkpointed, grouped, hashed, in_bitmap, map_texts, table, windows_hash
+from .common import bitmap, checkpointed, grouped, in_bitmap, map_texts, slices, table, windows_hash, word_hashes
 
 WINDOW, K, HOT = 50, 10, 48
-_words: dict[bytes, int] = {}
 
 
 def text_class(h: np.ndarray) -> int:
@@ -151,10 +150,11 @@ def described(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
     def rows(ids, texts):
         out = []
-        for t in texts:
-            words = t.split()
-            h = hashed(words, _words)
-            out.append((len(words), text_class(h), sha256(b" ".join(words)).hexdigest(), np.unique(anchors(h, window, k)).tobytes()))
+        for i, h, bounds in word_hashes(texts):
+            all_anchors = anchors(h, window, k)
+            for j, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                own = np.unique(all_anchors[a : max(a, b - window + 1)])
+                out.append((b - a, text_class(h[a:b]), sha256(b" ".join(texts[i + j].split())).hexdigest(), own.tobytes()))
         return (pa.array(ids, pa.int64()), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))])
 
     return map_texts(docs, rows, "doc_id long, n_words long, cls long, digest string, anchors binary", binary=True)
@@ -183,29 +183,28 @@ def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, ho
 
         def rows(ids, texts):
             out: list[tuple] = []
-            for i, t in zip(ids, texts, strict=True):
-                words = t.split()
-                if len(words) < window:
-                    continue
-                h = hashed(words, _words)
-                a = anchors(h, window, k)
-                is_shared = in_bitmap(known, a)
-                if not is_shared.any():
-                    continue
-                cls, warm = text_class(h), in_bitmap(burning, a)
-                at = np.flatnonzero(is_shared & warm)
-                if len(at):
-                    w = windows_hash(h, window)[at].view(np.int64)
-                    out += [(True, x, i, cls, s, None) for x, s in zip(w.tolist(), at.tolist(), strict=True)]
-                at = np.flatnonzero(is_shared & ~warm)
-                if len(at):
-                    cut = np.flatnonzero((np.diff(at) != 1) | (a[at][1:] != a[at][:-1])) + 1
-                    for run in np.split(at, cut):
-                        s, e = int(run[0]), int(run[-1]) + window
-                        out.append((False, int(a[s].view(np.int64)), i, cls, s, h[s:e].tobytes()))
+            for first, all_h, bounds in word_hashes(texts):
+                all_a = anchors(all_h, window, k)
+                all_shared = in_bitmap(known, all_a)
+                for j, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    stop = end - window + 1
+                    if stop <= begin or not (is_shared := all_shared[begin:stop]).any():
+                        continue
+                    i, h, a = ids[first + j], all_h[begin:end], all_a[begin:stop]
+                    cls, warm = text_class(h), in_bitmap(burning, a)
+                    at = np.flatnonzero(is_shared & warm)
+                    if len(at):
+                        w = windows_hash(h, window)[at].view(np.int64)
+                        out += [(True, x, i, cls, s, None) for x, s in zip(w.tolist(), at.tolist(), strict=True)]
+                    at = np.flatnonzero(is_shared & ~warm)
+                    if len(at):
+                        cut = np.flatnonzero((np.diff(at) != 1) | (a[at][1:] != a[at][:-1])) + 1
+                        for run in np.split(at, cut):
+                            s, e = int(run[0]), int(run[-1]) + window
+                            out.append((False, int(a[s].view(np.int64)), i, cls, s, h[s:e].tobytes()))
             return out
 
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             part = rows(b.column(0).to_pylist(), [x or b"" for x in b.column(1).to_pylist()])
             for at in range(0, len(part), 50_000):
                 some = part[at : at + 50_000]
@@ -239,17 +238,17 @@ def copies(info: DataFrame) -> DataFrame:
     return info.filter("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("cls", "first")
 
 
-def remaining(docs: DataFrame, found: DataFrame) -> DataFrame:
+def remaining(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, cls, n_removed and the kept words joined by blanks, of the rows with spans; `found` is a stored spans()."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bitmap(found, "cls"))
 
     def pick(ids, texts):
         keep = []
-        for i, t in zip(ids, texts, strict=True):
-            cls = text_class(hashed(t.split(), _words))
-            if in_bitmap(sent.value, np.array([cls]))[0]:
-                keep.append((i, cls, t))
+        for first, h, bounds in word_hashes(texts):
+            for j, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if b - a >= window and in_bitmap(sent.value, np.array([cls := text_class(h[a:b])]))[0]:
+                    keep.append((ids[first + j], cls, texts[first + j]))
         return [pa.array([r[j] for r in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
 
     involved = map_texts(docs.filter("doc_id is not null"), pick, "doc_id long, cls long, text binary", binary=True).dropDuplicates(["doc_id", "cls"])
@@ -273,7 +272,7 @@ def remaining(docs: DataFrame, found: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and cls of each row of docs(doc_id, text); kept: the kept words where some but not all are removed, else null."""
     info = checkpointed(described(docs, window, k))
-    partial = checkpointed(remaining(docs, checkpointed(spans(docs, info, window, k, hot))).withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)))
+    partial = checkpointed(remaining(docs, checkpointed(spans(docs, info, window, k, hot)), window).withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)))
     rows = info.drop("anchors").join(checkpointed(copies(info)), "cls", "left").join(partial, ["doc_id", "cls"], "left")
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     return rows.select(

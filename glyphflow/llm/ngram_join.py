@@ -364,19 +364,26 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, size: int, perc
 
 def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id linked, directly or not) of each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
     info = checkpointed(described(docs, size))
     nodes = checkpointed(info.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    # One row of points a node: the row of its smallest doc_id.
-    points = checkpointed(info.select("doc_id", "node", "point").join(nodes, ["doc_id", "node"]).select("node", "n", "point").dropDuplicates(["node"]))
     found = blocks(docs, size, percent, common)
+    release(spark)
     cold = found.filter("cold").select("block", "node")
     hot = found.filter("not cold").select(F.col("block").alias("key"), "node", "rest")
+    # One row of points for each node of a block: the row of its smallest doc_id.
+    used = nodes.join(found.select("node").distinct(), "node", "left_semi")
+    points = checkpointed(info.select("doc_id", "node", "point").join(used, ["doc_id", "node"]).select("node", "n", "point").dropDuplicates(["node"]))
+    info = checkpointed(info.drop("point"))
+    release(spark)
     # A block's hub: the member with the fewest uncommon shingles in its prefix, as the text that its near copies were made from has.
     hubs = checkpointed(hot.groupBy("key").agg(F.min(F.struct("rest", "node")).alias("m")).select("key", F.col("m.node").alias("hub")))
     pairs = checkpointed(block_pairs(cold, points, percent).unionByName(hub_pairs(hot, hubs, points, percent)).distinct())
+    release(spark)
     links = verified(docs, pairs, nodes, size, percent)
     roots = components(links)
     more = checkpointed(rest_pairs(hot, hubs, roots, points, percent).join(pairs, ["a", "b"], "left_anti"))
+    release(spark)
     if not more.isEmpty():
         links = links.unionByName(verified(docs, more, nodes, size, percent))
         roots = components(links)

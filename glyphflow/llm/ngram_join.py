@@ -61,11 +61,24 @@ def node_of(s: np.ndarray) -> int:
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in 2^k groups by their lowest bits, one or two shingles a group (more beyond 65536 groups)."""
-    groups = 1 << min(16, max(4, (len(s) // 2).bit_length()))
+    """Counts of a set's shingles in 2^k groups by their lowest bits, about one shingle a group (more beyond 65536 groups)."""
+    groups = 1 << min(16, max(4, len(s).bit_length()))
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def packed_point(p: np.ndarray) -> bytes:
+    return b"\1" + p.astype("<u1").tobytes() if p.max() < 256 else b"\4" + p.astype("<u4").tobytes()
+
+
+def unpacked_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def size_class(n: int, percent: int = PERCENT) -> int:
+    """Quarter steps of the similarity threshold in log size; sizes in the ratio of similar sets are at most 5 apart."""
+    return min(255, int(4 * np.log(n) / np.log(100 / percent)))
+
+
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
     return p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
@@ -118,7 +131,7 @@ def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def rows(ids, texts):
         out = []
         for s in shingle_sets(texts, size):
-            out.append((len(s), node_of(s), point_of(s).astype("<u2").tobytes()))
+            out.append((len(s), node_of(s), packed_point(point_of(s))))
         return (pa.array(ids, pa.int64()), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))])
 
     return map_texts(docs, rows, "doc_id long, n_shingles long, node long, point binary", binary=True)
@@ -176,7 +189,7 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
     def emit(batches):
         """Packed runs of (key, node), of each bucket of keys; and of (key, node, rest) of common keys, dealt by node."""
         keys: list[np.ndarray] = []
-        nodes: list[tuple[int, int]] = []
+        nodes: list[tuple[int, int, int]] = []
         hot: list[np.ndarray] = []
         n = 0
 
@@ -184,14 +197,16 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
             rows: list[tuple] = []
             if keys:
                 k = np.concatenate(keys)
-                v = np.repeat(np.array([x for x, _ in nodes], dtype=np.int64), [c for _, c in nodes])
+                each = [c for _, c, _ in nodes]
+                v = np.repeat(np.array([x for x, _, _ in nodes], dtype=np.int64), each)
+                z = np.repeat(np.array([c for _, _, c in nodes], dtype=np.uint8), each)
                 order = np.argsort(k)
-                k, v = k[order], v[order]
+                k, v, z = k[order], v[order], z[order]
                 edges = np.searchsorted(k, (np.arange(buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
                 edges = np.append(edges, len(k))
-                rows += [(int(i), True, k[edges[i] : edges[i + 1]].tobytes(), v[edges[i] : edges[i + 1]].tobytes(), None) for i in np.flatnonzero(np.diff(edges))]
-            rows += [(int(x[0, 1] % buckets), False, x[:, 0].tobytes(), x[:1, 1].tobytes(), int(x[0, 2])) for x in hot]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "cold", "keys", "nodes", "rest"])
+                rows += [(int(i), True, *[x[edges[i] : edges[i + 1]].tobytes() for x in (k, v, z)], None) for i in np.flatnonzero(np.diff(edges))]
+            rows += [(int(x[0, 1] % buckets), False, x[:, 0].tobytes(), x[:1, 1].tobytes(), b"", int(x[0, 2])) for x in hot]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "cold", "keys", "nodes", "sizes", "rest"])
 
         for batch in batches:
             for b in slices(batch, 0):
@@ -203,7 +218,7 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
                     own = s[~is_common][:take]
                     if len(own):
                         keys.append(own)
-                        nodes.append((node, len(own)))
+                        nodes.append((node, len(own), size_class(len(s), percent)))
                     if len(own) < take:
                         x = s[is_common][: take - len(own)].view(np.int64)
                         hot.append(np.column_stack([x, np.full(len(x), node), np.full(len(x), len(own))]))
@@ -221,18 +236,20 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
                 keys = [np.frombuffer(r[2], "<i8") for r in seen]
                 each = [len(k) for k in keys]
                 node = np.repeat(np.array([int.from_bytes(r[3], "little", signed=True) for r in seen], dtype=np.int64), each)
-                yield pa.RecordBatch.from_arrays([pa.array([False] * sum(each)), pa.array(np.concatenate(keys)), pa.array([x.tobytes() for x in node], pa.binary()), pa.array(np.repeat(np.array([r[4] for r in seen]), each), pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * sum(each)), pa.array(np.concatenate(keys)), pa.array([x.tobytes() for x in node], pa.binary()), pa.array(np.repeat(np.array([r[5] for r in seen]), each), pa.int64())], names=names)
                 continue
             k = np.frombuffer(b"".join([r[2] for r in rows]), "<u8")
             v = np.frombuffer(b"".join([r[3] for r in rows]), "<i8")
-            order = np.lexsort((v, k))
-            k, v = k[order], v[order]
+            z = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8)
+            order = np.lexsort((v, z, k))
+            k, v, z = k[order], v[order], z[order].astype(np.int64)
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
-            k, v = k[new], v[new]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            k, v, z = k[new], v[new], z[new]
+            # Members whose sizes are too far apart to be similar are blocks of their own.
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (z[1:] - z[:-1] > 5)]))
             ends = np.append(first[1:], len(k))
             several = ends - first > 1
-            made = list({v[a:b].tobytes() for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True)})
+            made = list({np.sort(v[a:b]).tobytes() for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True)})
             ids = [node_of(np.frombuffer(x, "<u8")) for x in made]
             yield pa.RecordBatch.from_arrays([pa.array([True] * len(ids), pa.bool_()), pa.array(ids, pa.int64()), pa.array(made, pa.binary()), pa.array([None] * len(ids), pa.int64())], names=names)
 
@@ -242,7 +259,7 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
             at = np.repeat(np.arange(len(members)), [len(x) for x in members])
             yield pa.RecordBatch.from_arrays([b.column("cold").take(pa.array(at)), b.column("block").take(pa.array(at)), pa.array(np.concatenate([*members, np.empty(0, "<i8")]), pa.int64()), b.column("rest").take(pa.array(at))], names=["cold", "block", "node", "rest"])
 
-    packed = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, rest long")
+    packed = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, sizes binary, rest long")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "cold")
     found = checkpointed(dealt.mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"))
     release(spark)
@@ -263,7 +280,7 @@ def block_pairs(cold: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def search(batches):
         for rows in grouped(batches, 1):
             node, size = [r[1] for r in rows], [r[2] for r in rows]
-            p = [np.frombuffer(r[3], "<u2") for r in rows]
+            p = [unpacked_point(r[3]) for r in rows]
             tree, found = RTree(p, size), []
             for i in range(len(rows)):
                 found += [(node[i], node[j]) for j in tree.query(p[i], size[i], percent).tolist() if j > i]
@@ -281,7 +298,7 @@ def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int)
         for b in batches:
             found = []
             for a, n, p, c, m, q in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                p, q = np.frombuffer(p, "<u2"), np.frombuffer(q, "<u2")
+                p, q = unpacked_point(p), unpacked_point(q)
                 g = min(len(p), len(q))
                 if may_link(np.minimum(fold(p, g), fold(q, g)).sum(), n, m, percent):
                     found.append((a, c))
@@ -313,9 +330,9 @@ def rest_pairs(hot: DataFrame, hubs: DataFrame, roots: DataFrame, points: DataFr
             if not block:
                 continue
             if tree is None:
-                tree = RTree([np.frombuffer(r[3], "<u2") for r in block], [r[2] for r in block])
+                tree = RTree([unpacked_point(r[3]) for r in block], [r[2] for r in block])
             node, own, n, p = rows[3:]
-            found += [(node, block[j][0]) for j in tree.query(np.frombuffer(p, "<u2"), n, percent).tolist() if block[j][1] != own]
+            found += [(node, block[j][0]) for j in tree.query(unpacked_point(p), n, percent).tolist() if block[j][1] != own]
             if len(found) > 20_000:
                 yield _pairs(found)
                 found = []

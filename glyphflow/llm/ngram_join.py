@@ -205,7 +205,8 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
                 edges = np.searchsorted(k, (np.arange(buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
                 edges = np.append(edges, len(k))
                 rows += [(int(i), True, *[x[edges[i] : edges[i + 1]].tobytes() for x in (k, v, z)], None) for i in np.flatnonzero(np.diff(edges))]
-            rows += [(int(x[0, 1] % buckets), False, x[:, 0].tobytes(), x[:1, 1].tobytes(), b"", int(x[0, 2])) for x in hot]
+            hot_once = {int(x[0, 1]): x for x in hot}.values()
+            rows += [(int(x[0, 1] % buckets), False, x[:, 0].tobytes(), x[:1, 1].tobytes(), b"", int(x[0, 2])) for x in hot_once]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "cold", "keys", "nodes", "sizes", "rest"])
 
         for batch in batches:

@@ -1,0 +1,301 @@
+"""Each operator against brute force or an exact round trip, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import random
+import zlib
+from collections import defaultdict
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from glyphflow.llm import bpe_round_trip, common, licenses, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, vector_search
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score string, component_id int"
+WORDS = "the and of tion ing her that with ou er".split()
+
+
+def words(seed, n):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choices(WORDS, k=rnd.randint(1, 3))) for _ in range(n))
+
+
+def texts():
+    base, passage = words(1, 300), words(2, 70)
+    near = base.split()
+    near[40] = "changed"
+    far = base.split()
+    far[::9] = [f"w{i}" for i in range(len(far[::9]))]
+    return [
+        (0, base), (1, base), (2, " ".join(near)), (3, " ".join(far)), (4, words(3, 90) + " " + passage + " " + words(4, 20)),
+        (5, words(5, 60) + "\n" + passage + "\t" + words(6, 30)), (6, passage), (7, None), (8, ""), (9, "   \n "), (10, "The MIT License and Apache License, Version 2.0"),
+        (11, "one two three"), (12, "ONE two three"), (13, "one two three four five"), (14, "x"), (None, base), (None, None),
+        (15, words(7, 6000)), (16, "été <|endoftext|> Σ ΑΣ 日本 \x1c😀 don't"), (16, "repeated id"), (17, words(5, 60)), (17, words(5, 60)), (18, "\x00 \x85a b c"),
+        *[(30 + i, " ".join([f"u{i}" if j == i else w for j, w in enumerate(base.split())])) for i in range(12)],
+        *[(60 + i, words(100 + i, 40) + " " + passage) for i in range(12)],
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, "x", 2) for i, t in texts()], DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(common, "RUN_BYTES", 64)
+    rnd, seen = random.Random(2), {}
+    data = ["".join(rnd.choice("ab \n\té") for _ in range(rnd.choice([0, 1, 5, 60, 300, 1000]))).encode() for _ in range(200)] + [b"a" * 500 + b" b", b""]
+    n = 0
+    for i, h, bounds in common.word_hashes(data):
+        for j in range(len(bounds) - 1):
+            own, n = data[i + j].split(), n + 1
+            assert len(own) == bounds[j + 1] - bounds[j]
+            for w, x in zip(own, h[bounds[j] : bounds[j + 1]].tolist(), strict=True):
+                assert seen.setdefault(w, x) == x
+    assert n == len(data) and len(set(seen.values())) == len(seen)
+
+
+def test_token_counts(docs, empty, tokenizer):
+    expected = sorted(((i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in texts()), key=repr)
+    for options in ({}, {"chunk": 50, "overlap": 4}):
+        assert rows(token_count.token_counts(docs, PATH, **options), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    assert token_count.token_counts(empty, PATH).count() == 0
+    counter = token_count.Counter(PATH, 40, 4)
+    for t in ("a" * 300, "x\x85y z" * 60, "<|endoftext|>" * 20, "ab " * 200, " " * 200 + "a"):
+        assert counter([t]) == [len(tokenizer.encode(t, add_special_tokens=False).ids)]
+
+
+def test_bpe(docs, empty, tokenizer):
+    expected = []
+    for i, t in texts():
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        expected.append((i, ids, tokenizer.decode(ids, skip_special_tokens=False)))
+    assert rows(bpe_round_trip.encode_decode(docs, PATH), "doc_id", "ids", "decoded") == sorted(expected, key=repr)
+    digest = [(i, len(x), sha256(np.array(x, "<u4").tobytes()).hexdigest(), sha256(d.encode()).hexdigest()) for i, x, d in expected]
+    assert rows(bpe_round_trip.digests(docs, PATH), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(digest, key=repr)
+    assert bpe_round_trip.digests(empty, PATH).count() == 0
+
+
+def test_packing(docs, empty, tokenizer):
+    expected = []
+    for i, t in texts():
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            x = ids[at : at + 2048]
+            expected.append((i, k, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+    out = packing.best_two_fit(docs, PATH).cache()
+    assert rows(out, "doc_id", "piece", "start", "length", "ids_crc32") == sorted(expected, key=repr)
+    bins = defaultdict(list)
+    for r in out.collect():
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= 1 + -(-sum(x[3] for x in expected) // 2048)
+    assert packing.best_two_fit(empty, PATH).count() == 0
+
+
+def test_packing_plan():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 500, 20_000):
+        counts = np.bincount(rng.integers(1, 2049, n), minlength=2049)
+        plan, used = packing.plan(counts), np.zeros(2049, dtype=int)
+        for f in plan:
+            assert sum(x * k for x, k in f.lengths.items()) <= 2048
+            for x, k in f.lengths.items():
+                used[x] += k * f.times
+        assert (used == counts).all()
+    # 3 + 3 fill the widened gap of 10 - 5 better than 4: two smaller documents replace one.
+    counts = np.zeros(11, dtype=int)
+    counts[[5, 4, 3, 2]] = [1, 1, 1, 1]
+    assert packing.plan(counts, 10)[0].lengths == {5: 1, 3: 1, 2: 1}
+
+
+def test_licenses(docs, empty):
+    import re
+
+    expected = []
+    for i, t in texts():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        found = [(at, label) for p, label in licenses.BASE.items() for at in range(len(own)) if own[at : at + len(p.split())] == p.split()]
+        at = [a for a, _ in found]
+        expected.append((i, len(own), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))))
+    out = licenses.license_digest(licenses.license_scan(docs)).cache()
+    assert rows(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(expected, key=repr)
+    r = out.filter("doc_id = 10").first()
+    assert r["labels"] == "apache,apache-2.0,mit" and 0.9 < r["score"] <= 1
+    assert out.filter("doc_id = 0").first()["score"] == 0 and licenses.license_scan(empty).count() == 0
+    assert len(licenses.rules()) > 200
+    assert [x[0] for x in licenses.detections(b"licensed under the apache license, version 2.0")] == ["apache-2.0"]
+    assert [x[0] for x in licenses.detections(b"spdx-license-identifier: mit")] == ["mit"]
+
+
+def test_quality_rules(docs, empty):
+    expected = []
+    for i, t in texts():
+        t = t or ""
+        own = [x for x in __import__("re").split(r"[ \t-\r]+", t) if x]
+        grams = [tuple(own[k : k + 3]) for k in range(len(own) - 2)]
+        seen = defaultdict(int)
+        for g in grams:
+            seen[g] += 1
+        again = {k + d for k, g in enumerate(grams) if seen[g] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        expected.append((i, len(own), sum(map(len, own)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again), len(own) < 50 or 100 * len(again) > 50 * len(own)))
+    ledger = quality_rules.ledger(docs).cache()
+    out = quality_rules.apply_policy(ledger, "v3").withColumn("base_failed", F.col("failed").bitwiseAND(quality_rules.mask(quality_rules.BASE)) != 0)
+    assert rows(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(expected, key=repr)
+    assert out.filter("base_failed and kept").count() == 0 and out.filter("doc_id = 0 and kept").count() == 1
+    few = [r for r in quality_rules.ablations(ledger, "v3").collect() if r["rule"] == "few_words"][0]
+    assert few["n_failed"] == sum(x[1] < 50 for x in expected) >= few["n_only"] > 0
+    assert {r["n_failed"] for r in quality_rules.ablations(quality_rules.ledger(empty), "v1").collect()} == {0}
+
+
+def test_quality_classifier(spark, docs, empty):
+    good = [(i, words(i, 80)) for i in range(200)]
+    bad = [(200 + i, " ".join(f"{w}!!###" for w in words(900 + i, 60).split())) for i in range(200)]
+    table = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)] + [(None, 1), (5, None), (9999, 0)], "doc_id long, quality int")
+    out = quality_classifier.classify(table, labels).collect()
+    assert {r["doc_id"] for r in out if r["held_out"]} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    held = [r for r in out if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] < 200) for r in held) >= 0.98 * len(held)
+    assert quality_classifier.accepted(table, labels).count() == sum(r["predicted"] for r in out)
+    strange = quality_classifier.classify(docs, labels).collect()
+    assert len(strange) == len(texts()) and all(0 <= r["score"] <= 1 for r in strange)
+    assert quality_classifier.classify(empty, labels).count() == 0
+    alone = quality_classifier.classify(table, labels.limit(0)).collect()
+    assert {r["score"] for r in alone} == {0.5}
+
+
+def jaccard(data):
+    sets = []
+    for i, t in data:
+        own = (t or "").encode().lower().split()
+        sets.append((i, {tuple(own[j : j + 5]) for j in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)} if own else set()))
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets:
+        for j, t in sets:
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= 75 * len(s | t):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return sorted(((i, len(s), None if i is None else root(i)) for i, s in sets), key=repr)
+
+
+@pytest.mark.parametrize("common", [32, 2])
+def test_jaccard(spark, docs, empty, common):
+    unique = [(i, t) for i, t in texts() if i not in (16, 17)]
+    out = ngram_join.jaccard_components(docs.filter("doc_id is null or doc_id not in (16, 17)"), common=common)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == jaccard(unique)
+    if common == 32:
+        assert ngram_join.jaccard_components(empty).count() == 0
+        assert rows(ngram_join.jaccard_components(docs.filter("doc_id in (16, 17)")), "doc_id", "component_id") == [(16, 16), (16, 16), (17, 17), (17, 17)]
+
+
+def test_tree_bounds():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(1, 200, 60)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for s in sets[:30]]
+    tree = ngram_join.RTree([ngram_join.point_of(s) for s in sets], list(map(len, sets)))
+    for i, s in enumerate(sets):
+        found = set(tree.query(ngram_join.point_of(s), len(s), 75).tolist())
+        assert {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))} <= found
+
+
+def dedup(data, window=50):
+    split = [(i, (t or "").encode().split()) for i, t in data]
+    first = {}
+    for i, own in split:
+        if i is not None:
+            for s in range(len(own) - window + 1):
+                key = tuple(own[s : s + window])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, own in split:
+        gone = {j for s in range(len(own) - window + 1) if i is not None and first[tuple(own[s : s + window])] < i for j in range(s, s + window)}
+        out.append((i, len(own), len(gone), sha256(b" ".join(w for j, w in enumerate(own) if j not in gone)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [48, 0, 4])
+def test_substring_dedup(docs, empty, hot):
+    assert rows(substring_dedup.deduplicated(docs, hot=hot), "doc_id", "n_words", "n_removed", "kept_sha256") == dedup(texts())
+    if hot == 48:
+        assert substring_dedup.deduplicated(empty).count() == 0
+
+
+def test_automaton():
+    rnd = random.Random(5)
+    for _ in range(60):
+        data = [[rnd.randrange(2) for _ in range(rnd.randrange(1, 30))] for _ in range(4)]
+        a = substring_dedup.Automaton()
+        for x in data[1:]:
+            a.add(x)
+        for size in (2, 4, 7):
+            held = {tuple(x[i : i + size]) for x in data[1:] for i in range(len(x) - size + 1)}
+            inside = {j for i in range(len(data[0]) - size + 1) if tuple(data[0][i : i + size]) in held for j in range(i, i + size)}
+            assert {j for s, e in a.matched(data[0], size) for j in range(s, e)} == inside
+
+
+def test_vector_search(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(400)]
+    data += [(400 + i, data[0][1]) for i in range(60)] + [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (None, data[1][1]), (950, [0.5]), (951, [0.0] * 8), (952, [float("inf")] * 8)]
+    whole = {i: np.floor(256 * np.pad(np.array(v, float), (0, 8 - len(v)))) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()}
+    expected = []
+    for q in whole:
+        if q % 50 == 0:
+            best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in data], "vec_id long, embedding array<float>, score int, rank int")
+    whole32 = spark.createDataFrame([(i, v, 1, 2) for i, v in data], "vec_id long, embedding array<double>, score int, rank int")
+    assert rows(vector_search.top_k(whole32, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+    assert vector_search.top_k(df.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+    assert vector_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_secret_scan(spark, docs, empty):
+    import re
+
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    held = secret_scan.labelled_findings(spark, 150).withColumn("doc_id", F.monotonically_increasing_id())
+    judged = secret_scan.findings(held.filter("doc_id >= 22 * 120"), model).join(held, "doc_id")
+    right = judged.filter("is_secret = (label = 1)").count()
+    assert right >= 0.97 * judged.count() > 0
+    data = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y 9807915762804490 z'), (2, None), (3, ""), (None, "api_key: 0cc175b9c0f1b6a831c399e269772661"), (4, "a1" * 60_000), (5, "k1a2b3c4d5e6f7g8h9 " * 700)]
+    df = spark.createDataFrame([(*x, "a", "b") for x in data], "doc_id long, text string, value string, start string")
+    found = secret_scan.findings(df, model).collect()
+    shape = re.compile(r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{16,}")
+    assert sorted(((r["doc_id"], r["start"], r["value"]) for r in found), key=repr) == sorted(((i, m.start(), m[0]) for i, t in data for m in shape.finditer(t or "")), key=repr)
+    assert [r["is_secret"] for r in sorted((r for r in found if r["doc_id"] == 1), key=lambda r: r["start"])] == [True, False]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df, secret_scan.findings(df, model)).collect()}
+    assert clean[1] == 'x token = "[SECRET]" y 9807915762804490 z' and clean[2] is None and len(clean) == len(data)
+    assert secret_scan.findings(docs, model).count() == sum(len(shape.findall(t or "")) for _, t in texts())
+    assert secret_scan.findings(empty, model).count() == 0

@@ -1,3 +1,177 @@
-"""Registered queries and their DuckDB oracles."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries of the conversion engine and their DuckDB oracles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import maps as m
+from .engine import Engine
+from .functions import text as fn
+from .sources.catalog import rules_table
+
+#: Pairs of Latin and Cyrillic letters, to make Cyrillic texts of Latin ones.
+LATIN, CYRILLIC = "abvhgdezyiklmnoprstufABVHGDEZYIKLMNOPRSTUF", "абвгґдезиіклмнопрстуфАБВГҐДЕЗИІКЛМНОПРСТУФ"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def engine(*maps, **options) -> Engine:
+    known = {x.system_code: x for x in maps}
+    return Engine([known.get], **options)
+
+
+def _register(name: str, build: Callable[[Column], Column], oracle: str | None, *, table: str = "documents", key: str = "doc_id", column: str = "text") -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(key, build(F.col(column)).alias("out"))
+
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = f"SELECT {key}, {oracle} AS out FROM {table}"
+
+
+def _rules(name: str, oracle: str | None, *rules: dict, **options) -> None:
+    """A query that runs a map of these rules over documents."""
+    more = {k: options.pop(k) for k in ("aliases", "functions", "dependencies") if k in options}
+    others = options.pop("others", ())
+    stages = options.pop("stages", {})
+    _register(name, lambda c: engine(m.script_map(name, *rules, **more, **stages), *others).transliterate(c, name), oracle, **options)
+
+
+def _tokens(pattern: str, pairs: dict[str, str], source: str = "text") -> str:
+    keys = ", ".join(f"'{k}'" for k in pairs)
+    values = ", ".join(f"'{v}'" for v in pairs.values())
+    return f"array_to_string(list_transform(regexp_extract_all({source}, '(?s)({pattern}|.)'), lambda t: coalesce(map([{keys}], [{values}])[t], t)), '')"
+
+
+_rules("sub_literal", "replace(text, 'th', 'þ')", m.sub("th", "þ"))
+_rules("sub_any", "regexp_replace(text, 'the|and|of', '_', 'g')", m.sub(m.any_of("the", "and", "of"), "_"))
+_rules("sub_delete", "replace(text, 'e', '')", m.sub("e"))
+_rules("sub_escaped", "regexp_replace(text, '[.]', '$', 'g')", m.sub(".", "$"))
+_rules("sub_before", "replace(text, 'an', 'aN')", m.sub("n", "N", before="a"))
+_rules("sub_after", "replace(text, 'th', 'Th')", m.sub("t", "T", after="h"))
+_rules("sub_not_before", "replace(replace(replace(text, 'he', chr(1)), 'e', 'E'), chr(1), 'he')", m.sub("e", "E", notBefore="h"))
+_rules("sub_not_after", "replace(replace(replace(text, 'he', chr(1)), 'h', 'H'), chr(1), 'he')", m.sub("h", "H", notAfter="e"))
+_rules("sub_capture_ref", r"regexp_replace(text, '([aeiou])n', 'n\1', 'g')", m.sub(m.group(m.captured(m.any_of(*"aeiou")), "n"), m.group("n", m.reference(1))))
+_rules("sub_unset_group", r"regexp_replace(replace(text, 'an', chr(1)), 'en', 'enx', 'g').replace(chr(1), 'ax')", m.sub(m.group(m.any_of(m.captured("a"), "e"), "n"), m.group(m.reference(1), "x")))
+_rules("sub_boundary", r"regexp_replace(text, '(^|[^\p{L}\p{M}])t', '\1T', 'g')", m.sub(m.group(m.alias("boundary"), "t"), "T"))
+_rules("sub_non_word_boundary", r"regexp_replace(text, '([\p{L}\p{M}])q', '\1Q', 'g')", m.sub(m.group(m.alias("non_word_boundary"), "q"), "Q"))
+_rules("sub_any_empty", "text", m.sub("e", "E", notBefore=m.any_of()))
+_rules("sub_repeat", "regexp_replace(regexp_replace(text, 'e+', 'E', 'g'), 'l{2,3}', 'L', 'g')", m.sub(m.repeated("e", 2, None), "E"), m.sub(m.repeated("l", 2, 3), "L"))
+_rules("sub_inline_function", "replace(text, 'the', 'THE')", m.sub("the", m.inline("upcase")))
+_rules("alias_any_character", r"regexp_replace(text, '[^\n\r]', '.', 'g')", m.sub(m.alias("any_character"), "."))
+_rules("alias_space", "replace(text, ' ', '_')", m.sub(m.alias("space"), "_"))
+_rules("alias_whitespace", r"regexp_replace(text, '[ \t\n\r\f\v]+', '_', 'g')", m.sub(m.alias("whitespace"), "_"))
+_rules("alias_none", "replace(text, 'a', '')", m.sub("a", m.alias("none")))
+_rules("alias_word", r"regexp_replace(text, '\p{L}\p{N}_', '-', 'g')", m.sub(m.alias("word"), "-"))
+_rules("alias_not_word", r"regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')", m.sub(m.alias("not_word")))
+_rules("alias_alpha", r"regexp_replace(text, '\p{L}', 'x', 'g')", m.sub(m.alias("alpha"), "x"))
+_rules("alias_not_alpha", r"regexp_replace(text, '\P{L}', '', 'g')", m.sub(m.alias("not_alpha")))
+_rules("alias_digit", r"regexp_replace(text, '\p{N}', '#', 'g')", m.sub(m.alias("digit"), "#"))
+_rules("alias_not_digit", r"regexp_replace(text, '\P{N}', '', 'g')", m.sub(m.alias("not_digit")))
+_rules("alias_line_start", "'>' || replace(text, chr(10), chr(10) || '>')", m.sub(m.alias("line_start"), ">"))
+_rules("alias_string_start", "'>' || replace(text, chr(10), chr(10) || '>')", m.sub(m.alias("string_start"), ">"))
+_rules("alias_line_end", "replace(text, chr(10), '<' || chr(10)) || '<'", m.sub(m.alias("line_end"), "<"))
+_rules("alias_string_end", "replace(text, chr(10), '<' || chr(10)) || '<'", m.sub(m.alias("string_end"), "<"))
+_rules("alias_own", "regexp_replace(text, '[aeiou]', '_', 'g')", m.sub(m.alias("vowel"), "_"), aliases={"vowel": m.any_of(*"aeiou")})
+_rules("alias_of_dependency", "regexp_replace(text, '[aeiou]', '_', 'g')", m.sub(m.alias("vowel"), "_"), dependencies=("letters",), others=(m.script_map("letters", aliases={"vowel": m.any_of(*"aeiou")}),))
+_rules("sequential", "replace(replace(text, 'a', 'b'), 'b', 'c')", m.sequential(m.sub("a", "b"), m.sub("b", "c")))
+_rules("run_local", "replace(replace(text, 'a', 'X'), 'X', 'Y')", m.sub("a", "X"), m.run("second"), stages={"second": [m.sub("X", "Y")]})
+_rules("run_remote", "replace(replace(text, 'a', 'X'), 'X', 'Y')", m.sub("a", "X"), m.run("main", "other"), others=(m.script_map("other", m.sub("X", "Y")),))
+
+TRIE = {"the": "1", "th": "2", "and": "3", "an": "4", "e": "a", "a": "e", "in": ""}
+_rules("parallel_table", _tokens("the|and|th|an|in|e|a", TRIE), m.parallel(**TRIE))
+_rules("parallel_no_rescan", "translate(text, 'abc', 'bca')", m.parallel(a="b", b="c", c="a"))
+_rules("parallel_dropped", "replace(text, 'b', 'B')", m.parallel(m.call("upcase"), m.sub("a", m.alias("none")), m.sub(m.alias("alpha"), "x"), b="B"))
+_rules("parallel_expanded", _tokens("ab|ac|ae", {"ab": "X", "ac": "X", "ae": "X"}), m.parallel(m.sub(m.group("a", m.any_of("b", "c", "e")), "X")))
+_rules("parallel_constrained", "replace(replace(replace(text, 'th', 'T'), 'Te', 'TEE'), 'na', 'nA')", m.parallel(m.sub("a", "A", before="n"), m.sub("e", "EE", before="T"), m.sub("th", "T")))
+_rules("german_umlauts", "replace(replace(replace(replace(replace(replace(text, 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')", m.parallel(**m.GERMAN))
+_rules("funcall_downcase", "lower(text)", m.call("downcase"))
+_rules("funcall_upcase", "upper(replace(text, 'ß', 'SS'))", m.call("upcase"))
+_rules("funcall_compose", "nfc_normalize(text)", m.call("decompose"), m.call("compose"))
+_WORD = "list_transform(string_split({0}, '{1}'), lambda w: upper(w[1:1]) || lower(w[2:]))"
+_rules("funcall_title_case", f"array_to_string({_WORD.format('p_name', ' ')}, ' ')", m.call("title_case"), table="part", key="p_partkey", column="p_name")
+_rules("funcall_title_case_separator", f"array_to_string({_WORD.format('c_name', '#')}, '#')", m.call("title_case", wordSeparator="#"), table="customer", key="c_custkey", column="c_name")
+_rules("funcall_separate", "array_to_string(string_split(n_name, ''), '-')", m.call("separate", separator="-"), table="nation", key="n_nationkey", column="n_name")
+_register("regexp_escape", fn.regexp_escape, r"regexp_replace(text, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')")
+_register("parallel_replace_function", lambda c: fn.parallel_replace(c, [("ab", "x"), ("a", "y"), ("a", "z")]), _tokens("ab|a", {"ab": "x", "a": "z"}))
+_register("parallel_replace_arrow", lambda c: fn.parallel_replace(c, TRIE, "arrow"), _tokens("the|and|th|an|in|e|a", TRIE))
+_register("parallel_single_pass", lambda c: fn.parallel_single_pass(c, {"a": "1", "in": "2"}, [("an(?=d)", "3"), ("in", "4")]), "replace(replace(replace(replace(replace(text, 'and', chr(1)), 'a', '1'), 'in', '2'), chr(1), '3d'), chr(2), '')")
+_register("levenshtein", lambda c: fn.levenshtein(c, F.reverse(c)), "CAST(levenshtein(n_name, reverse(n_name)) AS INTEGER)", table="nation", key="n_nationkey", column="n_name")
+_register("levenshtein_utf16", lambda c: fn.levenshtein(c, F.lower(c), utf16=True), "CAST(levenshtein(n_name, lower(n_name)) AS INTEGER)", table="nation", key="n_nationkey", column="n_name")
+_register("glob_match", lambda c: fn.glob_matches(c, "*a*e*"), "coalesce(p_name LIKE '%a%e%', false)", table="part", key="p_partkey", column="p_name")
+
+
+def _cyrillic(c: Column) -> Column:
+    return F.translate(c, LATIN, CYRILLIC)
+
+
+def ukrainian_2019(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: documents in Cyrillic letters, romanised by the system of 2019 through its chain of three others."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", engine(*m.ukrainian()).transliterate(_cyrillic(F.col("text")), "bgnpcgn-ukr-Cyrl-Latn-2019").alias("out"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ukrainian_2019(spark, sf_dir)
+
+
+QUERIES["ukrainian_2019"] = ukrainian_2019
+
+
+def _ukrainian_oracle() -> str:
+    # The texts hold neither the letters of the rules at word starts nor soft signs; З before г is the one rule with context that applies.
+    low = dict(zip(m.UKRAINIAN[::2], m.UKRAINIAN[1::2], strict=True))
+    table = {k.upper(): v[:1].upper() + v[1:] for k, v in low.items()} | low
+    out = f"replace(replace(translate(text, '{LATIN}', '{CYRILLIC}'), '''', ''), '’', '')"
+    for a, b in (("ЗГ", "ЗGh"), ("зГ", "зGh"), ("Зг", "Зgh"), ("зг", "зgh")):
+        out = f"replace({out}, '{a}', '{b}')"
+    for k, v in table.items():
+        out = f"replace({out}, '{k}', '{v}')"
+    return out
+
+
+ORACLES["ukrainian_2019"] = f"SELECT doc_id, {_ukrainian_oracle()} AS out FROM documents"
+
+CANDIDATES = [
+    m.script_map("low-all", m.call("downcase")),
+    m.script_map("low-vowels", m.parallel(A="a", E="e", I="i", O="o", U="u")),
+    m.script_map("up-none", m.sub("x", "y")),
+]
+_CONVERTED = {"low-all": "lower(n_name)", "low-vowels": "translate(n_name, 'AEIOU', 'aeiou')", "up-none": "replace(n_name, 'x', 'y')"}
+
+
+def _detected(spark: SparkSession, sf_dir: str, pattern: str | None = None) -> DataFrame:
+    e = engine(*CANDIDATES)
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.initcap("n_name").alias("seen"))
+    return e.detect_rows(nations, "n_name", "seen", "n_nationkey", candidates=[x.system_code for x in CANDIDATES], map_pattern=pattern)
+
+
+def _detected_oracle(pattern: str | None = None) -> str:
+    rows = " UNION ALL ".join(f"SELECT n_nationkey, {i} AS pos, '{k}' AS map_name, levenshtein({x}, upper(n_name[1:1]) || lower(n_name[2:])) AS d, n_name FROM nation" for i, (k, x) in enumerate(_CONVERTED.items()) if not pattern or k.startswith(pattern.rstrip("*")))
+    return f"SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY d, pos) AS INTEGER) AS rank, map_name, CAST(d AS INTEGER) AS distance FROM ({rows})"
+
+
+def detect_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detected(spark, sf_dir).filter("rank = 1")
+
+
+def map_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detected(spark, sf_dir).groupBy("map_name").agg(F.count("*").alias("n"), F.sum((F.col("rank") == 1).cast("long")).alias("n_best"), F.avg("distance").alias("mean_distance"))
+
+
+QUERIES |= {"detect_rank": _detected, "detect_glob": lambda s, d: _detected(s, d, "low-*"), "detect_best": detect_best, "map_accuracy": map_accuracy}
+ORACLES |= {
+    "detect_rank": _detected_oracle(),
+    "detect_glob": _detected_oracle("low-*"),
+    "detect_best": f"SELECT * FROM ({_detected_oracle()}) WHERE rank = 1",
+    "map_accuracy": f"SELECT map_name, count(*) AS n, CAST(sum(CAST(rank = 1 AS INTEGER)) AS BIGINT) AS n_best, avg(distance) AS mean_distance FROM ({_detected_oracle()}) GROUP BY map_name",
+}
+QUERIES["catalog_rules"] = lambda spark, sf_dir: rules_table(spark, m.bundled().values())

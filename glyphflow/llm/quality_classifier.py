@@ -21,6 +21,7 @@ Without labels of both kinds every score is that mean (0.5 without any label).
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table
+from .common import map_texts, release, slices, table
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 BUCKETS, DIM = 1 << 17, 16
@@ -64,16 +65,16 @@ class Model:
         return (self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float64)
 
 
-def bag(text: str, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: str, known: dict[bytes, array]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a document and their share of its features."""
-    all_ids: list[int] = []
+    all_ids = array("i")
     words = text.encode("utf-8").split()
     for w in words:
         if (x := known.get(w)) is None:
-            x = known[w] = word_features(w)
+            x = known[w] = array("i", word_features(w))
         all_ids += x
-    all_ids += [AGAIN] * sum(map(bytes.__eq__, words, words[1:]))
-    ids, n = np.unique(np.array(all_ids, dtype=np.int64), return_counts=True)
+    all_ids += array("i", [AGAIN] * sum(map(bytes.__eq__, words, words[1:])))
+    ids, n = np.unique(np.frombuffer(all_ids, dtype=np.int32), return_counts=True)
     return ids, (n / max(len(all_ids), 1)).astype(np.float32)
 
 
@@ -84,7 +85,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: f
     mean = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
     bias = np.array([np.log(1 - mean), np.log(mean)], dtype=np.float32)
     if len(set(labels.tolist())) == 2:
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, array] = {}
         bags = [bag(x, known) for x in texts]
         known.clear()
         use = [i for i, (ids, _) in enumerate(bags) if len(ids)]
@@ -169,6 +170,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, c
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
+    release(docs.sparkSession)
     rows = training_rows(docs, labels, **bounds)
     return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64))
 

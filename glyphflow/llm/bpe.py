@@ -14,10 +14,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
+from .common import kept
+
 #: Words kept by a coder; it starts anew beyond.
 KEPT_WORDS = 600_000
 END = "</w>"
@@ -228,11 +229,9 @@ class TrieCoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def library_coder(path: str) -> LibraryCoder:
-    return LibraryCoder(Words(path))
+    return kept(("library coder", path), lambda: LibraryCoder(Words(path)))
 
 
-@lru_cache(maxsize=2)
 def trie_coder(path: str) -> TrieCoder:
-    return TrieCoder(Words(path), path)
+    return kept(("trie coder", path), lambda: TrieCoder(Words(path), path))

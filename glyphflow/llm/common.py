@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -38,6 +40,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Of this worker process: the words and models that the operator at work keeps between slices.
+_kept: dict[tuple, object] = {}
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """What make() gave for this name. A worker keeps one such thing: another operator's goes when this one starts."""
+    found = _kept.get(name)
+    if found is None:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # what it used goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+        found = _kept[name] = make()
+    return found
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
     if not batch.num_rows:

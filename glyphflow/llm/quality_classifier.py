@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, release, slices, table
+from .common import kept, map_texts, release, slices, table
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 BUCKETS, DIM = 1 << 17, 16
@@ -39,7 +39,7 @@ NGRAMS = (3, 4)
 AGAIN = 0
 EPOCHS, RATE = 4, 0.4
 THRESHOLD = 0.3
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -175,10 +175,6 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
     return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64))
 
 
-#: Of this worker process: the scorer of the last model, by its fingerprint.
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row of docs(doc_id, text)."""
     margins, bias = model.margins(), float(model.bias[1] - model.bias[0])
@@ -186,10 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((margins, bias))  # BUCKETS numbers
 
     def rows(ids, texts):
-        scorer = _scorers.get(name)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[name] = Scorer(*sent.value)
+        scorer = kept(("scorer", name), lambda: Scorer(*sent.value))
         return pa.array(ids, pa.int64()), scorer(texts)
 
     return map_texts(docs, rows, "doc_id long, score double", binary=True)
@@ -213,10 +206,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     def keep(batches):
         for batch in batches:
             for b in slices(batch, at):
-                if name not in _scorers:
-                    _scorers.clear()
-                    _scorers[name] = Scorer(*sent.value)
+                scorer = kept(("scorer", name), lambda: Scorer(*sent.value))
                 texts = [(x or "").encode("utf-8") for x in b.column(at).to_pylist()]
-                yield b.filter(pa.array(_scorers[name](texts) >= threshold))
+                yield b.filter(pa.array(scorer(texts) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

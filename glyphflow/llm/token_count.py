@@ -15,11 +15,10 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import kept, map_texts, table
 
 #: Characters of a chunk, and of the first try of an overlap.
 CHUNK, OVERLAP = 32_768, 256
@@ -92,9 +91,8 @@ class Counter:
             out[i] = len(x)
 
 
-@lru_cache(maxsize=4)
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Counter:
-    return Counter(path, chunk, overlap)
+    return kept(("counter", path, chunk, overlap), lambda: Counter(path, chunk, overlap))
 
 
 def token_counts(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:

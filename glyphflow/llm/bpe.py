@@ -19,8 +19,8 @@ import numpy as np
 
 from .common import kept
 
-#: Words kept by a coder; it starts anew beyond.
-KEPT_WORDS = 600_000
+#: Words kept by a coder (by the trie's: new ones cost more); it starts anew beyond.
+KEPT_WORDS, TRIE_WORDS = 300_000, 600_000
 END = "</w>"
 
 
@@ -216,7 +216,7 @@ class TrieCoder:
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Each text's ids as little-endian unsigned 32-bit integers, and what they decode to."""
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > TRIE_WORDS:
             self.reset()
         split = [self.words.split(x) for x in texts]
         if new := list(set().union(*split) - self.known.keys()):

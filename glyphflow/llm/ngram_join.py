@@ -38,7 +38,7 @@ LEAF = 8
 #: Members of a common shingle's block that are compared in one chunk.
 CHUNK = 512
 #: Hashes that a task counts before it passes them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bytes kept of a hash when shingles are counted (a shingle may only seem more common).
 COUNTED = 6
 

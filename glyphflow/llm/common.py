@@ -40,6 +40,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows cross to Python code and back in Arrow batches of about so many bytes.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own: Spark's is 64 MB a task, in the JVM and once more in Python."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 #: Of this worker process: the words and models that the operator at work keeps between slices.
 _kept: dict[tuple, object] = {}
 
@@ -50,6 +61,7 @@ def kept(name: tuple, make: Callable[[], object]) -> object:
     if found is None:
         _kept.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # what it used goes back to the system
             ctypes.CDLL(None).malloc_trim(0)
         found = _kept[name] = make()
@@ -77,6 +89,7 @@ def map_texts(docs: DataFrame, rows: Callable, schema: str, *, text: str = "text
     as lists or arrays in the order of `schema`.
     """
     names = [x.split()[0] for x in schema.split(", ")]
+    bounded_batches(docs.sparkSession)
     col = F.col(text).cast("binary") if binary else F.col(text)
     empty = b"" if binary else ""
 
@@ -265,6 +278,7 @@ def by_ids(docs: DataFrame, ids: DataFrame, *, inside: bool) -> DataFrame:
 
     A short list is broadcast and the texts stay where they are; a long one is joined by a shuffle.
     """
+    bounded_batches(docs.sparkSession)
     few = ids.select("doc_id").limit(BROADCAST_IDS + 1).toArrow()
     if few.num_rows > BROADCAST_IDS:
         return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi" if inside else "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, map_texts, release, slices, table
+from .common import bounded_batches, kept, map_texts, release, slices, table
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 BUCKETS, DIM = 1 << 17, 16
@@ -40,6 +40,8 @@ AGAIN = 0
 EPOCHS, RATE = 4, 0.4
 THRESHOLD = 0.3
 KEPT_WORDS = 300_000
+#: New words whose features are listed at one time.
+LEARNT = 4_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -137,7 +139,8 @@ class Scorer:
             self.index.clear()
         split = [x.split() for x in texts]
         if new := list(set().union(*split) - self.index.keys()):
-            self.learn(new)
+            for i in range(0, len(new), LEARNT):
+                self.learn(new[i : i + LEARNT])
         get, out = self.index.__getitem__, np.zeros(len(texts))
         for i, words in enumerate(split):
             if words:
@@ -199,6 +202,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
+    bounded_batches(docs.sparkSession)
     margins, bias = (model := fit(docs, labels)).margins(), float(model.bias[1] - model.bias[0])
     sent = docs.sparkSession.sparkContext.broadcast((margins, bias))
     name, at = sha256(margins.tobytes() + str(bias).encode()).hexdigest(), docs.columns.index("text")

@@ -9,8 +9,10 @@ statistic reaches WINDOW, the window is removed.
 
 An anchor in more than HOT documents (a passage that is everywhere, thousands of near
 copies) would need an ever larger shard. There the windows themselves are counted: the
-smallest doc_id of each window's hash, by partial aggregation, and a join back. Both
-ways are exact but for equal 64-bit hashes of different windows or words.
+smallest doc_id of each window's hash, by partial aggregation. Windows that repeat are
+taken in runs, as long as they follow each other in a document: a passage that is
+everywhere is one run, joined with the smallest doc_ids once and then once a document.
+Both ways are exact but for equal 64-bit hashes of different windows, runs or words.
 
 Documents with the same words throughout are one text: of WINDOW words or more, all but
 the one with the smallest doc_id lose all words, without looking at their windows.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, checkpointed, grouped, in_bitmap, map_texts, slices, table, windows_hash, word_hashes
+from .common import bitmap, checkpointed, grouped, in_bitmap, map_texts, release, slices, table, windows_hash, word_hashes
 
 WINDOW, K, HOT = 50, 10, 48
 
@@ -173,11 +175,12 @@ def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, ho
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes), pa.int64()), pa.array(np.frombuffer(b"".join(raw), "<i8"))], names=["cls", "anchor"])
 
     listed = info.filter("doc_id is not null and length(anchors) > 0").select("cls", "anchors").mapInArrow(each, "cls long, anchor long")
+    release(spark)
     shared = checkpointed(listed.groupBy("anchor").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n")).filter("a <> b").select("anchor", "n"))
     sent = spark.sparkContext.broadcast((bitmap(shared, "anchor"), bitmap(shared.filter(F.col("n") > hot), "anchor")))
 
     def emit(batches):
-        """Rows of cold anchors (words around an anchor) and of hot windows (no words)."""
+        """Rows of cold anchors (words around an anchor) and of runs of hot windows (their hashes as words, no key)."""
         names = ["is_hot", "key", "doc_id", "cls", "start", "words"]
         known, burning = sent.value
 
@@ -195,7 +198,8 @@ def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, ho
                     at = np.flatnonzero(is_shared & warm)
                     if len(at):
                         w = windows_hash(h, window)[at].view(np.int64)
-                        out += [(True, x, i, cls, s, None) for x, s in zip(w.tolist(), at.tolist(), strict=True)]
+                        turns = np.flatnonzero(np.diff(at) != 1) + 1
+                        out += [(True, 0, i, cls, int(own[0]), x.tobytes()) for own, x in zip(np.split(at, turns), np.split(w, turns), strict=True)]
                     at = np.flatnonzero(is_shared & ~warm)
                     if len(at):
                         cut = np.flatnonzero((np.diff(at) != 1) | (a[at][1:] != a[at][:-1])) + 1
@@ -226,13 +230,77 @@ def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, ho
 
     sharded = found.filter("not is_hot").select("key", "doc_id", "cls", "start", "words").repartition("key").sortWithinPartitions("key", "doc_id", "start")
     cold_spans = sharded.mapInArrow(cold, "doc_id long, cls long, start long, end long")
-    windows = found.filter("is_hot").select("key", "doc_id", "cls", "start")
-    first = checkpointed(windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first"))
-    hot_spans = windows.join(first, "key").filter("doc_id > first").select("doc_id", "cls", "start", (F.col("start") + window).alias("end"))
+    hot_spans = run_spans(found.filter("is_hot").select("doc_id", "cls", "start", "words"), window)
     # A document's own spans meet here: as many as it has windows at most.
     return cold_spans.unionByName(hot_spans).groupBy("doc_id", "cls").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
+def run_spans(hot: DataFrame, window: int) -> DataFrame:
+    """doc_id, cls, start and end of repeated windows among runs of window hashes (doc_id, cls, start, words); `hot` is stored."""
+    spark = hot.sparkSession
+
+    def counted(batches):
+        """Smallest and largest doc_id of each window of a batch."""
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            key = np.frombuffer(b"".join(raw), "<i8")
+            if not len(key):
+                continue
+            doc = np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in raw])
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(doc[first]), pa.array(doc[np.append(first[1:], len(key)) - 1])], names=["key", "lo", "hi"])
+
+    counts = hot.select("doc_id", "words").mapInArrow(counted, "key long, lo long, hi long")
+    first = checkpointed(counts.groupBy("key").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last").select("key", "first"))
+    sent = spark.sparkContext.broadcast(bitmap(first, "key"))
+
+    def repeating(batches):
+        """The parts of runs whose windows all repeat, named by their content."""
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, cls, start, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                w = np.frombuffer(raw, "<i8")
+                inside = np.concatenate([[False], in_bitmap(sent.value, w), [False]])
+                turns = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+                out += [(doc_id, cls, start + s, text_class(w[s:e]), w[s:e].tobytes()) for s, e in zip(turns[::2], turns[1::2], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.binary()])], names=["doc_id", "cls", "start", "run", "words"])
+
+    runs = checkpointed(hot.mapInArrow(repeating, "doc_id long, cls long, start long, run long, words binary"))
+
+    def windows(batches):
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            sizes = [len(x) // 8 for x in raw]
+            at = np.concatenate([np.arange(n) for n in sizes] or [np.empty(0, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes), pa.int64()), pa.array(at, pa.int64()), pa.array(np.frombuffer(b"".join(raw), "<i8"))], names=["run", "at", "key"])
+
+    def intervals(batches):
+        """Of each run, where windows in a row have one smallest doc_id."""
+        for rows in grouped(batches, 1):
+            at, least = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(least) != 0)) + 1
+            begin, end = np.concatenate([[0], cut]), np.append(cut, len(at)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), *[pa.array([x.astype("<i8").tobytes()]) for x in (at[begin], at[end], least[begin])]], names=["run", "begin", "last", "least"])
+
+    listed = runs.select("run", "words").dropDuplicates(["run"]).mapInArrow(windows, "run long, at long, key long")
+    known = listed.join(first, "key").select("run", "at", "first").repartition("run").sortWithinPartitions("run", "at")
+    known = checkpointed(known.mapInArrow(intervals, "run long, begin binary, last binary, least binary"))
+
+    def placed(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, cls, start, begin, last, least in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                begin, last, least = (np.frombuffer(x, "<i8") for x in (begin, last, least))
+                earlier = least < doc_id
+                out += [(doc_id, cls, start + s, start + e + window) for s, e in zip(begin[earlier].tolist(), last[earlier].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["doc_id", "cls", "start", "end"])
+
+    joined = runs.drop("words").join(known, "run").select("doc_id", "cls", "start", "begin", "last", "least")
+    return joined.mapInArrow(placed, "doc_id long, cls long, start long, end long")
+
+
 def copies(info: DataFrame) -> DataFrame:
     """cls and smallest doc_id of texts that several rows have."""
     return info.filter("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("cls", "first")
@@ -272,7 +340,9 @@ def remaining(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFr
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and cls of each row of docs(doc_id, text); kept: the kept words where some but not all are removed, else null."""
     info = checkpointed(described(docs, window, k))
-    partial = checkpointed(remaining(docs, checkpointed(spans(docs, info, window, k, hot)), window).withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)))
+    found = checkpointed(spans(docs, info, window, k, hot))
+    release(docs.sparkSession)
+    partial = checkpointed(remaining(docs, found, window).withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)))
     rows = info.drop("anchors").join(checkpointed(copies(info)), "cls", "left").join(partial, ["doc_id", "cls"], "left")
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     return rows.select(

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, *sent: Broadcast) -> DataFrame:
     """df cut from its lineage, kept in the folder that spark.checkpoint.dir names.
 
     The folder must be shared by driver and executors on a cluster; a folder of
-    our own is set only where the session has none (local runs and tests).
+    our own is set only where the session has none (local runs and tests). Broadcasts
+    `sent` that only df's own steps read are destroyed: each keeps a file on the driver,
+    as long as the session lasts, and one on every executor.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    for x in sent:
+        x.destroy()
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -262,7 +262,7 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
 
     packed = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, sizes binary, rest long")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "cold")
-    found = checkpointed(dealt.mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"))
+    found = checkpointed(dealt.mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"), sent)
     release(spark)
     one = found.filter("cold").dropDuplicates(["block"]).unionByName(found.filter("not cold"))
     return checkpointed(one.mapInArrow(unpacked, "cold boolean, block long, node long, rest long"))
@@ -375,7 +375,7 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, size: int, perc
 
     whole = map_texts(docs.filter("doc_id is not null"), sets, "node long, shingles binary", binary=True)
     side = lambda k: whole.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
-    out = checkpointed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(compare, PAIR))
+    out = checkpointed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(compare, PAIR), sent)
     release(spark)
     return out
 

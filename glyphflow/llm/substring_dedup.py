@@ -214,7 +214,7 @@ def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, ho
                 some = part[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate((pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
-    found = checkpointed(docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(emit, "is_hot boolean, key long, doc_id long, cls long, start long, words binary"))
+    found = checkpointed(docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(emit, "is_hot boolean, key long, doc_id long, cls long, start long, words binary"), sent)
 
     def cold(batches):
         out: list[tuple] = []
@@ -267,7 +267,7 @@ def run_spans(hot: DataFrame, window: int) -> DataFrame:
                 out += [(doc_id, cls, start + s, text_class(w[s:e]), w[s:e].tobytes()) for s, e in zip(turns[::2], turns[1::2], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.binary()])], names=["doc_id", "cls", "start", "run", "words"])
 
-    runs = checkpointed(hot.mapInArrow(repeating, "doc_id long, cls long, start long, run long, words binary"))
+    runs = checkpointed(hot.mapInArrow(repeating, "doc_id long, cls long, start long, run long, words binary"), sent)
 
     def windows(batches):
         for b in batches:
@@ -307,7 +307,7 @@ def copies(info: DataFrame) -> DataFrame:
 
 
 def remaining(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, cls, n_removed and the kept words joined by blanks, of the rows with spans; `found` is a stored spans()."""
+    """doc_id, cls, n_removed, the kept words joined by blanks and their digest, of the rows with spans, stored; `found` is a stored spans()."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bitmap(found, "cls"))
 
@@ -334,7 +334,8 @@ def remaining(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFr
                 text.append(b" ".join(kept).decode("utf-8"))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "cls", "n_removed", "kept"])
 
-    return involved.join(found, ["doc_id", "cls"]).select("doc_id", "cls", "text", "starts", "ends").mapInArrow(cut, "doc_id long, cls long, n_removed long, kept string")
+    left = involved.join(found, ["doc_id", "cls"]).select("doc_id", "cls", "text", "starts", "ends").mapInArrow(cut, "doc_id long, cls long, n_removed long, kept string")
+    return checkpointed(left.withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)), sent)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT) -> DataFrame:
@@ -342,7 +343,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = H
     info = checkpointed(described(docs, window, k))
     found = checkpointed(spans(docs, info, window, k, hot))
     release(docs.sparkSession)
-    partial = checkpointed(remaining(docs, found, window).withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)))
+    partial = remaining(docs, found, window)
     rows = info.drop("anchors").join(checkpointed(copies(info)), "cls", "left").join(partial, ["doc_id", "cls"], "left")
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     return rows.select(

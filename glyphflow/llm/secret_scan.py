@@ -1,9 +1,12 @@
 """Secret scan: a random forest that tells secrets from look-alikes.
 
-Candidates are runs of MIN_LENGTH or more characters of keys and digests that hold a
-digit. Their features are length, character transitions and classes, the part covered
-by dictionary words, whether they stand in a path, address or number, and the words
-next to them. A forest trained on labelled findings removes the false positives.
+Candidates are runs of MIN_LENGTH or more characters of keys and digests, and every value
+assigned to or following a secret word: what stands in its quotes, else all up to the next
+blank (or the next name=) without closing punctuation. A value may overlap a run; both are
+candidates. Their features are length, character transitions and classes, the part covered
+by dictionary words, whether they stand in a path, address or number, look like a word, an
+identifier or a placeholder, and the words next to them. A forest trained on labelled
+findings removes the false positives.
 
 All of it is DataFrame functions and MLlib: extraction and features need no shuffle.
 
@@ -23,14 +26,28 @@ from pyspark.sql import functions as F
 from .common import table
 
 MIN_LENGTH, THRESHOLD = 16, 0.5
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*+[0-9])[A-Za-z0-9_+/=.\-]{{{MIN_LENGTH},}}"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/=.\-])(?=[_+/=.\-]*+[A-Za-z0-9])[A-Za-z0-9_+/=.\-]{{{MIN_LENGTH},}}"
 BEFORE, AFTER = 48, 32
 #: Words and word parts that secrets seldom hold by chance.
 DICTIONARY = "the and ing ion ent for that with this from have not are was but all can her one our out has him his how man new now old see two way who did get let put say she too use test example sample demo user admin prod dev stage local host server client config default value name file path data base version release build update package module class function method index table column image icon style script page view model controller service manager handler factory http https www com org net mail doc text your here change replace enter insert key token secret password api access login auth xxxx aaaa 1234 0000".split()
+#: For training: words of prose, of passwords, and parts of long words.
+PROSE = "of and is was for to in on by with must should can will may from that which a the has as or when if its into used required optional expired invalid missing generated stored sent returned signed based management service server code page user account question story agent keeper reading policy field value string des les est une pour avec dans der die das und ist wird mit los una por con para que invalide geheim nuevo"
+PHRASES = "hunter monkey dragon sunshine tr0ub4dor passw0rd p4ss summer winter welcome football letme1n qwerty purple s3cur3 correct horse battery staple tiger blue"
+SYLLABLES = "the tion ing ent lich keit ver schaft eur ment que ación dad re con inter nation al iz er ein sch ung heit on an is er tz au ou her that with bel pre dis able ness"
 SECRET_WORDS = r"(?i)(?:api[_ -]?key|access[_ -]?key|secret|token|passwd|password|pwd|bearer|authorization|credential|private[_ -]?key|auth)"
 OTHER_WORDS = r"(?i)(?:commit|revision|sha-?1|sha-?256|md5|checksum|digest|hash|etag|version|build|uuid|guid|phone|card|order|invoice|isbn|example|blob|tree|merge)"
-TREES, DEPTH, SEED = 24, 7, 11
-#: Labelled findings made for training, of each kind.
+#: Between a secret word and its value; the value may stand on the next line.
+ASSIGNED = r"(?:[ \t]*+(?:[=:]++>?|->)\s*+|\s++(?:(?:is|was)(?:[ \t]*+:)?+\s++)?)(?:(?:basic|bearer|digest)\s++)?"
+#: Values in quotes, else to the next blank or the next name= after one of &;, .
+VALUE = r"""(?<=")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+(?=")|(?<=')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?=')|(?<=`)[^`\n]++(?=`)|(?!["'`])(?:(?![&;,]["']?[a-z_][\w.\-]*+["']?[=:])\S)++"""
+#: 1: a secret word and the rest of its name; 2: what stands before the value; 3: the value. Only a value right after = or : is passed over, so that
+#: one run with many names is read once.
+KEYWORD = rf"""(?=[astpbc])({SECRET_WORDS}[a-z0-9_\-]*+["'`)\]]{{0,2}}+)(?=({ASSIGNED}["'`]?+)({VALUE}))(?:(?=[=:]++>?+\S)\2\3)?+""".replace("(?i)", "")
+KEYWORD = f"(?i){KEYWORD}"
+#: Closing punctuation is no part of a value without quotes.
+CLOSING = ",;.\"'`)]}>"
+TREES, DEPTH, SEED = 32, 10, 11
+#: Labelled texts made for training, of each kind.
 FINDINGS = 120
 BLOCK = 256
 
@@ -41,7 +58,7 @@ FEATURES = {
     "f_symbols": "regexp_count(value, '[^A-Za-z0-9]') / length(value)",
     "f_hex": "regexp_count(value, '[0-9a-fA-F]') / length(value)",
     "f_vowels": "regexp_count(value, '[aeiouAEIOU]') / length(value)",
-    "f_distinct": "size(array_distinct(split(left(value, 128), ''))) / least(length(value), 128)",
+    "f_distinct": "size(array_distinct(split(value, ''))) / least(length(value), 128)",
     "f_transitions": "regexp_count(value, '(?<=[a-z])(?=[0-9A-Z])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])') / length(value)",
     "f_dictionary": f"1 - length(regexp_replace(lower(value), '{'|'.join(sorted(DICTIONARY, key=lambda x: (-len(x), x)))}', '')) / length(value)",
     "f_path": "cast(value rlike '/.*/|^/|[.](?:com|org|net|js|css|png|html|py|txt)$|^[0-9.]+$' or before rlike '(?:://|[/.@])[^ ]*$' or after rlike '^[@/.\\\\\\\\]' as int)",
@@ -49,21 +66,49 @@ FEATURES = {
     "f_near_secret_word": f"cast(before rlike '{SECRET_WORDS}' or after rlike '{SECRET_WORDS}' as int)",
     "f_other_word": f"cast(before rlike '{OTHER_WORDS}' or after rlike '{OTHER_WORDS}' as int)",
     "f_assigned": "cast(before rlike '(?:=|:|=>)[ ]*[\"\\']?$' as int)",
+    "f_classes": "cast(value rlike '[a-z]' as int) + cast(value rlike '[A-Z]' as int) + cast(value rlike '[0-9]' as int) + cast(value rlike '[^A-Za-z0-9]' as int)",
+    "f_punctuation": "regexp_count(value, '[^A-Za-z0-9_+/=. -]') / length(value)",
+    "f_prefix": "cast(value rlike '^(?:AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|[sr]k[_-]|npm_|hf_|pypi-)' as int)",
+    "f_word": "cast(value rlike '^[A-Za-z]?[a-zà-ÿ]+[^A-Za-z0-9]*$' or value rlike '^[A-ZÀ-Þ]+[^A-Za-z0-9]*$' as int)",
+    "f_identifier": "cast(value rlike '^[A-Za-z]+(?:[^A-Za-z0-9]+[A-Za-z]+)+[^A-Za-z0-9]*$' or value rlike '^[a-z]+(?:[A-Z][a-z]{2,})+$' or value rlike '^(?:[A-Z][a-z]{2,})+$' as int)",
+    "f_placeholder": "cast(value rlike '^[$<{%*(\\\\[]|[A-Za-z0-9][(\\\\[]|[*]{3}|^(?i)(?:x+|null|none|nil|true|false|undefined|string|str|int|required|optional|empty|changeme)$' as int)",
+    "f_blanks": "regexp_count(value, '[ \t]') / length(value)",
+    "f_stated": f"cast(before rlike '{SECRET_WORDS}[A-Za-z_]*[ ]+(?:is|was)[ ]*:?[ ]+$' as int)",
     "f_quoted": "cast(before rlike '[\"\\'`]$' and after rlike '^[\"\\'`]' as int)",
 }
 
 
+def starts(sizes: str) -> str:
+    """Blocks of an array of lengths, each with the sum of all before it: a text may hold very many candidates."""
+    return f"transform(sequence(0, size({sizes}) div {BLOCK}), k -> aggregate(slice({sizes}, 1, cast(k * {BLOCK} as int)), 0L, (a, y) -> a + y))"
+
+
+def start_of(blocks: str, sizes: str) -> str:
+    return f"{blocks}[i div {BLOCK}] + aggregate(slice({sizes}, cast(i div {BLOCK} * {BLOCK} + 1 as int), i % {BLOCK}), 0L, (a, y) -> a + y)"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, ordinal, start (characters), value, before and after of each candidate of docs(doc_id, text)."""
-    found = docs.select("doc_id", F.col("text").alias("t")).select("doc_id", "t", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c")).filter("size(c) > 0")
-    parts = found.select("doc_id", "c", F.split("t", CANDIDATE, -1).alias("p")).withColumn("g", F.expr("transform(c, (x, i) -> cast(length(p[i]) + length(x) as bigint))"))
-    # Running sums in two steps, by blocks: a text may hold very many candidates.
-    sums = parts.withColumn("b", F.expr(f"transform(sequence(0, size(c) div {BLOCK}), k -> aggregate(slice(g, 1, cast(k * {BLOCK} as int)), 0L, (a, y) -> a + y))"))
-    each = F.expr(
-        f"transform(c, (x, i) -> named_struct('start', b[i div {BLOCK}] + aggregate(slice(g, cast(i div {BLOCK} * {BLOCK} + 1 as int), i % {BLOCK}), 0L, (a, y) -> a + y) + length(p[i]),"
-        f" 'value', x, 'before', right(p[i], {BEFORE}), 'after', left(p[i + 1], {AFTER})))"
+    of_name = lambda k, where: F.when(where, F.regexp_extract_all("t", F.lit(KEYWORD), F.lit(k))).otherwise(F.array().cast("array<string>"))
+    found = docs.select("doc_id", F.col("text").alias("t")).select("doc_id", "t", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"), of_name(0, F.col("t").rlike(SECRET_WORDS)).alias("w")).filter("size(c) > 0 or size(w) > 0")
+    some = F.size("w") > 0
+    parts = found.select(
+        "doc_id", "c", "w", F.split("t", CANDIDATE, -1).alias("p"), of_name(1, some).alias("h"), of_name(2, some).alias("s"), of_name(3, some).alias("v"),
+        F.when(some, F.split("t", KEYWORD, -1)).otherwise(F.array(F.lit(""))).alias("q"),
+    )
+    sizes = parts.withColumns({"g": F.expr("transform(c, (x, i) -> cast(length(p[i]) + length(x) as bigint))"), "e": F.expr("transform(w, (x, i) -> cast(length(q[i]) + length(x) as bigint))")})
+    sums = sizes.withColumns({"b": F.expr(starts("g")), "d": F.expr(starts("e"))})
+    runs = f"transform(c, (x, i) -> named_struct('start', {start_of('b', 'g')} + length(p[i]), 'value', x, 'before', right(p[i], {BEFORE}), 'after', left(p[i + 1], {AFTER})))"
+    closing = CLOSING.replace("'", "\\'")
+    value = f"if(right(s[i], 1) in ('\"', '\\'', '`'), v[i], rtrim('{closing}', v[i]))"
+    rest = "if(length(x) > length(h[i]), q[i + 1], substr(q[i + 1], length(s[i]) + length(v[i]) + 1))"
+    values = (
+        f"transform(w, (x, i) -> named_struct('start', {start_of('d', 'e')} + length(q[i]) + length(h[i]) + length(s[i]), 'value', {value},"
+        f" 'before', right(concat(q[i], h[i], s[i]), {BEFORE}), 'after', left(concat(substr(v[i], length({value}) + 1), {rest}), {AFTER})))"
     )
-    return sums.select("doc_id", F.posexplode(each).alias("ordinal", "x")).select("doc_id", "ordinal", "x.*")
+    both = sums.select("doc_id", F.expr(f"array_sort(concat({runs}, filter({values}, x -> x.value <> '')))").alias("a"))
+    once = F.expr("filter(a, (x, i) -> i = 0 or x.start <> a[i - 1].start or x.value <> a[i - 1].value)")
+    return both.select("doc_id", F.posexplode(once).alias("ordinal", "x")).select("doc_id", "ordinal", "x.*")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -72,11 +117,23 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """text and label of made-up findings: n of each kind, from digests of numbers. Reviewed findings of one's own have the same form."""
-    sha1, sha2, md5 = "sha1(cast(id as string))", "sha2(cast(id as string), 256)", "md5(cast(id as string))"
-    b64 = f"translate(left(base64(unhex({sha2})), 32), '+/=', 'xYz')"
+    digests = {"sha1": "sha1(cast(id as string))", "sha2": "sha2(cast(id as string), 256)", "md5": "md5(cast(id as string))"}
+    b64 = f"translate(left(base64(unhex(sha2)), 32), '+/=', 'xYz')"
     words = "concat_ws('_', element_at(array('user','release','config','server','module','update'), cast(id % 6 + 1 as int)), element_at(array('default','version','manager','template','example','sample'), cast(id % 5 + 1 as int)), cast(id as string), 'value')"
     name = "element_at(array('token','api_key','secret','password','auth_token','access_key','passwd','client_secret'), cast(id % 8 + 1 as int))"
     upper = "element_at(array('lorem ipsum', 'and then the', 'see below', 'of nothing', '!!'), cast(id % 5 + 1 as int))"
+    pick = lambda x, k: f"element_at(split('{x}', ' '), cast(conv(substr(md5, {k}, 4), 16, 10) % {len(x.split())} + 1 as int))"
+    prose, prose2 = pick(PROSE, 1), pick(PROSE, 5)
+    phrase = f"{pick(PHRASES, 9)} || id % 97 || if(id % 3 = 0, '', {pick(PHRASES, 13)})"
+    marked = f"initcap({pick(PHRASES, 9)}) || {pick('! @ # $ % & * ? + ~ ^', 17)} || id % 89 || if(id % 2 = 0, '', {pick('! # % & xyz x$ Q7', 21)})"
+    symbols = f"translate(left(base64(unhex(sha2)), cast(8 + id % 13 as int)), 'aeiouAEIOU/+', '!@#$%^&*?~{{|')"
+    letters = f"left(regexp_replace(base64(unhex(concat(sha2, md5))), '[^A-Za-z]', ''), cast(20 + id % 17 as int))"
+    low = f"translate(left(md5, cast(10 + id % 12 as int)), '0123456789', 'qwzkxjpvmh')"
+    holder = f"element_at(array('<your {{name}}>', '${{SECRET}}', '********', 'xxxxxxxx', 'null', 'None', 'required', 'string', 'os.environ[\\'X\\']', 'get_value()', 'config.value', 'changeme', 'true', '{{{{ value }}}}', 'example', '$(cat file)', '%s', 'self.value', '[hidden]', '***'), cast(id % 20 + 1 as int))"
+    long = f"left(concat({pick(SYLLABLES, 1)}, {pick(SYLLABLES, 5)}, {pick(SYLLABLES, 9)}, {pick(SYLLABLES, 13)}, {pick(SYLLABLES, 17)}, {pick(SYLLABLES, 21)}, {pick(SYLLABLES, 25)}), cast(16 + id % 14 as int))"
+    parts = {"b64": b64, "words": words, "name": name, "upper": upper, "prose": prose, "prose2": prose2, "phrase": phrase, "marked": marked, "symbols": symbols, "letters": letters, "low": low, "holder": holder, "long": long}
+    # From here on, the names of their columns.
+    sha1, sha2, md5, b64, words, name, upper, prose, prose2, phrase, marked, symbols, letters, low, holder, long = [*digests, *parts]
     kinds = [
         (f"{upper} || ' ' || {name} || ' = \"' || {sha1} || '\" ' || {upper}", 1),
         (f"upper({upper} || ' ' || {name} || ' = \"' || {sha1} || '\"!! ' || {upper})", 1),
@@ -100,9 +157,35 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"{upper} || ' ' || concat_ws('.', id % 250, id % 240 + 10, 100 + id % 99, 100 + id % 87) || '.1 ' || {upper}", 0),
         (f"{upper} || ' uuid ' || left({md5}, 8) || '-' || substr({md5}, 9, 4) || '-' || substr({md5}, 13, 4) || '-' || substr({md5}, 17, 16) || ' ' || {upper}", 0),
         (f"{upper} || ' ' || repeat('abcdefgh', 2) || id || ' ' || {upper}", 0),
+        # Values of any length and punctuation, and without digits.
+        *[(f"{before} || {name} || {joint} || {x} || {end}", 1) for x in (phrase, marked, symbols, letters, low) for before, joint, end in (("'db_'", "': '", "' ' || " + upper), (f"{upper} || ' '", "' = \"'", "'\" '"), (f"{upper} || '\n'", "'='", "'\n' || " + upper))],
+        *[(f"{upper} || ' the ' || {name} || ' ' || {joint} || {x} || ' ' || {upper}", 1) for x in (phrase, marked, symbols) for joint in ("''", "'is '")],
+        (f"{upper} || ' AKIA' || upper(left({letters}, 16)) || ' ' || {upper}", 1),
+        (f"{upper} || ' ghp_' || {letters} || ' ' || {upper}", 1),
+        (f"{upper} || ' {{\"' || {name} || '\":\"' || {letters} || '\"}} ' || {upper}", 1),
+        # Prose, code and placeholders.
+        *[(f"{upper} || ' the ' || {name} || ' ' || {prose} || ' {more} ' || {upper}", 0) for more in ("and", "of it,", "is here.")],
+        (f"{upper} || ' ' || {name} || ', ' || {prose} || ': ' || {prose2} || ' ' || {upper}", 0),
+        (f"{upper} || ' ' || {name} || ': ' || {prose} || ' ' || {prose2} || '. ' || {upper}", 0),
+        (f"{upper} || ' ' || {name} || ' is ' || {prose} || '. ' || {upper}", 0),
+        (f"{upper} || ' the ' || {name} || ' was ' || {prose} || ' ' || {prose2} || ' ' || {upper}", 0),
+        (f"{upper} || ' ' || {name} || ' ' || id % 100 || ' ' || {prose} || ' ' || {upper}", 0),
+        (f"{upper} || ' ' || {name} || ' = ' || {holder} || ' ' || {upper}", 0),
+        (f"{name} || '=\"' || {holder} || '\" ' || {upper}", 0),
+        (f"{upper} || ' ' || {name} || ': ' || {holder} || '\n' || {upper}", 0),
+        (f"{upper} || ' ' || {long} || ' ' || {upper}", 0),
+        (f"{upper} || ' ' || initcap({long}) || '. ' || {upper}", 0),
+        *[(f"{upper} || ' ' || {case}(left({x}, 20)) || ' ' || {upper}", 0) for case in ("lower", "initcap", "upper") for x in (letters, long)],
+        (f"upper({upper} || ' ' || {long} || '. ' || {upper})", 0),
+        (f"{upper} || ' ' || concat_ws('-', {prose}, {prose2}, {prose}, {prose2}) || ' ' || {upper}", 0),
+        (f"{upper} || ' ' || concat_ws('/', {prose}, {prose2}, 'main', {prose}) || '.java ' || {upper}", 0),
+        (f"{upper} || ' get' || initcap({prose}) || initcap({prose2}) || 'Manager' || initcap({prose}) || '() ' || {upper}", 0),
+        (f"{upper} || ' ' || upper(concat_ws('_', {prose}, {prose2}, {prose}, 'default')) || ' ' || {upper}", 0),
+        (f"{upper} || ' www.' || {prose} || {prose2} || '.example.com/' || {prose} || ' ' || {upper}", 0),
     ]
     one = F.explode(F.array(*[F.struct(F.expr(x).alias("text"), F.lit(float(y)).alias("label")) for x, y in kinds])).alias("x")
-    return spark.range(0, n, 1, 1).select(one).select("x.*")
+    made = spark.range(0, n, 1, 1).select("id", *[F.expr(x).alias(k) for k, x in digests.items()]).select("*", *[F.expr(x).alias(k) for k, x in parts.items()])
+    return made.select(one).select("x.*")
 
 
 def assembled(found: DataFrame) -> DataFrame:
@@ -126,13 +209,33 @@ BROADCAST_ROWS = 100_000
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of findings() replaced by a mark, in the columns of docs; n_chars, where there is one, follows."""
-    secrets = found.filter("is_secret and doc_id is not null").groupBy("doc_id").agg(F.collect_set("value").alias("__secrets"))
+    """docs with the secrets of findings() replaced by a mark, in the columns of docs; n_chars, where there is one, follows.
+
+    A secret also goes where its text stands again; one of under MIN_LENGTH characters, only where no letter or digit adjoins it.
+    """
+    secrets = found.filter("is_secret and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "value")).alias("__secrets"))
     if secrets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         secrets = F.broadcast(secrets)
-    # Longer ones first: one may be part of another.
-    order = F.array_sort("__secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))
-    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate(order, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+
+    # First by their places, as findings may overlap in part.
+    def cut(acc: Column, x: Column) -> Column:
+        end = (x["start"] + F.length(x["value"])).cast("long")
+        before = F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")))
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when((acc["at"] > 0) & (x["start"] < acc["at"]), acc["kept"]).otherwise(F.concat(acc["kept"], before)).alias("kept"))
+
+    def joined(acc: Column) -> Column:
+        return F.array_join(F.concat(acc["kept"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))), mark)
+
+    placed = F.aggregate(F.array_sort("__secrets"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept")), cut, joined)
+    # Then again by their text, longer ones first: one may be part of another.
+    values = F.array_distinct(F.transform(F.filter("__secrets", lambda x: ~F.contains(F.lit(mark), x["value"])), lambda x: x["value"]))
+    order = F.array_sort(values, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))
+
+    def again(t: Column, x: Column) -> Column:
+        alone = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.when(F.length(x) >= MIN_LENGTH, F.replace(t, x, F.lit(mark))).otherwise(F.regexp_replace(t, alone, F.lit(mark.replace("\\", "\\\\").replace("$", "\\$"))))
+
+    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate(order, placed, again))
     out = docs.join(secrets, "doc_id", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -42,18 +43,28 @@ THRESHOLD = 0.3
 KEPT_WORDS = 300_000
 #: New words whose features are listed at one time.
 LEARNT = 4_000
+#: Words of so many bytes have their features listed in slices; training doesn't keep them, scoring keeps their sums.
+LONG, SLICE = 40, 1 << 16
 
 
 def word_features(word: bytes) -> list[int]:
     """Buckets of a word and of its character n-grams (in code points, with borders marked)."""
+    return [y for x in feature_slices(word) for y in x]
+
+
+def feature_slices(word: bytes) -> Iterator[list[int]]:
+    """word_features() in lists of bounded length, one list for most words."""
     text = f"<{word.decode('utf-8')}>"
     out = [1 + zlib.crc32(word) % (BUCKETS - 1)]
-    if len(text) <= 40:
-        out += [zlib.crc32(text[i : i + k].encode(), k) % (BUCKETS - 1) + 1 for k in NGRAMS for i in range(len(text) - k + 1)]
-    else:  # of very long words, the n-grams at both ends
-        ends = text[:20], text[-20:]
-        out += [zlib.crc32(x[i : i + k].encode(), k) % (BUCKETS - 1) + 1 for x in ends for k in NGRAMS for i in range(len(x) - k + 1)]
-    return out
+    for k in NGRAMS:
+        n = len(text) - k + 1
+        for i in range(0, n, SLICE):
+            out += [zlib.crc32(text[j : j + k].encode(), k) % (BUCKETS - 1) + 1 for j in range(i, min(i + SLICE, n))]
+            if len(out) >= SLICE:
+                yield out
+                out = []
+    if out:
+        yield out
 
 
 @dataclass
@@ -72,6 +83,10 @@ def bag(text: str, known: dict[bytes, array]) -> tuple[np.ndarray, np.ndarray]:
     all_ids = array("i")
     words = text.encode("utf-8").split()
     for w in words:
+        if len(w) >= LONG:
+            for x in feature_slices(w):
+                all_ids += array("i", x)
+            continue
         if (x := known.get(w)) is None:
             x = known[w] = array("i", word_features(w))
         all_ids += x
@@ -125,10 +140,20 @@ class Scorer:
         while need > len(self.total):
             self.total = np.concatenate([self.total, np.zeros_like(self.total)])
             self.features = np.concatenate([self.features, np.zeros_like(self.features)])
-        ids = [word_features(w) for w in new]
-        sizes = np.array([len(x) for x in ids])
-        flat = np.array([y for x in ids for y in x], dtype=np.int64)
-        sums = np.add.reduceat(self.margins[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        sizes, sums = np.zeros(len(new)), np.zeros(len(new))
+        short, lists = [], []
+        for i, w in enumerate(new):
+            if len(w) < LONG:
+                short.append(i)
+                lists.append(word_features(w))
+                continue
+            for x in feature_slices(w):
+                sizes[i] += len(x)
+                sums[i] += self.margins[x].sum()
+        if short:
+            lengths = np.array([len(x) for x in lists])
+            flat = np.array([y for x in lists for y in x], dtype=np.int64)
+            sizes[short], sums[short] = lengths, np.add.reduceat(self.margins[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
         at = len(self.index)
         self.total[at : at + len(new)] = sums
         self.features[at : at + len(new)] = sizes

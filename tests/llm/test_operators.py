@@ -189,6 +189,23 @@ def test_quality_classifier(spark, docs, empty):
     assert {r["score"] for r in alone} == {0.5}
 
 
+def test_long_words(monkeypatch):
+    """Every n-gram of a word of any length counts, in training and scoring."""
+    monkeypatch.setattr(quality_classifier, "SLICE", 700)
+    rnd = random.Random(9)
+    for n in (1, 20, 37, 38, 39, 40, 41, 5000):
+        text = "".join(rnd.choice("abcdé日本") for _ in range(n))
+        marked = f"<{text}>"
+        grams = [zlib.crc32(marked[i : i + k].encode(), k) % (quality_classifier.BUCKETS - 1) + 1 for k in (3, 4) for i in range(len(marked) - k + 1)]
+        expected = [1 + zlib.crc32(text.encode()) % (quality_classifier.BUCKETS - 1), *grams]
+        assert list(quality_classifier.word_features(text.encode())) == expected
+        ids, share = quality_classifier.bag(text, {})
+        assert ids.tolist() == sorted(set(expected)) and abs(share.sum() - 1) < 1e-4
+        margins = np.random.default_rng(n).normal(size=quality_classifier.BUCKETS)
+        mean = np.mean([*margins[expected], *margins[list(quality_classifier.word_features(b"short"))]])
+        assert abs(quality_classifier.Scorer(margins, 0.0)([f"{text} short".encode()])[0] - 1 / (1 + np.exp(-mean))) < 1e-9
+
+
 def jaccard(data):
     sets = []
     for i, t in data:

@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
 Rules are regular expressions over the text with A-Z lower-cased. A rule runs only on
-texts that hold its keyword. Rules have a priority (0 first); a detection is dropped
+texts that hold all words of one of its keywords. Rules have a priority (0 first); a detection is dropped
 if it lies inside one of an earlier priority, or of the same priority and longer (the
 earlier rule on a tie). The rules: for each license family below its identifier line,
 grants by name, its name alone, and its addresses; and a few general grants.
@@ -50,7 +50,7 @@ expat | expat | expat license | jclark\.com/xml/copying | expat,jclark
 bsd-2-clause | bsd-2-clause | (?:simplified|2-clause|two-clause|freebsd) bsd license | opensource\.org/licenses?/bsd-2-clause | bsd
 bsd-3-clause | bsd-3-clause | (?:new|revised|modified|3-clause|three-clause) bsd license | opensource\.org/licenses?/bsd-3-clause | bsd
 bsd-4-clause | bsd-4-clause | (?:original|4-clause|four-clause) bsd license | spdx\.org/licenses/bsd-4-clause | bsd
-bsd-0-clause | 0bsd | (?:zero-clause|0-clause|free public) (?:bsd )?license | opensource\.org/licenses?/0bsd | bsd,free public
+bsd-0-clause | 0bsd | (?:zero-clause|0-clause|free public) (?:bsd )?license | opensource\.org/licenses?/0bsd | bsd,free public,zero-clause,0-clause
 bsd | bsd | bsd(?:-style)? license | opensource\.org/licenses?/bsd-license | bsd
 isc | isc | isc license | opensource\.org/licenses?/isc | isc
 mpl-1.1 | mpl-1\.1 | mozilla public license,? (?:version |v\.? ?)1\.1 | mozilla\.org/mpl/mpl-1\.1 | mpl,mozilla
@@ -160,7 +160,8 @@ def detections(low: bytes) -> list[tuple[str, int, int, int]]:
     for order, r in enumerate(rules()):
         for k in r.keywords:
             if k not in has:
-                has[k] = k in low
+                # Word by word: any run of SPACE may stand for a blank.
+                has[k] = all(w in low for w in k.split())
         if any(map(has.__getitem__, r.keywords)):
             found += [(r.priority, m.start() - m.end(), order, m.start(), m.end(), r.label) for m in r.pattern.finditer(low)]
     kept: list[tuple[str, int, int, int]] = []
@@ -172,8 +173,8 @@ def detections(low: bytes) -> list[tuple[str, int, int, int]]:
     return kept
 
 
-#: A text without any of these has neither a base phrase nor a detection.
-GATE = re.compile(rb"licen[cs]e|copyright|spdx|cc|public.?domain|permission|redistribution|gpl|bsd|mit|apache|free software|proprietary|rights reserved|\.org|\.net|\.com|\.eu|\.co/|commons|cc0")
+#: Single words, as blanks may be any run of SPACE. A text without any of these has neither a base phrase nor a detection.
+GATE = re.compile(rb"licen[cs]e|copyright|spdx|cc|domain|permission|redistribut|gpl|bsd|mit|apache|proprietary|reserved|\.org|\.net|\.com|\.eu|\.co/|commons|cc0")
 
 
 def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, int]]]:

@@ -151,6 +151,44 @@ def test_licenses(docs, empty):
     assert [x[0] for x in licenses.detections(b"spdx-license-identifier: mit")] == ["mit"]
 
 
+def sample(tree, rnd):
+    """A text that a rule's parsed pattern matches, a line end and a comment mark in place of blanks."""
+    out = ""
+    for op, x in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "SUBPATTERN":
+            out += sample(x[-1], rnd)
+        elif op == "BRANCH":
+            out += sample(rnd.choice(x[1]), rnd)
+        elif op == "MAX_REPEAT":
+            inner = x[2][0]
+            blank = str(inner[0]) == "IN" and any(y[1] == 42 for y in inner[1] if str(y[0]) == "LITERAL")
+            out += "\n * " if blank else sample(x[2], rnd) * rnd.choice([x[0], min(x[1], x[0] + 1)])
+        elif op == "IN":
+            y = rnd.choice(x)
+            out += chr(y[1] if str(y[0]) == "LITERAL" else rnd.randint(*y[1]))
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_licenses_wrapped():
+    """No rule's match is lost to keywords or gate where headers are wrapped."""
+    import re
+
+    rnd = random.Random(6)
+    for r in licenses.rules():
+        for _ in range(20):
+            text = sample(re._parser.parse(r.pattern.pattern), rnd).encode()
+            m = r.pattern.search(text)
+            assert m, (r.label, text)
+            assert any(a <= m.start() and m.end() <= b for _, _, a, b in licenses.scan(text)[2]), (r.label, text)
+    assert [x[0] for x in licenses.scan(b"released under the gnu general\n * public license, version 2.")[2]] == ["gpl-2.0"]
+    assert [x[0] for x in licenses.scan(b"released into the public\n# domain")[2]] == ["public-domain"]
+
+
 def test_quality_rules(docs, empty):
     expected = []
     for i, t in texts():

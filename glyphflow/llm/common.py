@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -23,25 +24,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, *sent: Broadcast) -> DataFrame:
-    """df cut from its lineage, kept in the folder that spark.checkpoint.dir names.
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (local-cluster is not)."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
-    The folder must be shared by driver and executors on a cluster; a folder of
-    our own is set only where the session has none (local runs and tests). Broadcasts
-    `sent` that only df's own steps read are destroyed: each keeps a file on the driver,
-    as long as the session lasts, and one on every executor.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Where nothing names one, a local session gets a temporary folder of its own; on a
+    cluster, where executors would write to disks that nothing else reads, this raises.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame, *sent: Broadcast | None) -> DataFrame:
+    """df cut from its lineage, kept in shared_folder() until forget() or the end of the application.
+
+    Broadcasts `sent` that only df's own steps read are destroyed: each keeps a file on the driver,
+    as long as the session lasts, and one on every executor.
+    """
+    shared_folder(df.sparkSession)
     out = df.checkpoint()
     for x in sent:
-        x.destroy()
+        if x is not None:
+            x.destroy()
     return out
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*stored: DataFrame) -> None:
+    """Deletes the files of checkpointed() steps. Only for steps whose every reader is stored itself: nothing can be computed from them again."""
+    for df in stored:
+        plan = df._jdf.logicalPlan()
+        while plan.getClass().getSimpleName() == "Project":
+            plan = plan.child()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            remove_folder(df.sparkSession, file.get())
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of finished steps now, not when the driver next collects garbage."""
+    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects garbage. Checkpoints stay: forget() deletes those."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -52,7 +87,10 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own: Spark's is 64 MB a task, in the JVM and once more in Python."""
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own: Spark's is 64 MB a task, in the JVM and once more in Python.
+
+    The setting stays in the session, as DataFrames are run after the function that made them has returned.
+    """
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
@@ -225,28 +263,69 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-#: Bits of a bitmap(): 16 MB, whatever the number of hashes.
-BITMAP_BITS = 27
+#: Bits of a HashFilter for each of its numbers (one in so many other numbers is found too), and the most bits it may have: 128 MB.
+FILTER_RATIO, FILTER_BITS = 16, 30
+#: Numbers that such a filter can hold.
+FILTER_KEYS = (1 << FILTER_BITS) // FILTER_RATIO
 
 
-def bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A set of the 64-bit numbers of a column, as 2^bits bits by their lowest bits.
+class HashFilter:
+    """A set of 64-bit numbers as bits at their lowest bits, sized by their count. Numbers of the set are always found; of others about one in FILTER_RATIO."""
 
-    Of fixed size, so it can be broadcast however long the column is. Numbers of the set
-    are always found; others may be found too, the more the longer the column.
-    """
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = x.view(np.uint64)
+        low = x & np.uint64(len(self.words) * 64 - 1)
+        return (self.words[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def hash_filter(df: DataFrame, column: str, n: int) -> HashFilter:
+    """The filter of a column of n 64-bit numbers, at most FILTER_KEYS: past those it would be full, and the caller needs a join."""
+    if n > FILTER_KEYS:
+        raise ValueError(f"{n} numbers are too many for a filter")
+    bits = max(10, (n * FILTER_RATIO - 1).bit_length() if n else 0)
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     words = df.select(F.shiftright(low, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
+    return HashFilter(out)
+
+
+#: A key is heavy if it has over one in so many of the rows (so fewer keys than this are) and more rows than one task should have.
+HEAVY_SHARE, HEAVY_ROWS = 1024, 100_000
 
 
-def in_bitmap(words: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of the 64-bit numbers are in a bitmap."""
-    x = x.view(np.uint64)
-    low = x & np.uint64(len(words) * 64 - 1)
-    return (words[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+def heavy_keys(df: DataFrame, key: str, rows: int | None = None) -> dict:
+    """Heavy keys of a column, with the number of parts of `rows` rows that each makes: fewer than HEAVY_SHARE keys, whatever the table. `df` is read twice."""
+    rows = rows or HEAVY_ROWS
+    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total, top = sizes.agg(F.sum("n"), F.max("n")).first()
+    limit = max((total or 0) / HEAVY_SHARE, rows)
+    if not top or top <= limit:
+        return {}
+    return {bytes(r[0]) if isinstance(r[0], bytearray) else r[0]: -(-r["n"] // rows) for r in sizes.filter(F.col("n") > limit).collect()}
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, by: str, heavy: dict) -> tuple[DataFrame, DataFrame]:
+    """Both with a column __salt: rows of heavy keys in `many` are dealt over their parts by a hash of `by`, rows of those keys in `one` are in every part."""
+    if not heavy:
+        return many.withColumn("__salt", F.lit(0)), one.withColumn("__salt", F.lit(0))
+    parts = F.broadcast(many.sparkSession.createDataFrame(list(heavy.items()), f"`{key}` {many.schema[key].dataType.simpleString()}, __parts int"))
+    n = F.coalesce("__parts", F.lit(1))
+    dealt = many.join(parts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("__parts")
+    spread = one.join(parts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
+    return dealt, spread
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """many joined with `one`, which has a row a key; a key that holds a third of `many` is on many tasks."""
+    heavy = heavy_keys(many, key, rows)
+    if not heavy:
+        return many.join(one, key, how)
+    a, b = salted(many, one, key, by, heavy)
+    return a.join(b, [key, "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,47 +333,65 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of contraction: every vertex goes to its smallest neighbour if that is smaller,
     chains are followed, edges are renamed and doubles dropped, until no edge is left. The
-    vertices at least halve in few rounds; no vertex's neighbours meet in one task.
+    vertices at least halve in few rounds. A vertex's neighbours meet in an aggregate that
+    starts before the shuffle; the joins deal the edges of a heavy vertex over many tasks.
     """
     left = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     steps: list[DataFrame] = []
-    while not left.isEmpty():
+    # Few edges can't have a heavy vertex.
+    plain = lambda many, one, key, by, how="inner": many.join(one, key, how)
+    big = False
+    while n := left.count():
+        join = salted_join if n > HEAVY_ROWS else plain
+        big |= n > HEAVY_ROWS
         both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
         to = checkpointed(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("to")))
         for _ in range(2):
-            to = checkpointed(to.join(to.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to")))
+            before, to = to, checkpointed(join(to, to.select(F.col("v").alias("to"), F.col("to").alias("next")), "to", "v").select("v", F.col("next").alias("to")))
+            forget(before)
         steps.append(to)
         at = lambda name: to.select(F.col("v").alias(name), F.col("to").alias(f"to_{name}"))  # noqa: B023, E731
-        renamed = left.join(at("a"), "a").join(at("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        left = checkpointed(renamed.filter("a < b").distinct())
+        renamed = join(join(left, at("a"), "a", "b"), at("b"), "b", "a").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        before, left = left, checkpointed(renamed.filter("a < b").distinct())
+        forget(before)
     if not steps:
         return left.select(F.col("a").alias("v"), F.col("b").alias("root"))
     out = steps[0].select("v", F.col("to").alias("root"))
     for to in steps[1:]:
-        out = out.join(to.select(F.col("v").alias("root"), F.col("to").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
-    return checkpointed(out)
+        out = (salted_join if big else plain)(out, to.select(F.col("v").alias("root"), F.col("to").alias("next")), "root", "v", "left").select("v", F.coalesce("next", "root").alias("root"))
+    out = checkpointed(out)
+    forget(*steps)
+    return out
 
 
 #: Ids are broadcast, as 64-bit integers, up to this number.
 BROADCAST_IDS = 2_000_000
 
 
+def in_sorted(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in sorted ids."""
+    if not len(ids):
+        return np.zeros(len(x), dtype=bool)
+    return ids[np.minimum(np.searchsorted(ids, x), len(ids) - 1)] == x
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, *, inside: bool) -> DataFrame:
     """Rows of docs whose doc_id is (inside) or isn't (rows with null doc_id too) in the column doc_id of `ids`.
 
     A short list is broadcast and the texts stay where they are; a long one is joined by a shuffle.
     """
     bounded_batches(docs.sparkSession)
-    few = ids.select("doc_id").limit(BROADCAST_IDS + 1).toArrow()
+    ids = ids.select("doc_id").filter("doc_id is not null").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).toArrow()
     if few.num_rows > BROADCAST_IDS:
-        return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi" if inside else "left_anti").select(*docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(np.unique(few.column(0).to_numpy()))
+        return docs.join(ids, "doc_id", "left_semi" if inside else "left_anti").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(few.column(0).to_numpy()))
     at = docs.columns.index("doc_id")
 
     def keep(batches):
         for b in batches:
             col = b.column(at)
-            found = np.isin(pc.fill_null(col, 0).to_numpy(zero_copy_only=False), sent.value) & pc.is_valid(col).to_numpy(zero_copy_only=False)
+            found = in_sorted(sent.value, pc.fill_null(col, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(col).to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(found if inside else ~found))
 
     return docs.mapInArrow(keep, docs.schema)

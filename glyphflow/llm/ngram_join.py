@@ -9,17 +9,21 @@ verified on their whole sets. Linked nodes are joined into components.
 
 Blocks: two sets can only be similar if they share one of their first
 n - ceil(PERCENT / 100 n) + 1 shingles in any common order. The order puts common
-shingles (in more than COMMON nodes or documents, counted over all documents) last.
+shingles (in more than COMMON sets, counted over all documents) last.
 Blocks of other shingles so have COMMON members at most, all in one task. The block
 of a common shingle (thousands of near copies) is taken in two steps that never hold
 it in one task: all its members against one hub; then, where that leaves several
-components in the block, the members outside the hub's component against all members,
-in chunks. Pairs within a component need no look, so no link between components is lost.
+components in the block, the members outside the hub's component against all members
+of similar size, in chunks. Pairs within a component need no look, so no link between
+components is lost.
 
 Null and empty texts have no shingles and link with nothing; fewer than SIZE words are
-one shingle. Rows with a null doc_id are described but link with nothing
-(component_id null). Repeated rows are rows of one node. Extra columns are ignored; an
-empty table gives no rows. Sets are compared by 64-bit hashes of shingles.
+one shingle. Very long texts are hashed in parts, their sets whole. Rows with a null
+doc_id are described but link with nothing (component_id null). Rows that share a doc_id
+are one document to jaccard_components(): the links of each text are the document's, and
+all its rows have one component_id. Extra columns are ignored (without_near_duplicates()
+keeps them); an empty table gives no rows. Shingles are compared by 64-bit hashes, whole
+sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -28,19 +32,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bitmap, checkpointed, components, grouped, in_bitmap, map_texts, mix, release, slices, table, windows_hash, word_hashes
+from .common import BROADCAST_IDS, FILTER_KEYS, bounded_batches, by_ids, checkpointed, components, forget, grouped, hash_filter, heavy_keys, in_sorted, map_texts, mix, release, salted, salted_join, slices, table, windows_hash, word_hashes
 
 SIZE, PERCENT, COMMON = 5, 75, 32
 LEAF = 8
-#: Members of a common shingle's block that are compared in one chunk.
-CHUNK = 512
+#: Members of a common shingle's block that are compared in one chunk, and members that ask there in one task.
+CHUNK, ASKING = 512, 4096
+#: Rows with points or whole sets that one task joins for one node.
+NODE_ROWS = 1000
 #: Hashes that a task counts before it passes them on.
 FLUSH = 1_000_000
 #: Bytes kept of a hash when shingles are counted (a shingle may only seem more common).
 COUNTED = 6
+#: Bytes of packed hashes that one task should read.
+TASK_BYTES = 128 << 20
+#: Sets whose 64-bit hashes meet, of which every task is told. Of 10^10 different sets about three are expected.
+COLLIDED = 1_000_000
+#: Size classes that similar sets may be apart.
+ZONES = 5
+
 
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
@@ -54,10 +69,19 @@ def shingle_sets(texts: list[bytes], size: int = SIZE) -> Iterator[np.ndarray]:
                 yield windows_hash(h[a:b], b - a) if b > a else np.empty(0, dtype=np.uint64)
 
 
-def node_of(s: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
+def hashes_of(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set, independent of each other: together its identity."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
+        n = np.uint64(len(s))
+        sums = np.array([mix(s).sum(dtype=np.uint64) + n, mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + n], dtype=np.uint64)
+        a, b = mix(sums).view(np.int64).tolist()
+    return a, b
+
+
+def node_of(s: np.ndarray, collided: frozenset[int] = frozenset()) -> int:
+    """A set's node: its first hash, or the second where different sets have that first one."""
+    a, b = hashes_of(s)
+    return b if a in collided else a
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
@@ -126,21 +150,68 @@ class RTree:
 
 
 def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, node and point (bytes) of each row."""
+    """doc_id, n_shingles, node, check (the set's second hash) and point (bytes) of each row."""
 
     def rows(ids, texts):
         out = []
         for s in shingle_sets(texts, size):
-            out.append((len(s), node_of(s), packed_point(point_of(s))))
-        return (pa.array(ids, pa.int64()), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))])
+            out.append((len(s), *hashes_of(s), packed_point(point_of(s))))
+        return (pa.array(ids, pa.int64()), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))])
 
-    return map_texts(docs, rows, "doc_id long, n_shingles long, node long, point binary", binary=True)
+    return map_texts(docs, rows, "doc_id long, n_shingles long, node long, check long, point binary", binary=True)
 
 
-def common_shingles(docs: DataFrame, size: int, common: int) -> DataFrame:
-    """key: the lowest bits of shingles in more than `common` documents. Hashes travel in packed runs, dealt by their highest bits."""
-    spark = docs.sparkSession
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def nodes_of(info: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """info with nodes that are told apart by 128 bits, its nodes (node, doc_id: the smallest, n), stored, and the first hashes that different sets share."""
+    count = lambda x: checkpointed(x.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+    nodes = count(info)
+    found = nodes.filter("lo <> hi").select("node").limit(COLLIDED + 1).collect()
+    if len(found) > COLLIDED:
+        raise RuntimeError("too many sets with equal hashes")
+    if found:
+        info = info.join(F.broadcast(nodes.filter("lo <> hi").select("node", F.lit(True).alias("met"))), "node", "left").withColumn("node", F.when(F.col("met"), F.col("check")).otherwise(F.col("node"))).drop("met")
+        nodes = count(info)
+    return info, nodes.select("node", "doc_id", "n"), frozenset(r[0] for r in found)
+
+
+class Sets:
+    """Sets of the documents that stand for their nodes, and what tasks need to make them."""
+
+    def __init__(self, docs: DataFrame, info: DataFrame, nodes: DataFrame, size: int, collided: frozenset[int]):
+        """info: doc_id, node. Rows whose sets other rows stand for are left out if few enough to tell every task; else they count as what they are, copies."""
+        self.docs, self.size, self.collided = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")), size, collided
+        copies = salted_join(info.filter("doc_id is not null").select("doc_id", "node"), nodes.select("node", F.col("doc_id").alias("first")), "node", "doc_id").filter("doc_id <> first").select("doc_id")
+        few = copies.join(nodes.select("doc_id"), "doc_id", "left_anti").distinct().limit(BROADCAST_IDS + 1).toArrow()
+        ids = np.sort(few.column(0).to_numpy()) if few.num_rows <= BROADCAST_IDS else np.empty(0, dtype=np.int64)
+        self.skipped: Broadcast = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def reader(self):
+        """A function of Arrow batches that yields the sets, one by one."""
+        size, skipped = self.size, self.skipped
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for batch in batches:
+                for b in slices(batch, 1):
+                    use = ~in_sorted(skipped.value, b.column(0).to_numpy())
+                    yield from shingle_sets([t or b"" for t, x in zip(b.column(1).to_pylist(), use.tolist(), strict=True) if x], size)
+
+        return read
+
+
+def dealt(packed: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Rows dealt by their bucket, to more tasks than the session has where `total` bytes need them."""
+    usual, need = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)
+    return packed.repartition(need, "bucket") if need > usual else packed.repartition("bucket")
+
+
+def buckets_for(spark: SparkSession, total: int) -> int:
+    return 16 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+
+
+def common_shingles(sets: Sets, total: int, common: int) -> DataFrame:
+    """key, n: the lowest bits of shingles in more than `common` sets, and in how many. Hashes travel in packed runs, dealt by their highest bits; `total`: of all sets."""
+    buckets = buckets_for(sets.docs.sparkSession, COUNTED * total)
+    read = sets.reader()
 
     def count(batches):
         held, n = [], 0
@@ -155,14 +226,12 @@ def common_shingles(docs: DataFrame, size: int, common: int) -> DataFrame:
             used = np.flatnonzero(np.diff(edges))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([np.ascontiguousarray(raw[edges[i] : edges[i + 1]]).tobytes() for i in used], pa.binary())], names=["bucket", "hashes"])
 
-        for batch in batches:
-            for b in slices(batch, 0):
-                for s in shingle_sets([t or b"" for t in b.column(0).to_pylist()], size):
-                    held.append(s)
-                    n += len(s)
-                if n > FLUSH:
-                    yield from made()
-                    held, n = [], 0
+        for s in read(batches):
+            held.append(s)
+            n += len(s)
+            if n > FLUSH:
+                yield from made()
+                held, n = [], 0
         if n:
             yield from made()
 
@@ -173,17 +242,28 @@ def common_shingles(docs: DataFrame, size: int, common: int) -> DataFrame:
             x[:, :COUNTED] = raw
             x = np.sort(x.view("<u8").ravel())
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[first][np.diff(np.append(first, len(x))) > common].view(np.int64))], names=["key"])
-
-    packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "bucket long, hashes binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "key long")
-
-
-def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
-    """Blocks of other shingles as (true, block, node, null); members of common shingles' blocks as (false, key, node, rest), rest: how many shingles of the node's prefix aren't common."""
-    spark = docs.sparkSession
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = spark.sparkContext.broadcast(bitmap(checkpointed(common_shingles(docs, size, common)), "key"))
+            n = np.diff(np.append(first, len(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[first][n > common].view(np.int64)), pa.array(n[n > common], pa.int64())], names=["key", "n"])
+
+    packed = sets.docs.mapInArrow(count, "bucket long, hashes binary")
+    return dealt(packed, COUNTED * total).sortWithinPartitions("bucket").mapInArrow(reduce, "key long, n long")
+
+
+def blocks(sets: Sets, total: int, percent: int, common: int) -> DataFrame:
+    """Blocks of other shingles as (true, block, node, null); members of common shingles' blocks as (false, key, node, rest), rest: how many shingles of the node's prefix aren't common.
+
+    If there are more common shingles than a filter holds, common means more common.
+    """
+    spark, collided = sets.docs.sparkSession, sets.collided
+    read = sets.reader()
+    # A prefix has a key and a node, of 8 bytes each, and a size class for each of its shingles.
+    need = 17 * total * (100 - percent) // 100
+    buckets = buckets_for(spark, need)
+    counted = checkpointed(common_shingles(sets, total, common))
+    while (n := counted.filter(F.col("n") > common).count()) > FILTER_KEYS:
+        common *= 2
+    sent = spark.sparkContext.broadcast(hash_filter(counted.filter(F.col("n") > common), "key", n))
+    forget(counted)
     release(spark)
 
     def emit(batches):
@@ -209,24 +289,22 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
             rows += [(int(x[0, 1] % buckets), False, x[:, 0].tobytes(), x[:1, 1].tobytes(), b"", int(x[0, 2])) for x in hot_once]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "cold", "keys", "nodes", "sizes", "rest"])
 
-        for batch in batches:
-            for b in slices(batch, 0):
-                for s in shingle_sets([t or b"" for t in b.column(0).to_pylist()], size):
-                    if not len(s):
-                        continue
-                    node, take = node_of(s), len(s) + (-percent * len(s) // 100) + 1
-                    is_common = in_bitmap(sent.value, s & np.uint64((1 << 8 * COUNTED) - 1))
-                    own = s[~is_common][:take]
-                    if len(own):
-                        keys.append(own)
-                        nodes.append((node, len(own), size_class(len(s), percent)))
-                    if len(own) < take:
-                        x = s[is_common][: take - len(own)].view(np.int64)
-                        hot.append(np.column_stack([x, np.full(len(x), node), np.full(len(x), len(own))]))
-                    n += take
-                if n > FLUSH:
-                    yield from made()
-                    keys, nodes, hot, n = [], [], [], 0
+        for s in read(batches):
+            if not len(s):
+                continue
+            node, take = node_of(s, collided), len(s) + (-percent * len(s) // 100) + 1
+            is_common = sent.value(s & np.uint64((1 << 8 * COUNTED) - 1))
+            own = s[~is_common][:take]
+            if len(own):
+                keys.append(own)
+                nodes.append((node, len(own), size_class(len(s), percent)))
+            if len(own) < take:
+                x = s[is_common][: take - len(own)].view(np.int64)
+                hot.append(np.column_stack([x, np.full(len(x), node), np.full(len(x), len(own))]))
+            n += take
+            if n > FLUSH:
+                yield from made()
+                keys, nodes, hot, n = [], [], [], 0
         yield from made()
 
     def gather(batches):
@@ -247,7 +325,7 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
             k, v, z = k[new], v[new], z[new]
             # Members whose sizes are too far apart to be similar are blocks of their own.
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (z[1:] - z[:-1] > 5)]))
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (z[1:] - z[:-1] > ZONES)]))
             ends = np.append(first[1:], len(k))
             several = ends - first > 1
             made = list({np.sort(v[a:b]).tobytes() for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True)})
@@ -260,12 +338,14 @@ def blocks(docs: DataFrame, size: int, percent: int, common: int) -> DataFrame:
             at = np.repeat(np.arange(len(members)), [len(x) for x in members])
             yield pa.RecordBatch.from_arrays([b.column("cold").take(pa.array(at)), b.column("block").take(pa.array(at)), pa.array(np.concatenate([*members, np.empty(0, "<i8")]), pa.int64()), b.column("rest").take(pa.array(at))], names=["cold", "block", "node", "rest"])
 
-    packed = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, sizes binary, rest long")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "cold")
-    found = checkpointed(dealt.mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"), sent)
+    packed = sets.docs.mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, sizes binary, rest long")
+    found = checkpointed(dealt(packed, need).sortWithinPartitions("bucket", "cold").mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"), sent)
     release(spark)
-    one = found.filter("cold").dropDuplicates(["block"]).unionByName(found.filter("not cold"))
-    return checkpointed(one.mapInArrow(unpacked, "cold boolean, block long, node long, rest long"))
+    # Equal member lists, found by their whole content, are one block.
+    one = found.filter("cold").dropDuplicates(["block", "nodes"]).unionByName(found.filter("not cold"))
+    out = checkpointed(one.mapInArrow(unpacked, "cold boolean, block long, node long, rest long"))
+    forget(found)
+    return out
 
 
 PAIR = "a long, b long"
@@ -284,7 +364,7 @@ def block_pairs(cold: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             p = [unpacked_point(r[3]) for r in rows]
             tree, found = RTree(p, size), []
             for i in range(len(rows)):
-                found += [(node[i], node[j]) for j in tree.query(p[i], size[i], percent).tolist() if j > i]
+                found += [(node[i], node[j]) for j in tree.query(p[i], size[i], percent).tolist() if node[j] > node[i]]
             if found:
                 yield _pairs(found)
 
@@ -292,8 +372,8 @@ def block_pairs(cold: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return members.repartition("block").sortWithinPartitions("block", "node").mapInArrow(search, PAIR).distinct()
 
 
-def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a common block's hub and its members that the bound can't rule out."""
+def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a common block's hub and its members that the bound can't rule out; and the stored step that they are read from."""
 
     def bound(batches):
         for b in batches:
@@ -305,42 +385,56 @@ def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int)
                     found.append((a, c))
             yield _pairs(found)
 
-    star = hot.join(hubs, "key").filter("node <> hub").select("hub", "node").distinct()
+    star = checkpointed(salted_join(hot, hubs, "key", "node").filter("node <> hub").select("hub", "node").distinct())
     hub = points.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("point").alias("hub_point"))
-    return star.join(hub, "hub").join(points, "node").select("hub", "hub_n", "hub_point", "node", "n", "point").mapInArrow(bound, PAIR)
+    # A hub's members are dealt over several tasks, the hub sent to each.
+    members = salted_join(star.join(points, "node"), hub, "hub", "node", rows=NODE_ROWS)
+    return members.select("hub", "hub_n", "hub_point", "node", "n", "point").mapInArrow(bound, PAIR), star
 
 
 def rest_pairs(hot: DataFrame, hubs: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in common blocks that hubs left with several components: members outside the hub's component against all, in chunks."""
+    """Pairs across components in common blocks that hubs left with several components: members outside the hub's component against all of similar size, in chunks."""
     root = roots.select(F.col("v").alias("node"), "root")
     hub_root = hubs.join(roots.withColumnRenamed("v", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("hub_root"))
     of = checkpointed(hot.select("key", "node").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    open_keys = checkpointed(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks")).join(checkpointed(hub_root), "key"))
-    members = of.join(open_keys, "key").join(points, "node")
-    all_of = members.select("key", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(False).alias("asks"), "node", "root", "n", "point")
-    asking = members.filter("root <> hub_root").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"), "node", "root", "n", "point")
+    open_keys = checkpointed(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key").join(hub_root, "key"))
+    zone = F.least(F.lit(255), F.floor(4 * F.log("n") / float(np.log(100 / percent))).cast("int"))
+    members = checkpointed(salted_join(of, open_keys, "key", "node").join(points.select("node", "n"), "node").select("key", zone.alias("zone"), "node", "root", (F.col("root") != F.col("hub_root")).alias("outside")))
+    forget(of)
+    sizes = checkpointed(members.groupBy("key", "zone").agg(F.count("*").alias("n"), F.count(F.when(F.col("outside"), 1)).alias("asking")))
+    near = F.explode(F.sequence(F.col("zone") - ZONES, F.col("zone") + ZONES))
+    # Of each zone of sizes: chunks of members, and parts of those that ask there, from it and the zones around.
+    asking = sizes.filter("asking > 0").select("key", near.alias("zone"), "asking").groupBy("key", "zone").agg(F.sum("asking").alias("asking"))
+    grid = checkpointed(sizes.drop("asking").join(asking, ["key", "zone"]).select("key", "zone", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("asking") / ASKING).cast("int").alias("parts")))
+    turn = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "zone", "chunk", "part", "asks", "node", "root"]
+    all_of = members.join(grid, ["key", "zone"]).withColumn("chunk", turn("chunks")).withColumn("part", every("parts")).withColumn("asks", F.lit(False))
+    asks = members.filter("outside").withColumn("zone", near).join(grid, ["key", "zone"]).withColumn("part", turn("parts")).withColumn("chunk", every("chunks")).withColumn("asks", F.lit(True))
 
     def search(batches):
         tree, block, now, found = None, [], None, []
         for rows in _streamed(batches):
-            if rows[:2] != now:
-                now, block, tree = rows[:2], [], None
-            if not rows[2]:
-                block.append(rows[3:])
+            if rows[:4] != now:
+                now, block, tree = rows[:4], [], None
+            if not rows[4]:
+                block.append(rows[5:])
                 continue
             if not block:
                 continue
             if tree is None:
                 tree = RTree([unpacked_point(r[3]) for r in block], [r[2] for r in block])
-            node, own, n, p = rows[3:]
+            node, own, n, p = rows[5:]
             found += [(node, block[j][0]) for j in tree.query(unpacked_point(p), n, percent).tolist() if block[j][1] != own]
             if len(found) > 20_000:
                 yield _pairs(found)
                 found = []
         yield _pairs(found)
 
-    both = all_of.unionByName(asking).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "asks")
-    return both.mapInArrow(search, PAIR).distinct()
+    both = all_of.select(*columns).unionByName(asks.select(*columns)).join(points, "node").select(*columns, "n", "point")
+    out = checkpointed(both.repartition("key", "zone", "chunk", "part").sortWithinPartitions("key", "zone", "chunk", "part", "asks").mapInArrow(search, PAIR).distinct())
+    forget(open_keys, members, sizes, grid)
+    return out
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -348,20 +442,19 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar; `pairs` is stored."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sent = spark.sparkContext.broadcast(bitmap(info.join(nodes, "node").select("doc_id"), "doc_id"))
-
-    def sets(ids, texts):
-        node, raw = [], []
-        wanted = in_bitmap(sent.value, np.array(ids, dtype=np.int64)) if ids else []
-        for s in shingle_sets([t for use, t in zip(wanted, texts, strict=True) if use], size):
-            if len(s):
-                node.append(node_of(s))
-                raw.append(s.tobytes())
-        return pa.array(node, pa.int64()), pa.array(raw, pa.binary())
+def verified(sets: Sets, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar, stored; `pairs` is stored.
+
+    Of a pair, the node with very many pairs is held: its pairs are dealt over several tasks, its set sent to each.
+    """
+    size, collided = sets.size, sets.collided
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    heavy = heavy_keys(both, "node", NODE_ROWS)
+    used = by_ids(sets.docs, nodes.join(both.distinct(), "node", "left_semi"), inside=True)
+
+    def read(ids, texts):
+        found = [s for s in shingle_sets(texts, size) if len(s)]
+        return pa.array([node_of(s, collided) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())
 
     def compare(batches):
         for b in batches:
@@ -373,44 +466,106 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, size: int, perc
                     found.append((x, y))
             yield _pairs(found)
 
-    whole = map_texts(docs.filter("doc_id is not null"), sets, "node long, shingles binary", binary=True)
+    whole = map_texts(used, read, "node long, shingles binary", binary=True)
     side = lambda k: whole.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
-    out = checkpointed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(compare, PAIR), sent)
-    release(spark)
+    is_heavy = lambda k: F.col(k).isin([int(x) for x in heavy]) if heavy else F.lit(False)
+    turned = is_heavy("b") & ~is_heavy("a")
+    of_other = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("held"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")).join(side("other"), "other")
+    many, one = salted(of_other, side("held"), "held", "other", heavy) if heavy else (of_other, side("held"))
+    rows = many.join(one, ["held", "__salt"] if heavy else "held").select("held", "other", "of_held", "of_other")
+    out = checkpointed(rows.mapInArrow(compare, PAIR).distinct())
+    release(sets.docs.sparkSession)
     return out
 
 
-def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id linked, directly or not) of each row of docs(doc_id, text)."""
+def linked(docs: DataFrame, size: int, percent: int, common: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, frozenset[int]]:
+    """info (doc_id, n_shingles, node of each row), nodes (node, doc_id: the smallest, n), links (a, b) of nodes that join all similar ones and their components (v, root), all stored; and nodes_of()'s hashes."""
     spark = docs.sparkSession
-    info = checkpointed(described(docs, size))
-    nodes = checkpointed(info.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    found = blocks(docs, size, percent, common)
+    bounded_batches(spark)
+    all_info = checkpointed(described(docs, size))
+    full, nodes, collided = nodes_of(all_info)
+    total = full.filter("doc_id is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    sets = Sets(docs, full, nodes, size, collided)
+    found = blocks(sets, total, percent, common)
     release(spark)
     cold = found.filter("cold").select("block", "node")
     hot = found.filter("not cold").select(F.col("block").alias("key"), "node", "rest")
     # One row of points for each node of a block: the row of its smallest doc_id.
     used = nodes.join(found.select("node").distinct(), "node", "left_semi")
-    points = checkpointed(info.select("doc_id", "node", "point").join(used, ["doc_id", "node"]).select("node", "n", "point").dropDuplicates(["node"]))
-    info = checkpointed(info.drop("point"))
+    points = checkpointed(full.select("doc_id", "node", "point").join(used, ["doc_id", "node"]).select("node", "n", "point").dropDuplicates(["node"]))
+    info = checkpointed(full.select("doc_id", "n_shingles", "node"))
+    forget(all_info)
     release(spark)
     # A block's hub: the member with the fewest uncommon shingles in its prefix, as the text that its near copies were made from has.
     hubs = checkpointed(hot.groupBy("key").agg(F.min(F.struct("rest", "node")).alias("m")).select("key", F.col("m.node").alias("hub")))
-    pairs = checkpointed(block_pairs(cold, points, percent).unionByName(hub_pairs(hot, hubs, points, percent)).distinct())
+    of_hubs, star = hub_pairs(hot, hubs, points, percent)
+    pairs = checkpointed(block_pairs(cold, points, percent).unionByName(of_hubs).distinct())
+    forget(star)
     release(spark)
-    links = verified(docs, pairs, nodes, size, percent)
+    links = verified(sets, pairs, nodes, percent)
     roots = components(links)
-    more = checkpointed(rest_pairs(hot, hubs, roots, points, percent).join(pairs, ["a", "b"], "left_anti"))
+    rest = rest_pairs(hot, hubs, roots, points, percent)
+    more = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
+    forget(found, points, hubs, pairs, rest)
     release(spark)
     if not more.isEmpty():
-        links = links.unionByName(verified(docs, more, nodes, size, percent))
+        found = verified(sets, more, nodes, percent)
+        links, before = checkpointed(links.unionByName(found)), links
+        forget(before, found, roots)
         roots = components(links)
+    forget(more)
+    sets.skipped.destroy()
+    return info, nodes, links, roots, collided
+
+
+def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id linked, directly or not) of each row of docs(doc_id, text)."""
+    info, nodes, links, roots, _ = linked(docs, size, percent, common)
+    # Rows with one doc_id are one document: their nodes are linked.
+    repeated = checkpointed(info.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("doc_id"))
+    several = not repeated.isEmpty()
+    if several:
+        own = info.filter("n_shingles > 0").join(repeated, "doc_id").select("doc_id", "node")
+        roots = components(links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))))
     # From nodes to the smallest doc_id of each component, then back to the rows.
     of = nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = checkpointed(of.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = checkpointed(of.join(least, "root").select("node", "component_id"))
+    named = checkpointed(salted_join(of, least, "root", "node").select("node", "component_id"))
+    forget(least, roots)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
-    return info.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    out = salted_join(info, named, "node", "doc_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    if several:
+        # A document's empty rows belong to its component, too.
+        whole = out.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
+        out = out.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("whole", "component_id").alias("component_id"))
+    return out
+
+
+def without_near_duplicates(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+    """The rows of docs, all columns, that stay when of all linked texts one does: the one with the smallest doc_id; of rows with equal doc_ids and sets, any one.
+
+    Rows are judged by their own texts, also where they share a doc_id. Rows without doc_id or words stay.
+    """
+    info, nodes, _, roots, collided = linked(docs, size, percent, common)
+    of = nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    stay = checkpointed(of.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("x.doc_id", "x.node"))
+    rows = info.filter("doc_id is not null")
+    several = checkpointed(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    gone = rows.filter("n_shingles > 0").join(stay, ["doc_id", "node"], "left_anti").select("doc_id").distinct()
+    out = by_ids(docs, gone.unionByName(several), inside=False)
+    if several.isEmpty():
+        return out
+    # A doc_id that several rows have: each is looked at by its own set.
+    at, columns = docs.columns.index("text"), docs.columns
+
+    def add(batches):
+        for b in batches:
+            found = list(shingle_sets([(x or "").encode() for x in b.column(at).to_pylist()], size))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(s, collided) if len(s) else None for s in found], pa.int64())], names=[*columns, "__node"])
+
+    own = by_ids(docs, several, inside=True).mapInArrow(add, StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    kept = own.join(stay.withColumnRenamed("node", "__node"), ["doc_id", "__node"], "left_semi").dropDuplicates(["doc_id", "__node"])
+    return out.unionByName(own.filter("__node is null").select(*columns)).unionByName(kept.select(*columns))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ findings removes the false positives.
 
 All of it is DataFrame functions and MLlib: extraction and features need no shuffle.
 
-Null and empty texts have no candidates. Null doc_ids are kept; each of repeated rows
-is scanned. Extra columns are ignored by findings() and kept by redacted(). An empty
-table gives no rows.
+Null and empty texts have no candidates. Null doc_ids are kept, and their texts redacted;
+each of repeated rows is scanned, and each text redacted by its own findings. Very long
+texts are scanned whole; their candidates' places are summed in blocks. Extra columns are
+ignored by findings() and kept by redacted(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, salted_join, table
 
 MIN_LENGTH, THRESHOLD = 16, 0.5
 CANDIDATE = rf"(?<![A-Za-z0-9_+/=.\-])(?=[_+/=.\-]*+[A-Za-z0-9])[A-Za-z0-9_+/=.\-]{{{MIN_LENGTH},}}"
@@ -52,13 +53,13 @@ FINDINGS = 120
 BLOCK = 256
 
 FEATURES = {
-    "f_length": "least(length(value), 256)",
+    "f_length": "ln(length(value))",
     "f_digits": "regexp_count(value, '[0-9]') / length(value)",
     "f_uppers": "regexp_count(value, '[A-Z]') / length(value)",
     "f_symbols": "regexp_count(value, '[^A-Za-z0-9]') / length(value)",
     "f_hex": "regexp_count(value, '[0-9a-fA-F]') / length(value)",
     "f_vowels": "regexp_count(value, '[aeiouAEIOU]') / length(value)",
-    "f_distinct": "size(array_distinct(split(value, ''))) / least(length(value), 128)",
+    "f_distinct": "size(array_distinct(split(value, ''))) / length(value)",
     "f_transitions": "regexp_count(value, '(?<=[a-z])(?=[0-9A-Z])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])') / length(value)",
     "f_dictionary": f"1 - length(regexp_replace(lower(value), '{'|'.join(sorted(DICTIONARY, key=lambda x: (-len(x), x)))}', '')) / length(value)",
     "f_path": "cast(value rlike '/.*/|^/|[.](?:com|org|net|js|css|png|html|py|txt)$|^[0-9.]+$' or before rlike '(?:://|[/.@])[^ ]*$' or after rlike '^[@/.\\\\\\\\]' as int)",
@@ -204,41 +205,42 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel, threshold:
     return model.transform(assembled(candidates(docs))).select("doc_id", "ordinal", "start", "value", "before", "after", p.alias("probability"), (p >= threshold).alias("is_secret"))
 
 
-#: Broadcast at most so many documents with secrets, else join by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Broadcast the places of secrets up to so many bytes, else join by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of findings() replaced by a mark, in the columns of docs; n_chars, where there is one, follows.
+def places(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
+    """__key (a digest of the text, as rows may have no doc_id or one with other texts) and __places (start and end of each secret) of the texts with secrets, stored."""
+    found = findings(docs.select(F.md5("text").alias("doc_id"), "text"), model, threshold).filter("is_secret")
+    place = F.struct("start", (F.col("start") + F.length("value")).cast("long").alias("end"))
+    # One text's own places meet here; those of its copies are the same.
+    return checkpointed(found.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(place).alias("__places")))
 
-    A secret also goes where its text stands again; one of under MIN_LENGTH characters, only where no letter or digit adjoins it.
-    """
-    secrets = found.filter("is_secret and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "value")).alias("__secrets"))
-    if secrets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        secrets = F.broadcast(secrets)
 
-    # First by their places, as findings may overlap in part.
+def redacted(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, with each secret replaced by a mark at its place; n_chars, where there is one, follows. The same string elsewhere stays if the model judges it no secret there."""
+    return marked(docs, places(docs, model, threshold), mark)
+
+
+def marked(docs: DataFrame, found: DataFrame, mark: str) -> DataFrame:
+    """docs with a mark in place of found places(); `found` is stored."""
+    keyed = docs.withColumn("__key", F.md5("text"))
+    size = found.agg(F.sum(64 + 32 * F.size("__places"))).first()[0] or 0
+    joined = keyed.join(F.broadcast(found), "__key", "left") if size <= BROADCAST_BYTES else salted_join(keyed, found, "__key", "doc_id", "left")
+
+    # Findings may overlap; what overlaps gets one mark.
     def cut(acc: Column, x: Column) -> Column:
-        end = (x["start"] + F.length(x["value"])).cast("long")
         before = F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when((acc["at"] > 0) & (x["start"] < acc["at"]), acc["kept"]).otherwise(F.concat(acc["kept"], before)).alias("kept"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((acc["at"] > 0) & (x["start"] < acc["at"]), acc["kept"]).otherwise(F.concat(acc["kept"], before)).alias("kept"))
 
-    def joined(acc: Column) -> Column:
+    def whole(acc: Column) -> Column:
         return F.array_join(F.concat(acc["kept"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))), mark)
 
-    placed = F.aggregate(F.array_sort("__secrets"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept")), cut, joined)
-    # Then again by their text, longer ones first: one may be part of another.
-    values = F.array_distinct(F.transform(F.filter("__secrets", lambda x: ~F.contains(F.lit(mark), x["value"])), lambda x: x["value"]))
-    order = F.array_sort(values, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))
-
-    def again(t: Column, x: Column) -> Column:
-        alone = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-        return F.when(F.length(x) >= MIN_LENGTH, F.replace(t, x, F.lit(mark))).otherwise(F.regexp_replace(t, alone, F.lit(mark.replace("\\", "\\\\").replace("$", "\\$"))))
-
-    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate(order, placed, again))
-    out = docs.join(secrets, "doc_id", "left").withColumn("text", text)
+    clean = F.col("__places").isNull()
+    text = F.when(clean, F.col("text")).otherwise(F.aggregate(F.array_sort("__places"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept")), cut, whole))
+    out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

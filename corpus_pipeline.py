@@ -2,28 +2,30 @@
 
 1. quality_classifier: documents scored below the threshold go.
 2. near_duplicates: of documents linked by shingle similarity, directly or not, the one
-   with the smallest doc_id stays. Rows that share a doc_id are one document.
+   with the smallest doc_id stays; of rows with equal texts and doc_ids, one.
 3. substring_dedup: passages that also stand in a document with a smaller doc_id are cut
    out; the words left are joined by blanks. Documents without such passages keep
    their text as it is; one that loses every word stays, empty.
-4. secret_scan: secrets are replaced by a mark.
+4. secret_scan: secrets are replaced by a mark, at their places.
 5. best_fit_packing: the documents' token ids are packed into sequences.
 
-Stages 1 to 4 return the columns of documents (n_chars follows the text); the last
-returns the pieces and their places. Rows with a null doc_id pass stages 2 to 4 as they
-are. Each stage's result is written as Parquet and read again as the next one's input.
+Stages 1 to 4 return the columns of documents, extra ones too (n_chars follows the
+text); the last returns the pieces and their places. Each row is judged by its own text,
+also where rows share a doc_id. Rows with a null doc_id pass stages 2 and 3 as they are.
+Null and empty texts get the mean label as their score in stage 1, pass stages 2 to 4
+and are one piece in the last. An empty table gives no rows. Each stage's result is
+written as Parquet and read again as the next one's input; it is deleted when the next
+one is written.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphflow.llm import ngram_join, packing, quality_classifier, secret_scan, substring_dedup
-from glyphflow.llm.common import by_ids, checkpointed, table
+from glyphflow.llm.common import remove_folder, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,20 +33,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = ngram_join.jaccard_components(docs)
-    return by_ids(docs, grouped.filter("doc_id <> component_id"), inside=False)
+    return ngram_join.without_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = checkpointed(substring_dedup.deduplicated(docs).filter("n_removed > 0").select("doc_id", F.coalesce("kept", F.lit("")).alias("__kept")).dropDuplicates(["doc_id"]))
-    changed = by_ids(docs, cut, inside=True).join(cut, "doc_id").withColumn("text", F.col("__kept"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return by_ids(docs, cut, inside=False).unionByName(changed.select(*docs.columns))
+    return substring_dedup.without_repeats(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redacted(docs, secret_scan.findings(docs, secret_scan.train(secret_scan.labelled_findings(spark))))
+    return secret_scan.redacted(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +64,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over the table documents in sf_dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
+    # The last stage has stored what it takes from its input when it returns.
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove_folder(spark, folder)
+    return out

@@ -4,23 +4,28 @@ Vectors are made integers (floor of SCALE times each component) and lifted by on
 component, sqrt(M^2 - |v|^2) for the largest norm M, so that all have norm M and a
 larger inner product with a query (lifted by 0) is exactly a smaller distance:
 d^2 = |q|^2 + M^2 - 2 q.v. Each vector is keyed by its nearest pivot and its distance
-to it; the index is sorted by both and cut into blocks of BLOCK vectors, each of one
-pivot and one annulus of width M / ANNULI.
+to it; the index is sorted by both and cut into blocks of about BLOCK_BYTES, each of one
+pivot and one annulus of width 2 M / ANNULI, and each in one slot of that cell: cells have
+as many slots as their vectors need, SLOT blocks in each or so.
 
 A query starts with the k-th best score over a bounded seed sample, a lower bound of its
 k-th best score. A pivot's annuli can hold a better vector only within that reach
-(triangle inequality): the query goes to blocks of those annuli alone. In a block,
+(triangle inequality): the query goes to the slots of those annuli alone, and a task
+joins a slot's blocks with the queries that reach it. In a block,
 vectors are visited outwards from the query's own distance to the pivot, the reach
 shrinks as better scores are found, and the search stops at the first vector beyond.
 
-Pivots and seeds are the vectors with the smallest hashes of vec_id, PIVOTS and SEEDS
-at most; every vector is indexed, and the result is exact whatever was sampled.
-A pivot's hot annulus (many equal vectors) is many blocks, on many tasks.
+Pivots and seeds are the vectors with the smallest hashes of vec_id, SEEDS at most and
+PIVOTS to MOST_PIVOTS, by the number of vectors; every vector is indexed, and the result
+is exact whatever was sampled. What is broadcast or counted on the driver is bounded by
+them: pivots, seeds, and a number of slots for each of at most MOST_PIVOTS * ANNULI cells.
+A hot cell (many equal vectors) has many slots, on many tasks.
 
 Vectors that are null, or hold null or non-finite components, or have a null vec_id,
-take no part. Shorter vectors count as padded with zeros. Rows that repeat a query's
-vec_id are not its candidates; other repeated rows are candidates each. Ties go to the
-smaller vec_id. A query without candidates has no rows; an empty table gives none.
+take no part. Shorter vectors count as padded with zeros, empty ones as zeros alone. Rows
+that repeat a query's vec_id are not its candidates; other repeated rows are candidates
+each. Ties go to the smaller vec_id. A query without candidates has no rows; an empty
+table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 SCALE, K = 256, 5
-PIVOTS, SEEDS, ANNULI = 32, 1024, 16
-BLOCK, QUERIES, STEP = 2048, 128, 256
+PIVOTS, MOST_PIVOTS, SEEDS, ANNULI = 32, 1024, 1024, 16
+BLOCK_BYTES, SLOT, QUERIES, STEP = 1 << 20, 16, 128, 256
 #: Slack on distances computed in floating point, as a part of M.
 SLACK = 1e-9
 
@@ -70,11 +75,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Frame:
-    """What all tasks share: dimension, largest norm, lifted pivots. Bounded by PIVOTS."""
+    """What all tasks share: dimension, largest norm, lifted pivots. Bounded by MOST_PIVOTS."""
 
     def __init__(self, dim: int, norm: float, pivots: np.ndarray):
         self.dim, self.norm, self.pivots = dim, norm, _lift(pivots, norm)
         self.width = 2 * norm / ANNULI if norm else 1.0
+        self.block = max(16, BLOCK_BYTES // (8 * dim))
 
     def annulus(self, d: np.ndarray) -> np.ndarray:
         return np.clip((d / self.width).astype(np.int64), 0, ANNULI - 1)
@@ -89,8 +95,8 @@ def _sample(x: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(x: DataFrame, frame: Frame) -> DataFrame:
-    """pivot, annulus, ids and parts (vectors and distances as bytes) of blocks, sorted by distance inside."""
-    dim = frame.dim
+    """pivot, annulus, n, ids and parts (vectors and distances as bytes) of blocks of n vectors, sorted by distance inside."""
+    dim, block = frame.dim, frame.block
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,15 +108,15 @@ def index(x: DataFrame, frame: Frame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(frame.annulus(d)), pa.array(d), pa.array([r.tobytes() for r in raw], pa.binary())], names=["vec_id", "pivot", "annulus", "d", "raw"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "annulus", "ids", "d", "raw"]
+        names = ["pivot", "annulus", "n", "ids", "d", "raw"]
         held: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([held[0][1]]), pa.array([held[0][2]]), pa.array([np.array([r[0] for r in held], "<i8").tobytes()]), pa.array([np.array([r[3] for r in held], "<f8").tobytes()]), pa.array([b"".join([r[4] for r in held])])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([held[0][1]]), pa.array([held[0][2]]), pa.array([len(held)]), pa.array([np.array([r[0] for r in held], "<i8").tobytes()]), pa.array([np.array([r[3] for r in held], "<f8").tobytes()]), pa.array([b"".join([r[4] for r in held])])], names=names)
 
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and (len(held) >= BLOCK or held[-1][1:3] != r[1:3]):
+                if held and (len(held) >= block or held[-1][1:3] != r[1:3]):
                     yield made()
                     held = []
                 held.append(r)
@@ -119,7 +125,7 @@ def index(x: DataFrame, frame: Frame) -> DataFrame:
 
     keyed = x.mapInArrow(key, "vec_id long, pivot long, annulus long, d double, raw binary")
     sorted_ = keyed.repartitionByRange("pivot", "annulus", "d", "vec_id").sortWithinPartitions("pivot", "annulus", "d", "vec_id")
-    return sorted_.mapInArrow(blocks, "pivot long, annulus long, ids binary, d binary, raw binary")
+    return sorted_.mapInArrow(blocks, "pivot long, annulus long, n long, ids binary, d binary, raw binary")
 
 
 def reach(norms: np.ndarray, scores: np.ndarray, norm: float) -> np.ndarray:
@@ -127,23 +133,27 @@ def reach(norms: np.ndarray, scores: np.ndarray, norm: float) -> np.ndarray:
     return np.sqrt(np.maximum(norms + norm * norm - 2 * scores, 0)) + SLACK * norm
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, pivots: int = PIVOTS, seeds: int = SEEDS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, pivots: int | None = None, seeds: int = SEEDS) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors; queries are the rows of vectors(vec_id, embedding) where is_query."""
     spark = vectors.sparkSession
     x = whole_vectors(vectors)
     schema = "query_id long, rank int, vec_id long, score long"
-    size = x.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("norm")).first()
-    if not size["dim"]:
+    size = x.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("norm")).first()
+    if not size["n"]:
         return spark.createDataFrame([], schema)
-    dim = size["dim"]
-    _, found = _sample(x, pivots, dim)
+    dim = max(1, size["dim"])
+    _, found = _sample(x, pivots or min(MOST_PIVOTS, max(PIVOTS, int(size["n"] ** 0.5) // 16)), dim)
     frame = Frame(dim, float(np.sqrt(size["norm"])), np.unique(found, axis=0))
     seed_ids, seed = _sample(x, seeds, dim)
     sent = spark.sparkContext.broadcast((seed_ids, seed))  # at most `seeds` vectors
-    indexed = index(x, frame)
+    indexed = checkpointed(index(x, frame))
+    # How many slots each cell has: a row a cell, PIVOTS * ANNULI at most.
+    cells = {(r["pivot"], r["annulus"]): -(-r["n"] // SLOT) for r in indexed.groupBy("pivot", "annulus").agg(F.count("*").alias("n")).collect()}
+    slots = spark.createDataFrame([(*k, n) for k, n in cells.items()], "pivot long, annulus long, slots long")
+    indexed = indexed.join(F.broadcast(slots), ["pivot", "annulus"]).withColumn("slot", F.pmod(F.xxhash64("ids"), "slots"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of queries, each once for every pivot and annulus that one of them must see."""
+        """Groups of queries, each once for every slot of a pivot and annulus that one of them must see."""
         ids, v = sent.value
         for b in batches:
             q_all, id_all = _matrix(b.column(1), dim), b.column(0).to_numpy()
@@ -155,20 +165,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, pivots: int = PIV
                 norms = (q * q).sum(axis=1)
                 d = _distances(np.column_stack([q, np.zeros(len(q))]), frame.pivots)
                 r = reach(norms, low, frame.norm)
-                pivot, annulus = [], []
-                edges = np.arange(ANNULI) * frame.width
-                for p in range(d.shape[1]):
-                    near, far = d[:, p] - r, d[:, p] + r
-                    for a in range(ANNULI):
-                        end = edges[a] + frame.width if a < ANNULI - 1 else np.inf
-                        if ((near <= end) & (far >= edges[a])).any():
-                            pivot.append(p)
-                            annulus.append(a)
-                n = len(pivot)
+                near, far = d - r[:, None], d + r[:, None]
+                places = []
+                for (p, a), n in cells.items():
+                    begin, end = a * frame.width, (a + 1) * frame.width if a < ANNULI - 1 else np.inf
+                    if ((near[:, p] <= end) & (far[:, p] >= begin)).any():
+                        places += [(p, a, i) for i in range(n)]
                 raw = [np.ascontiguousarray(y).tobytes() for y in (qid.astype("<i8"), q.astype("<f8"), low.astype("<f8"))]
-                yield pa.RecordBatch.from_arrays([pa.array(pivot, pa.int64()), pa.array(annulus, pa.int64()), *[pa.array([y] * n, pa.binary()) for y in raw]], names=["pivot", "annulus", "q_ids", "q", "low"])
+                for i in range(0, len(places), 64):
+                    some = places[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([y[j] for y in some], pa.int64()) for j in range(3)], *[pa.array([y] * len(some), pa.binary()) for y in raw]], names=["pivot", "annulus", "slot", "q_ids", "q", "low"])
 
-    asked = x.filter(is_query).mapInArrow(ask, "pivot long, annulus long, q_ids binary, q binary, low binary")
+    asked = x.filter(is_query).mapInArrow(ask, "pivot long, annulus long, slot long, q_ids binary, q binary, low binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, pivots: int = PIV
                     out += block_top(ids, d, v, q_ids[i], q[i], norms[i], own[i], low[i], k, frame.norm)
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    hits = asked.join(indexed, ["pivot", "annulus"]).select("pivot", "ids", "d", "raw", "q_ids", "q", "low").mapInArrow(search, "query_id long, vec_id long, score long")
+    hits = asked.join(indexed, ["pivot", "annulus", "slot"]).select("pivot", "ids", "d", "raw", "q_ids", "q", "low").mapInArrow(search, "query_id long, vec_id long, score long")
     return rank(hits, k)
 
 

@@ -413,6 +413,32 @@ def model(spark):
     return secret_scan.train(secret_scan.labelled_findings(spark))
 
 
+def test_vector_search_hot_cell(spark, monkeypatch):
+    """Thousands of equal vectors are one cell of many slots, on several tasks."""
+    monkeypatch.setattr(vector_search, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(vector_search, "SLOT", 2)
+    rng = np.random.default_rng(6)
+    hot = [0.25, -0.5, 0.125, 0.75]
+    data = [(i, hot) for i in range(1, 3000)] + [(3000 + i, rng.normal(0, 0.3, 4).tolist()) for i in range(500)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    whole = np.floor(256 * np.array([v for _, v in data]))
+    ids = np.array([i for i, _ in data])
+    expected = []
+    for at in np.flatnonzero(ids % 500 == 0):
+        s = whole @ whole[at]
+        best = [j for j in np.lexsort((ids, -s)) if j != at][:5]
+        expected += [(int(ids[at]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(best)]
+    out = vector_search.top_k(df, F.col("vec_id") % 500 == 0)
+    assert rows(out, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+    frame = vector_search.Frame(4, float(np.sqrt((whole * whole).sum(axis=1).max())), whole[-32:])
+    assert vector_search.index(vector_search.whole_vectors(df), frame).groupBy("pivot", "annulus").count().agg(F.max("count")).first()[0] > 20
+
+
+def test_vector_search_empty_vectors(spark):
+    df = spark.createDataFrame([(0, []), (3, []), (50, [])], "vec_id long, embedding array<double>")
+    assert rows(vector_search.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0)]
+
+
 def test_secret_scan(spark, docs, empty, model):
     import re
 

@@ -12,7 +12,10 @@ With two classes the score depends on one number per word (the sum over its feat
 of their part of the difference between the two outputs) and its number of features,
 so scoring sums numbers that are kept for words met before.
 
-Scoring takes any text: null and empty texts get the score of the mean training label.
+Scoring takes any text, whole and of any length (words in slices): null and empty texts
+get the score of the mean training label. Repeated rows are scored each, and in training
+rows with equal ids and texts count once, other rows of one doc_id each. Extra columns
+are ignored by classify() and kept by accepted(); an empty table gives no rows.
 Null doc_ids are scored and count as not held out. Labels that are null or for unknown
 documents take no part; a document labelled more than once takes its largest label.
 Without labels of both kinds every score is that mean (0.5 without any label).
@@ -180,21 +183,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list:
-    """At most `sample` (text, label) rows, none of them held out, of at most `chars` characters together."""
+    """At most `sample` (doc_id, text, label) rows, none of them held out, of at most `chars` characters together; of rows with equal ids and texts, one."""
     marked = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most `sample` rows
-    found = docs.select("doc_id", "text").join(chosen, "doc_id")
-    sizes = found.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id", "size").limit(2 * sample).collect()
-    total, ids = 0, []
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").withColumn("digest", F.md5("text"))
+    sizes = found.select("doc_id", "digest", F.length("text").alias("size"), F.xxhash64("doc_id").alias("turn")).distinct().orderBy("turn", "doc_id", "size", "digest").limit(sample).collect()
+    total, use = 0, []
     for r in sizes:
         if total + r["size"] <= chars:
             total += r["size"]
-            ids.append(r["doc_id"])
-    if not ids:
+            use.append((r["doc_id"], r["digest"]))
+    if not use:
         return []
-    fit = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")
-    return sorted((r["doc_id"], r["text"] or "", r["label"]) for r in found.filter(F.length("text") <= chars).join(F.broadcast(fit), "doc_id", "left_semi").limit(2 * sample).collect())
+    picked = F.broadcast(docs.sparkSession.createDataFrame(use, "doc_id long, digest string"))  # at most `sample` rows
+    # Rows, not ids, are picked: a doc_id that many rows share brings no more characters than were counted.
+    rows = found.join(picked, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows.collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:

@@ -228,6 +228,36 @@ def test_quality_classifier(spark, docs, empty):
     assert {r["score"] for r in alone} == {0.5}
 
 
+def test_quality_scores(spark, docs):
+    """Scores against the mean of the features' vectors and the softmax, as they are defined."""
+    good, bad = [words(i, 60) for i in range(40)], [" ".join(f"{w}!!" for w in words(500 + i, 40).split()) for i in range(40)]
+    model = quality_classifier.train(good + bad, np.array([1] * 40 + [0] * 40))
+    got = sorted(((r["doc_id"], r["score"]) for r in quality_classifier.score(docs, model).collect()), key=repr)
+    expected = []
+    for i, t in texts():
+        own = (t or "").encode().split()
+        ids = [quality_classifier.AGAIN] * sum(a == b for a, b in zip(own, own[1:]))
+        for w in own:
+            mark = f"<{w.decode()}>"
+            ids += [zlib.crc32(w) % (quality_classifier.BUCKETS - 1) + 1, *(zlib.crc32(mark[j : j + k].encode(), k) % (quality_classifier.BUCKETS - 1) + 1 for k in (3, 4) for j in range(len(mark) - k + 1))]
+        z = (model.vectors[ids].astype(float).mean(axis=0) if ids else np.zeros(quality_classifier.DIM)) @ model.softmax.astype(float) + model.bias
+        expected.append((i, float(np.exp(z[1]) / np.exp(z).sum())))
+    key = lambda x: (repr(x[0]), round(x[1], 5))
+    for (i, p), (j, q) in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
+        assert i == j and abs(p - q) < 1e-4
+
+
+def test_training_sample(spark):
+    """The sample's bounds hold for rows: a doc_id of many rows brings no more characters than are allowed."""
+    data = [(1, f"{'x' * 900} {i}") for i in range(50)] + [(i, f"text {i}") for i in range(2, 40)] + [(2, "text 2"), (3, None)]
+    df = spark.createDataFrame([(*x, "q") for x in data], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    out = quality_classifier.training_rows(df, labels, sample=30, chars=2500)
+    assert sum(len(x[1]) for x in out) <= 2500 and 1 < len(out) <= 30 and len({x[:2] for x in out}) == len(out)
+    assert all(zlib.crc32(str(i).encode()) % 5 and (i, t) in {(j, u or "") for j, u in data} and y == i % 2 for i, t, y in out)
+    assert len(quality_classifier.training_rows(df, labels)) == len({(i, t or "") for i, t in data if zlib.crc32(str(i).encode()) % 5})
+
+
 def test_long_words(monkeypatch):
     """Every n-gram of a word of any length counts, in training and scoring."""
     monkeypatch.setattr(quality_classifier, "SLICE", 700)

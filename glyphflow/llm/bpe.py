@@ -107,14 +107,21 @@ class LibraryCoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        self.forget()
+        split = [self.words.split(x) for x in texts]
+        self.learn_new(split)
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in split]
+
+    def forget(self) -> None:
+        """Starts anew if too many words are kept."""
         if len(self.known) > KEPT_WORDS:
             self.__init__(self.words)
-        split = [self.words.split(x) for x in texts]
+
+    def learn_new(self, split: list[list[str | int]]) -> None:
         new = list(set().union(*split) - self.known.keys())
         for i in range(0, len(new), 5000):
             self.learn(new[i : i + 5000])
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
 
     def learn(self, new: list[str]) -> None:
         encode = self.words.tokenizer.encode

@@ -1,14 +1,16 @@
 """Token counts of whole documents by overlap resynchronisation.
 
-Texts up to CHUNK characters are encoded at once. A longer text is encoded in
-overlapping chunks with offsets. Two neighbouring chunks are spliced at a position
+A text of at most CHUNK characters is one chunk, and its count is the sum of its words'
+counts (words are split and encoded as the vocabulary file says, each new one once, see
+bpe.py). A longer text is encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced at a position
 inside their overlap that is provably a border in the encoding of the whole text: it
 follows an ASCII white space character (no step of the tokenizer joins what stands on
 its two sides) and both chunks have a token that starts there. Where an overlap has no
 such position, it is widened (twice as long each time, up to the rest of the text).
 
 Null and empty texts have 0 bytes and 0 tokens. A null doc_id is kept, and each row
-of repeated rows is counted on its own. Extra columns are ignored.
+of repeated rows is counted on its own. Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import LibraryCoder, Words
 from .common import kept, map_texts, table
 
 #: Characters of a chunk, and of the first try of an overlap.
 CHUNK, OVERLAP = 32_768, 256
-#: Texts encoded in one call hold about so many characters.
-CALL = 1 << 19
 LIMIT = 2048
 BLANK = re.compile(r"(?<=[ \t\n\r\f\v])[^ \t\n\r\f\v]")
 
@@ -31,11 +32,8 @@ BLANK = re.compile(r"(?<=[ \t\n\r\f\v])[^ \t\n\r\f\v]")
 class Counter:
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.words = WordCounts(Words(path))
+        self.tokenizer = self.words.words.tokenizer
         self.chunk, self.overlap = chunk, overlap
         self.widened = 0
 
@@ -73,22 +71,20 @@ class Counter:
         return total + sum(x >= border for x in left)
 
     def __call__(self, texts: list[str]) -> list[int]:
-        out, group, size = [0] * len(texts), [], 0
-        for i, x in enumerate(texts):
-            if len(x) > self.chunk:
-                out[i] = self.long(x)
-                continue
-            group.append(i)
-            size += len(x)
-            if size > CALL:
-                self.batch(texts, group, out)
-                group, size = [], 0
-        self.batch(texts, group, out)
-        return out
-
-    def batch(self, texts: list[str], group: list[int], out: list[int]) -> None:
-        for i, x in zip(group, self.tokenizer.encode_batch_fast([texts[i] for i in group], add_special_tokens=False), strict=True):
-            out[i] = len(x)
+        short = [i for i, x in enumerate(texts) if len(x) <= self.chunk]
+        out = {i: n for i, n in zip(short, self.words([texts[i] for i in short]), strict=True)}
+        return [out[i] if i in out else self.long(x) for i, x in enumerate(texts)]
+
+
+class WordCounts(LibraryCoder):
+    """Numbers of tokens of texts: of each word met before, its number is kept."""
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        self.forget()
+        split = [self.words.split(x) for x in texts]
+        self.learn_new(split)
+        size = {w: len(self.known[w]) // 4 for w in set().union(*split)}.__getitem__
+        return [sum(map(size, x)) for x in split]
 
 
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Counter:

@@ -49,7 +49,12 @@ class Engine:
 
     def convert(self, text: str, code: str, stage: str | None = None) -> str:
         """One string, without Spark."""
-        return python_steps(self.steps(code, stage))(text)
+        try:
+            return python_steps(self.steps(code, stage))(text)
+        except ScriptError:
+            raise
+        except Exception as e:
+            raise SystemConversionError(f"Transliteration failed for {code}: {e}", cause=e) from e
 
     def detect(self, source: Column | str, output: Column | str, *, map_pattern: str | None = None, candidates: Sequence[str] | None = None, utf16: bool = False) -> Column:
         """array<struct<map_name, distance>>: candidates (else the maps loaded so far) by how near they bring source to output. Candidates that can't be compiled are left out."""
@@ -66,6 +71,25 @@ class Engine:
         """A row for each row of df and candidate, with its rank."""
         return detection.ranked_rows(df, self.detect(source, output, **options), *keys)
 
+    def convert_rows(self, df: DataFrame, column: str, code: str, *keys: str, to: str = "converted", error: str = "error", stage: str | None = None) -> DataFrame:
+        """df's keys with a converted column and an error column: a row that a step fails on has a null and the message, and the others go on.
+
+        One Arrow UDF over the whole map, so that a function which raises for one text doesn't end the query.
+        """
+        convert = python_steps(self.steps(code, stage))
+
+        @F.pandas_udf("converted string, error string")
+        def guarded(s: pd.Series) -> pd.DataFrame:
+            out = []
+            for x in s:
+                try:
+                    out.append((x if x is None else convert(x), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((None, f"Transliteration failed for {code}: {e}"))
+            return pd.DataFrame(out, columns=["converted", "error"], dtype=object)
+
+        return df.select(*keys, guarded(F.col(column)).alias("__x")).select(*keys, F.col("__x.converted").alias(to), F.col("__x.error").alias(error))
+
     def register_sql(self, spark: SparkSession, name: str, code: str, stage: str | None = None) -> None:
         """A SQL function name(text), as an Arrow UDF over the same steps; in DataFrames transliterate() stays in the JVM."""
         convert = python_steps(self.steps(code, stage))
@@ -76,6 +100,21 @@ class Engine:
 
         spark.udf.register(name, own)
 
+    def register_detect_sql(self, spark: SparkSession, name: str, *, map_pattern: str | None = None, candidates: Sequence[str] | None = None, utf16: bool = False) -> None:
+        """A SQL function name(source, output) that returns what detect() does, as an Arrow UDF."""
+        known = []
+        for code in detection.chosen(list(self.loaded_maps() if candidates is None else candidates), map_pattern):
+            try:
+                known.append((code, python_steps(Compiler(self.loader).stage(self.loader.load(code), "main"))))
+            except ScriptError:
+                continue
+
+        @F.pandas_udf(detection.RESULT)
+        def own(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([detection.ranked_strings(x, y, known, utf16=utf16) for x, y in zip(a, b, strict=True)], dtype=object)
+
+        spark.udf.register(name, own)
+
 
 _default: Engine | None = None
 
@@ -106,5 +145,10 @@ def transliterate(column: Column | str, code: str, stage: str | None = None) ->
     return _engine().transliterate(column, code, stage)
 
 
+def convert(text: str, code: str, stage: str | None = None) -> str:
+    """One string, without Spark."""
+    return _engine().convert(text, code, stage)
+
+
 def detect(source: Column | str, output: Column | str, **options) -> Column:
     return _engine().detect(source, output, **options)

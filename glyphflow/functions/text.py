@@ -81,10 +81,15 @@ def levenshtein(a: Column, b: Column, *, utf16: bool = False) -> Column:
         return F.levenshtein(a, b)
 
     @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else edit_distance(_units(p), _units(q)) for p, q in zip(x, y, strict=True)], dtype="Int32")
+    def units_apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else distance(p, q, utf16=True) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
-    return distance(a, b)
+    return units_apart(a, b)
+
+
+def distance(a: str, b: str, *, utf16: bool = False) -> int:
+    """levenshtein() of two strings, without Spark."""
+    return edit_distance(_units(a), _units(b)) if utf16 else edit_distance(a, b)
 
 
 def _units(text: str) -> list[int]:

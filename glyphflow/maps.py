@@ -73,18 +73,35 @@ def script_map(code: str, *rules: dict, dependencies: tuple[str, ...] = (), alia
 
 
 # The Ukrainian national romanisation of 1996, letter by letter, lower case.
-UKRAINIAN = "а a б b в v г h ґ g д d е e є ie ж zh з z и y і i ї i й i к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh щ sch ю iu я ia ь ’".split()
+UKRAINIAN = {
+    "а": "a", "б": "b", "в": "v", "г": "h", "ґ": "g", "д": "d", "е": "e", "є": "ie", "ж": "zh", "з": "z", "и": "y", "і": "i", "ї": "i", "й": "i",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch",
+    "ш": "sh", "щ": "sch", "ю": "iu", "я": "ia", "ь": "’",
+}
 # At the start of a word; й in lower case isn't among them.
-UKRAINIAN_INITIAL = "Є Ye є ye Ї Yi ї yi Й Y Ю Yu ю yu Я Ya я ya".split()
+UKRAINIAN_INITIAL = {"Є": "Ye", "є": "ye", "Ї": "Yi", "ї": "yi", "Й": "Y", "Ю": "Yu", "ю": "yu", "Я": "Ya", "я": "ya"}
+# German umlauts, as in the romanisation of 2000.
+GERMAN = {"Ä": "Ae", "Ö": "Oe", "Ü": "Ue", "ä": "ae", "ö": "oe", "ü": "ue"}
+# Tamil by the UN system of 1972: consonants (without a vowel sign they have the vowel a), vowels and vowel signs.
+TAMIL_CONSONANTS = {
+    "க": "k", "ங": "ṅ", "ச": "ch", "ஞ": "ñ", "ட": "ṭ", "ண": "ṇ", "த": "t", "ந": "n", "ப": "p", "ம": "m", "ய": "y", "ர": "r", "ல": "l", "வ": "v",
+    "ழ": "l̮", "ள": "ḷ", "ற": "ṟ", "ன": "ṉ", "ஜ": "j", "ஶ": "sh", "ஷ": "ṣh", "ஸ": "s", "ஹ": "h",
+}
+TAMIL_VOWELS = {"அ": "a", "ஆ": "ā", "இ": "i", "ஈ": "ī", "உ": "u", "ஊ": "ū", "எ": "ĕ", "ஏ": "e", "ஐ": "ai", "ஒ": "ŏ", "ஓ": "o", "ஔ": "au", "ஃ": "ḥ"}
+TAMIL_SIGNS = {"ா": "ā", "ி": "i", "ீ": "ī", "ு": "u", "ூ": "ū", "ெ": "ĕ", "ே": "e", "ை": "ai", "ொ": "ŏ", "ோ": "o", "ௌ": "au", "்": ""}
+TAMIL_OTHERS = {
+    "க்ஷ": "kṣha", "ற்ற": "ṟṟa", "ன்ற": "ṉṟa",
+    "௦": "0", "௧": "1", "௨": "2", "௩": "3", "௪": "4", "௫": "5", "௬": "6", "௭": "7", "௮": "8", "௯": "9", "௰": "10", "௱": "100", "௲": "1000",
+    "\u200c": "", "\u200d": "",
+}
 # End of fixed values.
 
 
 def ukrainian() -> list[ScriptMap]:
     """Ukrainian by the systems of 1996, 2010, 2012 (UN) and 2019 (BGN/PCGN), each by way of the one before."""
     apostrophe, first = "’", alias("boundary")
-    low = dict(zip(UKRAINIAN[::2], UKRAINIAN[1::2], strict=True))
-    table = {k.upper(): v[:1].upper() + v[1:] for k, v in low.items()} | low
-    initial = [sub(group(first, k), v, notBefore=group(first, apostrophe)) for k, v in zip(UKRAINIAN_INITIAL[::2], UKRAINIAN_INITIAL[1::2], strict=True)]
+    table = {k.upper(): v[:1].upper() + v[1:] for k, v in UKRAINIAN.items()} | UKRAINIAN
+    initial = [sub(group(first, k), v, notBefore=group(first, apostrophe)) for k, v in UKRAINIAN_INITIAL.items()]
     old = script_map(
         "ua-ukr-Cyrl-Latn-1996",
         *[sub(k, v, before=any_of("З", "з")) for k, v in (("Г", "Gh"), ("г", "gh"))],
@@ -105,9 +122,12 @@ def ukrainian() -> list[ScriptMap]:
     return [old, new, un, bgn]
 
 
-#: German umlauts, as in the romanisation of 2000.
-GERMAN = {"Ä": "Ae", "Ö": "Oe", "Ü": "Ue", "ä": "ae", "ö": "oe", "ü": "ue"}
+def tamil() -> ScriptMap:
+    """Tamil by the UN system of 1972: a consonant before a vowel sign loses its vowel, all others keep it."""
+    signed = [sub(k, v, after=alias("sign")) for k, v in TAMIL_CONSONANTS.items()]
+    alone = {k: v + "a" for k, v in TAMIL_CONSONANTS.items()}
+    return script_map("un-tam-Taml-Latn-1972", *signed, parallel(**alone, **TAMIL_VOWELS, **TAMIL_SIGNS, **TAMIL_OTHERS), call("compose"), aliases={"sign": any_of(*TAMIL_SIGNS, "◌")})
 
 
 def bundled() -> dict[str, ScriptMap]:
-    return {m.system_code: m for m in (*ukrainian(), script_map("deu-Latn-Latn-2000", parallel(**GERMAN)))}
+    return {m.system_code: m for m in (*ukrainian(), tamil(), script_map("deu-Latn-Latn-2000", parallel(**GERMAN)))}

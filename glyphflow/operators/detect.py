@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_regex, levenshtein
+from ..functions.text import distance, glob_regex, levenshtein
 
 RESULT = "array<struct<map_name:string,distance:int>>"
 
@@ -30,7 +31,9 @@ def ranked_rows(df: DataFrame, result: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(result).alias("at", "x")).select(*keys, (F.col("at") + 1).alias("rank"), "x.map_name", "x.distance")
 
 
-def best(df: DataFrame, *keys: str) -> DataFrame:
-    """The best row of each key of rows with rank."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))
-    return df.withColumn("__first", first).filter("__first = 1").drop("__first")
+def ranked_strings(source: str | None, output: str | None, converters: list[tuple[str, Callable[[str], str]]], *, utf16: bool = False) -> list[dict]:
+    """ranked() of two strings, without Spark; distances are null if one of them is."""
+    if source is None or output is None:
+        return [{"map_name": name, "distance": None} for name, _ in converters]
+    each = sorted((distance(convert(source), output, utf16=utf16), i, name) for i, (name, convert) in enumerate(converters))
+    return [{"map_name": name, "distance": d} for d, _, name in each]

@@ -3,19 +3,22 @@
 Native forms come first: translate and replace for tables whose keys and values don't
 meet, tokens and a map literal for other tables, regexp_replace for patterns. Arrow UDFs
 take the rest: templates that refer to groups which may be unset or absent, look-behind
-without bounds, back references to unset groups, and functions given in Python.
+without bounds, back references to unset groups, and functions given in Python. Maps of
+very many rules take one Arrow UDF for all their steps, as an expression that nests
+hundreds of times can't be analysed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, groupby
 
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import BUILT_IN
 from ..plans.compiler import Call, Delete, Replace, Step, Table
 from ..plans.patterns import regexp_escape, utf16_length
 
@@ -23,12 +26,46 @@ REFERENCE = regex.compile(r"\$(\d+)")
 STRATEGIES = ("auto", "native", "arrow")
 
 
+#: Guarded steps and steps that one expression may nest. Analysis fails somewhat above 40 guarded steps and above 300 others.
+GUARDED, NESTED = 24, 150
+
+
+def is_guarded(step: Step) -> bool:
+    """Whether replace_column() puts a test for a required string, a lambda, around the step."""
+    return isinstance(step, Replace) and step.function is None and bool(step.shape.required) and is_native(step) and not (step.plain and not REFERENCE.search(step.template))
+
+
+def in_python(step: Step) -> bool:
+    """Whether python_step() can do the step; functions that build Columns are known to it only if built in."""
+    fn, name = (step.function, step.name) if isinstance(step, Call) else (step.function, step.function_name) if isinstance(step, Replace) else (None, "")
+    return fn is None or not getattr(fn, "builds_column", False) or BUILT_IN.get(name) is fn
+
+
 def apply_steps(c: Column, steps: list[Step], strategy: str = "auto") -> Column:
-    for s in steps:
-        c = apply_step(c, s, strategy)
+    if sum(map(is_guarded, steps)) <= GUARDED and len(steps) <= NESTED:
+        for s in steps:
+            c = apply_step(c, s, strategy)
+        return c
+    for python, own in groupby(steps, in_python):
+        if python:
+            c = arrow_steps(c, list(own))
+        else:
+            for s in own:
+                c = apply_step(c, s, strategy)
     return c
 
 
+def arrow_steps(c: Column, steps: list[Step]) -> Column:
+    """All steps in one Arrow UDF: a text crosses to Python once, however many rules there are."""
+    convert = python_steps(steps)
+
+    @F.pandas_udf("string")
+    def converted(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else convert(x))
+
+    return converted(c)
+
+
 def apply_step(c: Column, step: Step, strategy: str = "auto") -> Column:
     if isinstance(step, Delete):
         return F.translate(c, step.characters, "")
@@ -194,8 +231,10 @@ def _python_replace(step: Replace) -> Callable[[str], str]:
     # A reference to an unset group matches the empty string.
     for n in step.shape.back_references - step.shape.certain:
         pattern = pattern.replace(f"(?:\\{n})", f"(?({n})\\{n}|)")
-    find = regex.compile(pattern).sub
-    return lambda x: find((lambda m: fn(m[0])) if fn else filled, x)
+    find, required = regex.compile(pattern).sub, step.shape.required
+    put = (lambda m: fn(m[0])) if fn else template.replace("\\", "\\\\") if not REFERENCE.search(template) else filled
+    # Texts without a string that every match holds skip the pattern.
+    return lambda x: find(put, x) if required in x else x
 
 
 def _replace_arrow(c: Column, step: Replace) -> Column:

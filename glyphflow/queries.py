@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import maps as m
 from .engine import Engine
 from .functions import text as fn
-from .sources.catalog import rules_table
+from .sources.catalog import aliases_table, dependencies_table, maps_table, rules_table
 
 #: Pairs of Latin and Cyrillic letters, to make Cyrillic texts of Latin ones.
 LATIN, CYRILLIC = "abvhgdezyiklmnoprstufABVHGDEZYIKLMNOPRSTUF", "абвгґдезиіклмнопрстуфАБВГҐДЕЗИІКЛМНОПРСТУФ"
@@ -37,12 +37,12 @@ def _register(name: str, build: Callable[[Column], Column], oracle: str | None,
         ORACLES[name] = f"SELECT {key}, {oracle} AS out FROM {table}"
 
 
-def _rules(name: str, oracle: str | None, *rules: dict, **options) -> None:
-    """A query that runs a map of these rules over documents."""
+def _rules(name: str, oracle: str | None, *rules: dict, source: Callable[[Column], Column] = lambda c: c, **options) -> None:
+    """A query that runs a map of these rules over documents; source: what it does to the texts before."""
     more = {k: options.pop(k) for k in ("aliases", "functions", "dependencies") if k in options}
     others = options.pop("others", ())
     stages = options.pop("stages", {})
-    _register(name, lambda c: engine(m.script_map(name, *rules, **more, **stages), *others).transliterate(c, name), oracle, **options)
+    _register(name, lambda c: engine(m.script_map(name, *rules, **more, **stages), *others).transliterate(source(c), name), oracle, **options)
 
 
 def _tokens(pattern: str, pairs: dict[str, str], source: str = "text") -> str:
@@ -71,6 +71,8 @@ _rules("alias_space", "replace(text, ' ', '_')", m.sub(m.alias("space"), "_"))
 _rules("alias_whitespace", r"regexp_replace(text, '[ \t\n\r\f\v]+', '_', 'g')", m.sub(m.alias("whitespace"), "_"))
 _rules("alias_none", "replace(text, 'a', '')", m.sub("a", m.alias("none")))
 _rules("alias_word", r"regexp_replace(text, '\p{L}\p{N}_', '-', 'g')", m.sub(m.alias("word"), "-"))
+# The alias is a letter, a digit and an underscore in a row: texts are given some.
+_rules("alias_word_found", r"regexp_replace(replace(text, 'th', 'x7_'), '\p{L}\p{N}_', '-', 'g')", m.sub(m.alias("word"), "-"), source=lambda c: F.replace(c, F.lit("th"), F.lit("x7_")))
 _rules("alias_not_word", r"regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')", m.sub(m.alias("not_word")))
 _rules("alias_alpha", r"regexp_replace(text, '\p{L}', 'x', 'g')", m.sub(m.alias("alpha"), "x"))
 _rules("alias_not_alpha", r"regexp_replace(text, '\P{L}', '', 'g')", m.sub(m.alias("not_alpha")))
@@ -80,6 +82,12 @@ _rules("alias_line_start", "'>' || replace(text, chr(10), chr(10) || '>')", m.su
 _rules("alias_string_start", "'>' || replace(text, chr(10), chr(10) || '>')", m.sub(m.alias("string_start"), ">"))
 _rules("alias_line_end", "replace(text, chr(10), '<' || chr(10)) || '<'", m.sub(m.alias("line_end"), "<"))
 _rules("alias_string_end", "replace(text, chr(10), '<' || chr(10)) || '<'", m.sub(m.alias("string_end"), "<"))
+# Carriage returns end lines, too: texts are given some, alone and before line feeds.
+_CR = "replace(replace(text, 'e', chr(13)), 'o', chr(13) || chr(10))"
+_ENDS = {"source": lambda c: F.replace(F.replace(c, F.lit("e"), F.lit("\r")), F.lit("o"), F.lit("\r\n"))}
+for _kind in ("line", "string"):
+    _rules(f"alias_{_kind}_start_cr", f"'>' || regexp_replace({_CR}, '([\r\n])', '\\1>', 'g')", m.sub(m.alias(f"{_kind}_start"), ">"), **_ENDS)
+    _rules(f"alias_{_kind}_end_cr", f"regexp_replace({_CR}, '([\r\n])', '<\\1', 'g') || '<'", m.sub(m.alias(f"{_kind}_end"), "<"), **_ENDS)
 _rules("alias_own", "regexp_replace(text, '[aeiou]', '_', 'g')", m.sub(m.alias("vowel"), "_"), aliases={"vowel": m.any_of(*"aeiou")})
 _rules("alias_of_dependency", "regexp_replace(text, '[aeiou]', '_', 'g')", m.sub(m.alias("vowel"), "_"), dependencies=("letters",), others=(m.script_map("letters", aliases={"vowel": m.any_of(*"aeiou")}),))
 _rules("sequential", "replace(replace(text, 'a', 'b'), 'b', 'c')", m.sequential(m.sub("a", "b"), m.sub("b", "c")))
@@ -92,20 +100,36 @@ _rules("parallel_no_rescan", "translate(text, 'abc', 'bca')", m.parallel(a="b",
 _rules("parallel_dropped", "replace(text, 'b', 'B')", m.parallel(m.call("upcase"), m.sub("a", m.alias("none")), m.sub(m.alias("alpha"), "x"), b="B"))
 _rules("parallel_expanded", _tokens("ab|ac|ae", {"ab": "X", "ac": "X", "ae": "X"}), m.parallel(m.sub(m.group("a", m.any_of("b", "c", "e")), "X")))
 _rules("parallel_constrained", "replace(replace(replace(text, 'th', 'T'), 'Te', 'TEE'), 'na', 'nA')", m.parallel(m.sub("a", "A", before="n"), m.sub("e", "EE", before="T"), m.sub("th", "T")))
+#: 182 pairs of letters: far more rules with context than one expression can nest.
+MANY = [(a, b) for a in "aeioudlnrstmhc" for b in "aeioudlnrstmhc" if a != b]
+
+
+def _many_oracle() -> str:
+    out = "text"
+    for a, b in MANY:
+        out = f"replace({out}, '{a}{b}', '{a}{b.upper()}')"
+    return out
+
+
+_rules("sub_many_constrained", _many_oracle(), *[m.sub(b, b.upper(), before=a) for a, b in MANY])
 _rules("german_umlauts", "replace(replace(replace(replace(replace(replace(text, 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')", m.parallel(**m.GERMAN))
 _rules("funcall_downcase", "lower(text)", m.call("downcase"))
 _rules("funcall_upcase", "upper(replace(text, 'ß', 'SS'))", m.call("upcase"))
 _rules("funcall_compose", "nfc_normalize(text)", m.call("decompose"), m.call("compose"))
+# Letters that decompose into two: in both engines' results the marks stand alone.
+_GONE = "èëàâäáãîïíìôöóòõûüúùñÿÀÂÄÁÃÇÉÈÊËÎÏÍÌÔÖÓÒÕÛÜÚÙÑ"
+_rules("funcall_decompose", f"replace(replace(replace(translate(text, '{_GONE}', ''), 'é', 'e' || chr(769)), 'ê', 'e' || chr(770)), 'ç', 'c' || chr(807))", m.call("decompose"), source=lambda c: F.translate(c, _GONE, ""))
 _WORD = "list_transform(string_split({0}, '{1}'), lambda w: upper(w[1:1]) || lower(w[2:]))"
 _rules("funcall_title_case", f"array_to_string({_WORD.format('p_name', ' ')}, ' ')", m.call("title_case"), table="part", key="p_partkey", column="p_name")
 _rules("funcall_title_case_separator", f"array_to_string({_WORD.format('c_name', '#')}, '#')", m.call("title_case", wordSeparator="#"), table="customer", key="c_custkey", column="c_name")
-_rules("funcall_separate", "array_to_string(string_split(n_name, ''), '-')", m.call("separate", separator="-"), table="nation", key="n_nationkey", column="n_name")
+_rules("funcall_separate", "array_to_string(string_split(text, ''), '-')", m.call("separate", separator="-"))
 _register("regexp_escape", fn.regexp_escape, r"regexp_replace(text, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')")
 _register("parallel_replace_function", lambda c: fn.parallel_replace(c, [("ab", "x"), ("a", "y"), ("a", "z")]), _tokens("ab|a", {"ab": "x", "a": "z"}))
 _register("parallel_replace_arrow", lambda c: fn.parallel_replace(c, TRIE, "arrow"), _tokens("the|and|th|an|in|e|a", TRIE))
 _register("parallel_single_pass", lambda c: fn.parallel_single_pass(c, {"a": "1", "in": "2"}, [("an(?=d)", "3"), ("in", "4")]), "replace(replace(replace(replace(replace(text, 'and', chr(1)), 'a', '1'), 'in', '2'), chr(1), '3d'), chr(2), '')")
-_register("levenshtein", lambda c: fn.levenshtein(c, F.reverse(c)), "CAST(levenshtein(n_name, reverse(n_name)) AS INTEGER)", table="nation", key="n_nationkey", column="n_name")
-_register("levenshtein_utf16", lambda c: fn.levenshtein(c, F.lower(c), utf16=True), "CAST(levenshtein(n_name, lower(n_name)) AS INTEGER)", table="nation", key="n_nationkey", column="n_name")
+_register("levenshtein", lambda c: fn.levenshtein(c, F.reverse(c)), "CAST(levenshtein(p_name, reverse(p_name)) AS INTEGER)", table="part", key="p_partkey", column="p_name")
+# Characters beyond U+FFFF are two units: each "a" put in place of one costs two edits. Of names without "a" or "e", both sides are equal.
+_register("levenshtein_utf16", lambda c: fn.levenshtein(F.replace(c, F.lit("a"), F.lit("😀")), F.replace(c, F.lit("a"), F.lit("")), utf16=True), "CAST(2 * (len(p_name) - len(replace(p_name, 'a', ''))) AS INTEGER)", table="part", key="p_partkey", column="p_name")
 _register("glob_match", lambda c: fn.glob_matches(c, "*a*e*"), "coalesce(p_name LIKE '%a%e%', false)", table="part", key="p_partkey", column="p_name")
 
 
@@ -128,7 +152,7 @@ QUERIES["ukrainian_2019"] = ukrainian_2019
 
 def _ukrainian_oracle() -> str:
     # The texts hold neither the letters of the rules at word starts nor soft signs; З before г is the one rule with context that applies.
-    low = dict(zip(m.UKRAINIAN[::2], m.UKRAINIAN[1::2], strict=True))
+    low = m.UKRAINIAN
     table = {k.upper(): v[:1].upper() + v[1:] for k, v in low.items()} | low
     out = f"replace(replace(translate(text, '{LATIN}', '{CYRILLIC}'), '''', ''), '’', '')"
     for a, b in (("ЗГ", "ЗGh"), ("зГ", "зGh"), ("Зг", "Зgh"), ("зг", "зgh")):
@@ -145,18 +169,20 @@ CANDIDATES = [
     m.script_map("low-vowels", m.parallel(A="a", E="e", I="i", O="o", U="u")),
     m.script_map("up-none", m.sub("x", "y")),
 ]
-_CONVERTED = {"low-all": "lower(n_name)", "low-vowels": "translate(n_name, 'AEIOU', 'aeiou')", "up-none": "replace(n_name, 'x', 'y')"}
+_CONVERTED = {"low-all": "lower(p_name)", "low-vowels": "translate(p_name, 'AEIOU', 'aeiou')", "up-none": "replace(p_name, 'x', 'y')"}
 
 
 def _detected(spark: SparkSession, sf_dir: str, pattern: str | None = None) -> DataFrame:
+    """Names of parts in upper case as the source, with capitals at the start of words as what was seen."""
     e = engine(*CANDIDATES)
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.initcap("n_name").alias("seen"))
-    return e.detect_rows(nations, "n_name", "seen", "n_nationkey", candidates=[x.system_code for x in CANDIDATES], map_pattern=pattern)
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("name"), F.initcap("p_name").alias("seen"))
+    return e.detect_rows(parts, "name", "seen", "p_partkey", candidates=[x.system_code for x in CANDIDATES], map_pattern=pattern)
 
 
 def _detected_oracle(pattern: str | None = None) -> str:
-    rows = " UNION ALL ".join(f"SELECT n_nationkey, {i} AS pos, '{k}' AS map_name, levenshtein({x}, upper(n_name[1:1]) || lower(n_name[2:])) AS d, n_name FROM nation" for i, (k, x) in enumerate(_CONVERTED.items()) if not pattern or k.startswith(pattern.rstrip("*")))
-    return f"SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY d, pos) AS INTEGER) AS rank, map_name, CAST(d AS INTEGER) AS distance FROM ({rows})"
+    seen = "array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')"
+    rows = " UNION ALL ".join(f"SELECT p_partkey, {i} AS pos, '{k}' AS map_name, levenshtein({x}, seen) AS d FROM names" for i, (k, x) in enumerate(_CONVERTED.items()) if not pattern or k.startswith(pattern.rstrip("*")))
+    return f"SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY d, pos) AS INTEGER) AS rank, map_name, CAST(d AS INTEGER) AS distance FROM (WITH names AS (SELECT p_partkey, upper(p_name) AS p_name, {seen} AS seen FROM part) {rows})"
 
 
 def detect_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,4 +200,66 @@ ORACLES |= {
     "detect_best": f"SELECT * FROM ({_detected_oracle()}) WHERE rank = 1",
     "map_accuracy": f"SELECT map_name, count(*) AS n, CAST(sum(CAST(rank = 1 AS INTEGER)) AS BIGINT) AS n_best, avg(distance) AS mean_distance FROM ({_detected_oracle()}) GROUP BY map_name",
 }
-QUERIES["catalog_rules"] = lambda spark, sf_dir: rules_table(spark, m.bundled().values())
+
+
+def _literal(x) -> str:
+    """A value as a DuckDB literal."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, (list, tuple)):
+        return f"[{', '.join(map(_literal, x))}]"
+    if isinstance(x, dict):
+        return f"map([{', '.join(map(_literal, x))}], [{', '.join(map(_literal, x.values()))}])"
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def _values(columns: dict[str, str], rows: list[tuple]) -> str:
+    """SQL for a small table, written out: rows that are stated here, not read back from the package's tables."""
+    casts = ", ".join(f"CAST({k} AS {t}) AS {k}" for k, t in columns.items())
+    body = ", ".join(f"({', '.join(map(_literal, r))})" for r in rows) or f"({', '.join(['NULL'] * len(columns))})"
+    return f"SELECT {casts} FROM (VALUES {body}) AS t({', '.join(columns)})" + ("" if rows else " WHERE false")
+
+
+def _catalog_map():
+    """A map with a rule of each kind, whose catalogue is written out by hand below."""
+    return [
+        m.script_map("catalog-a", m.sub("a", "b", before="x"), m.run("second"), m.call("title_case", wordSeparator="_"), m.parallel(m.sub("c", "d", notAfter="y")), dependencies=("catalog-b",), aliases={"v": m.any_of("o", "u")}, second=[m.sequential(m.sub("q"), m.run("main", "catalog-b"))]),
+        m.script_map("catalog-b", m.sub("e", m.inline("upcase"), after="z", notBefore="w")),
+    ]
+
+
+def _string(x: str) -> str:
+    return f'{{"kind": "string", "value": "{x}"}}'
+
+
+_RULES = {"system_code": "VARCHAR", "stage": "VARCHAR", "path": "INTEGER[]", "kind": "VARCHAR", "from_json": "VARCHAR", "to_json": "VARCHAR", "before_json": "VARCHAR", "after_json": "VARCHAR", "not_before_json": "VARCHAR", "not_after_json": "VARCHAR", "run_stage": "VARCHAR", "run_doc": "VARCHAR", "fn_name": "VARCHAR", "kwargs_json": "VARCHAR"}
+_NONE = None
+_CATALOG_RULES = [
+    ("catalog-a", "main", [0], "sub", _string("a"), _string("b"), _string("x"), _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE),
+    ("catalog-a", "main", [1], "run", _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, "second", _NONE, _NONE, _NONE),
+    ("catalog-a", "main", [2], "funcall", _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, "title_case", '{"wordSeparator": "_"}'),
+    ("catalog-a", "main", [3], "parallel", *[_NONE] * 10),
+    ("catalog-a", "main", [3, 0], "sub", _string("c"), _string("d"), _NONE, _NONE, _NONE, _string("y"), _NONE, _NONE, _NONE, _NONE),
+    ("catalog-a", "second", [0], "sequential", *[_NONE] * 10),
+    ("catalog-a", "second", [0, 0], "sub", _string("q"), *[_NONE] * 9),
+    ("catalog-a", "second", [0, 1], "run", _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, "main", "catalog-b", _NONE, _NONE),
+    ("catalog-b", "main", [0], "sub", _string("e"), '{"kind": "funcall_inline", "name": "upcase"}', _NONE, _string("z"), _string("w"), _NONE, _NONE, _NONE, _NONE, _NONE),
+]
+QUERIES |= {
+    "catalog_rules": lambda spark, sf_dir: rules_table(spark, _catalog_map()),
+    "catalog_maps": lambda spark, sf_dir: maps_table(spark, _catalog_map()).select("system_code", "schema_version", F.array_join("dependencies", ",").alias("dependencies")),
+    "catalog_aliases": lambda spark, sf_dir: aliases_table(spark, _catalog_map()),
+    "catalog_dependencies": lambda spark, sf_dir: dependencies_table(spark, _catalog_map()),
+    "catalog_bundled": lambda spark, sf_dir: rules_table(spark, m.bundled().values()).groupBy("system_code", "kind").agg(F.count("*").alias("n")),
+}
+ORACLES |= {
+    "catalog_rules": _values(_RULES, _CATALOG_RULES),
+    "catalog_maps": _values({"system_code": "VARCHAR", "schema_version": "INTEGER", "dependencies": "VARCHAR"}, [("catalog-a", 1, "catalog-b"), ("catalog-b", 1, "")]),
+    "catalog_aliases": _values({"system_code": "VARCHAR", "alias": "VARCHAR", "item_json": "VARCHAR"}, [("catalog-a", "v", f'{{"kind": "any", "of": [{_string("o")}, {_string("u")}]}}')]),
+    "catalog_dependencies": _values({"system_code": "VARCHAR", "dependency": "VARCHAR", "position": "INTEGER"}, [("catalog-a", "catalog-b", 0)]),
+    "catalog_bundled": _values({"system_code": "VARCHAR", "kind": "VARCHAR", "n": "BIGINT"}, [
+        ("bgnpcgn-ukr-Cyrl-Latn-2019", "parallel", 1), ("bgnpcgn-ukr-Cyrl-Latn-2019", "run", 1), ("bgnpcgn-ukr-Cyrl-Latn-2019", "sub", 1), ("deu-Latn-Latn-2000", "parallel", 1), ("deu-Latn-Latn-2000", "sub", 6),
+        ("ua-ukr-Cyrl-Latn-1996", "parallel", 1), ("ua-ukr-Cyrl-Latn-1996", "sub", 78), ("ua-ukr-Cyrl-Latn-2010", "parallel", 1), ("ua-ukr-Cyrl-Latn-2010", "run", 1), ("ua-ukr-Cyrl-Latn-2010", "sub", 10),
+        ("un-tam-Taml-Latn-1972", "funcall", 1), ("un-tam-Taml-Latn-1972", "parallel", 1), ("un-tam-Taml-Latn-1972", "sub", 89), ("un-ukr-Cyrl-Latn-2012", "run", 1),
+    ]),
+}

@@ -1,16 +1,19 @@
+import functools
 import json
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphflow import cli, maps as m
+from glyphflow import cli, engine as api, maps as m
 from glyphflow.engine import Engine
 from glyphflow.errors import DependencyMissingError, MapLogicError, MapNotFoundError, SystemConversionError
 from glyphflow.functions import text as fn
 from glyphflow.operators.rewrite import apply_steps, is_native, java_template, python_steps, table_column
-from glyphflow.plans.compiler import Compiler, Delete, Table
+from glyphflow.plans.compiler import Call, Compiler, Delete, Table
+from glyphflow.plans.patterns import regexp_escape
 from glyphflow.queries import QUERIES, engine
 from glyphflow.sources.maps import MapLoader, bundled_strategy, folder_strategy, relative_folder_strategy
 
@@ -30,16 +33,117 @@ def both(spark, texts, *rules, **options):
     return out
 
 
+GOLDEN_INPUTS = ["Hello World", "Антон", "Михаил Тимофеевич", "Tschüß!", "привет мир", "Київ", "ኢትዮጵያ", "தமிழ்"]
+# What the inputs become; those not named stay as they are.
+GOLDEN = {
+    "bgnpcgn-ukr-Cyrl-Latn-2019": {"Антон": "Anton", "Михаил Тимофеевич": "Mykhayl Tymofeevych", "привет мир": "pryvet myr", "Київ": "Kyiv"},
+    "un-tam-Taml-Latn-1972": {"தமிழ்": "tamil̮"},
+}
+
+
+@pytest.mark.parametrize("code", GOLDEN)
+def test_golden(spark, code):
+    e = Engine([bundled_strategy({}), m.bundled().get])
+    expected = [GOLDEN[code].get(x, x) for x in GOLDEN_INPUTS]
+    assert converted(spark, e.steps(code), [*GOLDEN_INPUTS, None]) == [*expected, None]
+    assert [e.convert(x, code) for x in GOLDEN_INPUTS] == expected
+    df = e.convert_rows(spark.createDataFrame(list(enumerate(GOLDEN_INPUTS)), "i int, text string"), "text", code, "i")
+    assert [tuple(r) for r in df.orderBy("i").collect()] == [(i, x, None) for i, x in enumerate(expected)]
+
+
 def test_ukrainian(spark):
     e = engine(*m.ukrainian())
-    texts = {"Антон": "Anton", "Михаил Тимофеевич": "Mykhayl Tymofeevych", "привет мир": "pryvet myr", "Київ": "Kyiv", "Hello World": "Hello World", "ኢትዮጵያ": "ኢትዮጵያ", "Згорани": "Zghorany", "Щука": "Shchuka", "": ""}
-    expected = {**texts, "Михаил Тимофеевич": e.convert("Михаил Тимофеевич", "bgnpcgn-ukr-Cyrl-Latn-2019")}
-    assert converted(spark, e.steps("bgnpcgn-ukr-Cyrl-Latn-2019"), [*texts, None]) == [*expected.values(), None]
-    for x in ("Антон", "Київ", "привет мир"):
-        assert e.convert(x, "bgnpcgn-ukr-Cyrl-Latn-2019") == texts[x]
+    texts = {"Згорани": "Zghorany", "Щука": "Shchuka", "": ""}
+    assert converted(spark, e.steps("bgnpcgn-ukr-Cyrl-Latn-2019"), [*texts, None]) == [*texts.values(), None]
     assert e.loaded_maps()[0] == "bgnpcgn-ukr-Cyrl-Latn-2019"
 
 
+def test_edge_inputs(spark):
+    """Long, astral, blank and unmatched texts: as a Column and as a string."""
+    e = engine(*m.ukrainian(), m.tamil())
+    texts = ["", "A", "привет " * 1500, "😀🚀", " \t\n  ", "Антон\nМихаил\t\tпривет", "!@#$%^&*()", "\x00", "привет мир\r\n"]
+    for code in GOLDEN:
+        out = converted(spark, e.steps(code), texts)
+        assert out == [e.convert(x, code) for x in texts] == converted(spark, e.steps(code), texts)
+        assert out[0] == "" and out[1] == "A" and out[3] == "😀🚀" and out[4] == " \t\n  "
+    assert e.convert("привет " * 1500, "bgnpcgn-ukr-Cyrl-Latn-2019") == "pryvet " * 1500
+
+
+@pytest.mark.parametrize("n", [23, 50, 150, 500])
+def test_many_rules(spark, n):
+    """Rules beyond what one expression can nest: constrained ones, plain ones, and both around a function that builds a Column."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = [(x, y) for x in letters for y in letters if x != y][:n]
+    texts = ["the quick brown fox jumps over the lazy dog", letters, letters[::-1], "", None, "Ab ba aB"]
+    expected = []
+    for t in texts:
+        for x, y in pairs if t else ():
+            t = t.replace(x + y, x + y.upper())
+        expected.append(t)
+    assert both(spark, texts, *[m.sub(y, y.upper(), before=x) for x, y in pairs]) == expected
+    plain = [m.sub(x + y, f"{y}{x}-") for x, y in pairs]
+    assert len(both(spark, texts, *plain)) == len(texts)
+    own = fn.column_function(lambda c, options: F.reverse(c))
+    mixed = engine(m.script_map("t", *plain, m.call("turned"), *plain, functions={"turned": own}))
+    changed = lambda t: functools.reduce(lambda t, p: t.replace(p[0] + p[1], f"{p[1]}{p[0]}-"), pairs, t)
+    assert converted(spark, mixed.steps("t"), ["ab", "xyz", None]) == [changed(changed("ab")[::-1]), changed(changed("xyz")[::-1]), None]
+
+
+def test_convert_rows(spark):
+    def picky(text, options):
+        if "x" in text:
+            raise ValueError("no x")
+        return text.upper()
+
+    e = engine(m.script_map("t", m.call("picky"), functions={"picky": picky}))
+    df = e.convert_rows(spark.createDataFrame([(1, "ab"), (2, "ax"), (3, None)], "i int, text string"), "text", "t", "i")
+    rows = {r["i"]: (r["converted"], r["error"]) for r in df.collect()}
+    assert rows[1] == ("AB", None) and rows[3] == (None, None) and rows[2][0] is None and "no x" in rows[2][1]
+    with pytest.raises(SystemConversionError, match="no x"):
+        e.convert("ax", "t")
+
+
+def test_module_functions(spark):
+    api.reset()
+    with pytest.raises(MapNotFoundError):
+        api.load_map("deu-Latn-Latn-2000")
+    made = api.configure([m.bundled().get])
+    assert api.load_map("deu-Latn-Latn-2000").system_code == "deu-Latn-Latn-2000" and api.convert("Tschüß", "deu-Latn-Latn-2000") == "Tschueß"
+    df = spark.createDataFrame([("Äpfel", "Aepfel")], "a string, b string")
+    assert tuple(df.select(api.transliterate("a", "deu-Latn-Latn-2000"), api.detect("a", "b")[0]["distance"]).first()) == ("Aepfel", 0)
+    assert made.loaded_maps() == ["deu-Latn-Latn-2000"]
+    api.reset()
+    with pytest.raises(MapNotFoundError):
+        api.convert("x", "deu-Latn-Latn-2000")
+
+
+def test_register_and_stage_ref(spark):
+    loader = MapLoader()
+    loader.register("own", m.script_map("own", m.sub("a", "b")))
+    assert loader.load("own").system_code == "own" and loader.loaded_maps() == ["own"]
+    loader.clear()
+    assert loader.load("own")
+    # A reference to a stage stands for nothing, in patterns and replacements.
+    assert both(spark, ["ab"], m.sub(m.group({"kind": "stage_ref", "name": "x"}, "a"), m.group("z", {"kind": "stage_ref", "name": "x"}))) == ["zb"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("abc.*+?^${}()|[]\\", max_size=15), st.text("abcXYZ ", max_size=20))
+def test_laws(special, text):
+    """Laws of the string forms: what the functions of one string promise."""
+    low, up, title = (python_steps([Call(k, {}, fn.BUILT_IN[k])]) for k in ("downcase", "upcase", "title_case"))
+    assert low(up(text)) == low(text) and up(low(text)) == up(text) and title(low(text)) == title(text)
+    assert all(w[0].isupper() for w in title(text).split()) and len(title(text).split(" ")) == len(text.split(" "))
+    apart = python_steps([Call("separate", {}, fn.BUILT_IN["separate"])])
+    assert len(apart(text)) == max(0, 2 * len(text) - 1) and python_steps([Call("separate", {"separator": ""}, fn.BUILT_IN["separate"])])(text) == text
+    nfc, nfd = (python_steps([Call(k, {}, fn.BUILT_IN[k])]) for k in ("compose", "decompose"))
+    assert nfc(nfd("Ångström café ኢትዮጵያ" + text)) == "Ångström café ኢትዮጵያ" + text
+    escaped = regexp_escape(special)
+    assert regex.fullmatch(escaped, special) and regex.sub(r"\\(.)", r"\1", escaped) == special
+    assert python_steps([Table({})])(text) == text and python_steps([Table({x: x for x in "abc"})])(text) == text
+    assert len(python_steps([Table({"a": "AAAA", "b": "BB"})])(text)) <= 4 * len(text)
+
+
 def test_rules(spark):
     assert both(spark, ["hello there"], m.sub("hello", "world"), m.sub(m.any_of("a", "e"), "_")) == ["world th_r_"]
     assert both(spark, ["a.b.c"], m.sub(".", "_")) == ["a_b_c"]
@@ -165,8 +269,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "x.txt").write_text("a\nb")
     assert [r["text"] for r in read_text(spark, str(tmp_path / "x.txt")).collect()] == ["a\nb"]
     write_text(read_text(spark, str(tmp_path / "x.txt")), str(tmp_path / "out"))
+    assert sorted(r["text"] for r in read_text(spark, str(tmp_path / "out"), whole=False).collect()) == ["a", "b"]
     known = m.bundled().values()
-    assert maps_table(spark, known).count() == 5 and dependencies_table(spark, known).count() == 3 and aliases_table(spark, known).count() == 0
-    assert QUERIES["catalog_rules"](spark, "").count() > 60
+    assert maps_table(spark, known).count() == 6 and dependencies_table(spark, known).count() == 3 and aliases_table(spark, known).count() == 1
+    assert QUERIES["catalog_bundled"](spark, "").count() == 14
     engine(*m.ukrainian()).register_sql(spark, "romanised", "bgnpcgn-ukr-Cyrl-Latn-2019")
     assert spark.sql("SELECT romanised('Київ')").first()[0] == "Kyiv"
+    e = engine(*m.ukrainian(), m.script_map("none"), m.script_map("broken", m.call("nope")))
+    e.register_detect_sql(spark, "systems", candidates=["none", "broken", "ua-ukr-Cyrl-Latn-1996"])
+    assert [tuple(x) for x in spark.sql("SELECT systems('Антон', 'Anton')").first()[0]] == [("ua-ukr-Cyrl-Latn-1996", 0), ("none", 5)]

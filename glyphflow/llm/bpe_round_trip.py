@@ -4,8 +4,9 @@ The distinct words of a slice of documents go into a trie; a depth-first walk gi
 each prefix its last-token state once, however many words share it (bpe.TrieCoder).
 Words met before are kept per worker process, up to a fixed number.
 
-Null and empty texts have no tokens and decode to an empty text. A null doc_id is
-kept, and each row of repeated rows is coded on its own. Extra columns are ignored.
+Null and empty texts have no tokens and decode to an empty text. Very long texts are
+coded whole. A null doc_id is kept, and each row of repeated rows is coded on its own.
+Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to Python code in slices of about so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+
+#: DuckDB SQL for a text's words between ASCII white space, as a list.
+SQL_WORDS = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r\v\f]+'), lambda x: x <> '')"
+#: Of a table w(r, ..., ws), a row r each with its words: words with their places, and windows of so many words as strings.
+SQL_PLACES = "(SELECT * EXCLUDE ws, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w)"
+SQL_WINDOWS = (
+    "(SELECT * EXCLUDE (word, n) FROM (SELECT *, string_agg(word, ' ') OVER a AS gram, count(*) OVER a AS n FROM "
+    + SQL_PLACES
+    + " WINDOW a AS (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {0} - 1 FOLLOWING)) WHERE n = {0})"
+)
+SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,7 +161,7 @@ def map_texts(docs: DataFrame, rows: Callable, schema: str, *, text: str = "text
 
 
 #: Texts are hashed in runs of about so many bytes.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Of each byte, the number it stands for; and the odd base of the polynomial over them.

@@ -10,8 +10,9 @@ The base phrases are matched as consecutive words and always count. score is 0 w
 any detection, else 1 minus the product of (1 - weight) over the detections kept and the
 base places, where a rule's weight falls with its priority.
 
-Null and empty texts have no words and no detections. Null doc_ids are kept; repeated
-rows are scanned each. Extra columns are ignored.
+Null and empty texts have no words and no detections. Very long texts are scanned whole.
+Null doc_ids are kept; repeated rows are scanned each. Extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import SQL_LOWER, SQL_UPPER, map_texts, table
 
 #: Phrases and labels that always count.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -230,3 +231,24 @@ def license_digest(scanned: DataFrame) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express: words and base places, from the same operator."""
+    return op5_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def _base_oracle() -> str:
+    is_at = lambda p: " AND ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
+    found = " UNION ALL ".join(f"SELECT r, unnest(list_filter(range(1, len(ws) + 1), lambda i: coalesce({is_at(p)}, false))) - 1 AS pos, '{label}' AS label FROM w" for p, label in BASE.items())
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), found AS ({found}),
+each AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM found GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels
+FROM w LEFT JOIN each USING (r)"""
+
+
+#: DuckDB SQL for license_base_columns.
+BASE_ORACLE = _base_oracle()

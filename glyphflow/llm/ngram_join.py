@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_IDS, FILTER_KEYS, bounded_batches, by_ids, checkpointed, components, forget, grouped, hash_filter, heavy_keys, in_sorted, map_texts, mix, release, salted, salted_join, slices, table, windows_hash, word_hashes
+from .common import BROADCAST_IDS, FILTER_KEYS, SQL_LOWER, SQL_UPPER, SQL_WINDOWS, SQL_WORDS, bounded_batches, by_ids, checkpointed, components, forget, grouped, hash_filter, heavy_keys, in_sorted, map_texts, mix, release, salted, salted_join, slices, table, windows_hash, word_hashes
 
 SIZE, PERCENT, COMMON = 5, 75, 32
 LEAF = 8
@@ -570,3 +570,19 @@ def without_near_duplicates(docs: DataFrame, *, size: int = SIZE, percent: int =
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for op6: all pairs of sets that share a shingle, and the closure of their links.
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS.format(f"translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}')")} AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, gram AS shingle FROM {SQL_WINDOWS.format(SIZE)} UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {SIZE - 1}
+), n AS (
+  SELECT doc_id, count(shingle) AS size FROM (SELECT doc_id FROM documents) LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), links AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= {PERCENT} * (p.size + q.size - common)
+), reached(v, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT links.y, reached.root FROM reached JOIN links ON reached.v = links.x)
+SELECT doc_id, size AS n_shingles, component_id FROM n JOIN (SELECT v, min(root) AS component_id FROM reached GROUP BY v) ON v = doc_id
+"""

@@ -6,8 +6,8 @@ set. Ablations are counts over the ledger: how many documents a rule fails, and
 many it alone fails. New policies need no new pass over the texts.
 
 Words are what stands between ASCII white space. Null and empty texts have no words and
-fail the word count. Null doc_ids are kept; repeated rows are measured each. Extra
-columns are ignored; an empty table gives an empty ledger.
+fail the word count. Very long texts are measured whole. Null doc_ids are kept; repeated
+rows are measured each. Extra columns are ignored; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import SQL_WINDOWS, SQL_WORDS, map_texts, table
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -109,3 +109,33 @@ def ablations(kept: DataFrame, version: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_policy(ledger(table(spark, sf_dir, "documents")), "v3")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(mask(BASE)) != 0).alias("base_failed"), "kept", "failed")
+
+
+def _oracle() -> str:
+    bits = " + ".join(f"CASE WHEN {x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(RULES.values()))
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {SQL_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), grams AS (
+  SELECT r, pos AS i, count(*) OVER (PARTITION BY r, gram) AS n FROM {SQL_WINDOWS.format(3)}
+), again AS (
+  SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM grams WHERE n > 1) GROUP BY r
+), lines AS (
+  SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	
+
+]')) AS own FROM w
+), m AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(own) - len(list_distinct(own)) AS n_dup_lines, len(own) AS n_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words,
+    len(list_filter(ws, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_shouted_words,
+    (length(t) - length(replace(t, '!!', ''))) // 2 + (length(t) - length(replace(t, '??', ''))) // 2 AS n_marks
+  FROM w JOIN lines USING (r) LEFT JOIN again USING (r)
+), judged AS (SELECT *, CAST({bits} AS INTEGER) AS failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {mask(BASE)} <> 0 AS base_failed, failed & {mask(POLICIES["v3"])} = 0 AS kept, failed
+FROM judged"""
+
+
+#: DuckDB SQL for op7: the measures and rules, word by word.
+ORACLE = _oracle()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import FILTER_KEYS, by_ids, bounded_batches, checkpointed, forget, grouped, hash_filter, map_texts, release, salted_join, slices, table, windows_hash, word_hashes
+from .common import FILTER_KEYS, SQL_PLACES, SQL_WINDOWS, SQL_WORDS, by_ids, bounded_batches, checkpointed, forget, grouped, hash_filter, map_texts, release, salted_join, slices, table, windows_hash, word_hashes
 
 WINDOW, K, HOT = 50, 10, 48
 #: Rows of one run of windows that one task joins.
@@ -430,3 +430,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: DuckDB SQL for op9: every window of every document, word by word.
+ORACLE = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), least AS (
+  SELECT r, pos, doc_id, min(doc_id) OVER (PARTITION BY gram) AS first FROM {SQL_WINDOWS.format(WINDOW)}
+), gone AS (
+  SELECT DISTINCT r, unnest(range(pos, pos + {WINDOW})) AS pos FROM least WHERE first < doc_id
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM {SQL_PLACES} ANTI JOIN gone USING (r, pos) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""

@@ -27,7 +27,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         out = trie_coder(path)(texts)
         return ids, [np.frombuffer(x, "<u4").astype("int32") for x, _ in out], [y for _, y in out]
 
-    return map_texts(docs, rows, "doc_id long, ids array<int>, decoded string")
+    return map_texts(docs, rows, "doc_id long, ids array<int>, decoded string", keeps=True)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -37,7 +37,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         out = trie_coder(path)(texts)
         return ids, [len(x) // 4 for x, _ in out], [sha256(x).hexdigest() for x, _ in out], [sha256(y.encode("utf-8")).hexdigest() for _, y in out]
 
-    return map_texts(docs, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

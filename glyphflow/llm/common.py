@@ -111,19 +111,38 @@ def bounded_batches(spark: SparkSession) -> None:
 _kept: dict[tuple, object] = {}
 
 
+def give_back() -> None:
+    """Memory that nothing uses goes back to the system: a worker process waits for its next task with what it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(name: tuple, make: Callable[[], object]) -> object:
     """What make() gave for this name. A worker keeps one such thing: another operator's goes when this one starts."""
     found = _kept.get(name)
     if found is None:
         _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # what it used goes back to the system
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         found = _kept[name] = make()
     return found
 
 
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """A function of Arrow batches that leaves no unused memory behind; unless it keeps() something itself, what operators before it kept goes first."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
     if not batch.num_rows:
@@ -137,12 +156,12 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def map_texts(docs: DataFrame, rows: Callable, schema: str, *, text: str = "text", binary: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def map_texts(docs: DataFrame, rows: Callable, schema: str, *, text: str = "text", binary: bool = False, keys: tuple[str, ...] = ("doc_id",), keeps: bool = False) -> DataFrame:
     """A DataFrame of `schema` from whole texts, through Arrow batches.
 
     rows(ids..., texts) gets a list for each key column and the list of texts
     (str, or UTF-8 bytes if `binary`; null is empty) and returns the output columns
-    as lists or arrays in the order of `schema`.
+    as lists or arrays in the order of `schema`. keeps: whether rows() uses kept().
     """
     names = [x.split()[0] for x in schema.split(", ")]
     bounded_batches(docs.sparkSession)
@@ -157,7 +176,7 @@ def map_texts(docs: DataFrame, rows: Callable, schema: str, *, text: str = "text
                 out = rows(*ids, texts)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=names)
 
-    return docs.select(*[F.col(k) for k in keys], col.alias("text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(k) for k in keys], col.alias("text")).mapInArrow(lean(run, keeps), schema)
 
 
 #: Texts are hashed in runs of about so many bytes.
@@ -376,8 +395,8 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-#: Ids are broadcast, as 64-bit integers, up to this number.
-BROADCAST_IDS = 2_000_000
+#: Ids are broadcast up to this number: 16 MB or so.
+BROADCAST_IDS = 500_000
 
 
 def in_sorted(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -392,18 +411,8 @@ def by_ids(docs: DataFrame, ids: DataFrame, *, inside: bool) -> DataFrame:
 
     A short list is broadcast and the texts stay where they are; a long one is joined by a shuffle.
     """
-    bounded_batches(docs.sparkSession)
     ids = ids.select("doc_id").filter("doc_id is not null").distinct()
     few = ids.limit(BROADCAST_IDS + 1).toArrow()
-    if few.num_rows > BROADCAST_IDS:
-        return docs.join(ids, "doc_id", "left_semi" if inside else "left_anti").select(*docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(few.column(0).to_numpy()))
-    at = docs.columns.index("doc_id")
-
-    def keep(batches):
-        for b in batches:
-            col = b.column(at)
-            found = in_sorted(sent.value, pc.fill_null(col, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(col).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(found if inside else ~found))
-
-    return docs.mapInArrow(keep, docs.schema)
+    if few.num_rows <= BROADCAST_IDS:
+        ids = F.broadcast(docs.sparkSession.createDataFrame(few.cast(pa.schema([("doc_id", pa.int64())]))))
+    return docs.join(ids, "doc_id", "left_semi" if inside else "left_anti").select(*docs.columns)

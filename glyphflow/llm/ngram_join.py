@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_IDS, FILTER_KEYS, SQL_LOWER, SQL_UPPER, SQL_WINDOWS, SQL_WORDS, bounded_batches, by_ids, checkpointed, components, forget, grouped, hash_filter, heavy_keys, in_sorted, map_texts, mix, release, salted, salted_join, slices, table, windows_hash, word_hashes
+from .common import BROADCAST_IDS, FILTER_KEYS, SQL_LOWER, SQL_UPPER, SQL_WINDOWS, SQL_WORDS, bounded_batches, by_ids, checkpointed, components, forget, grouped, hash_filter, heavy_keys, in_sorted, lean, map_texts, mix, release, salted, salted_join, slices, table, windows_hash, word_hashes
 
 SIZE, PERCENT, COMMON = 5, 75, 32
 LEAF = 8
@@ -46,7 +46,7 @@ CHUNK, ASKING = 512, 4096
 #: Rows with points or whole sets that one task joins for one node.
 NODE_ROWS = 1000
 #: Hashes that a task counts before it passes them on.
-FLUSH = 1_000_000
+FLUSH = 250_000
 #: Bytes kept of a hash when shingles are counted (a shingle may only seem more common).
 COUNTED = 6
 #: Bytes of packed hashes that one task should read.
@@ -245,8 +245,8 @@ def common_shingles(sets: Sets, total: int, common: int) -> DataFrame:
             n = np.diff(np.append(first, len(x)))
             yield pa.RecordBatch.from_arrays([pa.array(x[first][n > common].view(np.int64)), pa.array(n[n > common], pa.int64())], names=["key", "n"])
 
-    packed = sets.docs.mapInArrow(count, "bucket long, hashes binary")
-    return dealt(packed, COUNTED * total).sortWithinPartitions("bucket").mapInArrow(reduce, "key long, n long")
+    packed = sets.docs.mapInArrow(lean(count), "bucket long, hashes binary")
+    return dealt(packed, COUNTED * total).sortWithinPartitions("bucket").mapInArrow(lean(reduce), "key long, n long")
 
 
 def blocks(sets: Sets, total: int, percent: int, common: int) -> DataFrame:
@@ -338,12 +338,12 @@ def blocks(sets: Sets, total: int, percent: int, common: int) -> DataFrame:
             at = np.repeat(np.arange(len(members)), [len(x) for x in members])
             yield pa.RecordBatch.from_arrays([b.column("cold").take(pa.array(at)), b.column("block").take(pa.array(at)), pa.array(np.concatenate([*members, np.empty(0, "<i8")]), pa.int64()), b.column("rest").take(pa.array(at))], names=["cold", "block", "node", "rest"])
 
-    packed = sets.docs.mapInArrow(emit, "bucket long, cold boolean, keys binary, nodes binary, sizes binary, rest long")
-    found = checkpointed(dealt(packed, need).sortWithinPartitions("bucket", "cold").mapInArrow(gather, "cold boolean, block long, nodes binary, rest long"), sent)
+    packed = sets.docs.mapInArrow(lean(emit), "bucket long, cold boolean, keys binary, nodes binary, sizes binary, rest long")
+    found = checkpointed(dealt(packed, need).sortWithinPartitions("bucket", "cold").mapInArrow(lean(gather), "cold boolean, block long, nodes binary, rest long"), sent)
     release(spark)
     # Equal member lists, found by their whole content, are one block.
     one = found.filter("cold").dropDuplicates(["block", "nodes"]).unionByName(found.filter("not cold"))
-    out = checkpointed(one.mapInArrow(unpacked, "cold boolean, block long, node long, rest long"))
+    out = checkpointed(one.mapInArrow(lean(unpacked), "cold boolean, block long, node long, rest long"))
     forget(found)
     return out
 
@@ -369,7 +369,7 @@ def block_pairs(cold: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 yield _pairs(found)
 
     members = cold.join(points, "node").select("block", "node", "n", "point")
-    return members.repartition("block").sortWithinPartitions("block", "node").mapInArrow(search, PAIR).distinct()
+    return members.repartition("block").sortWithinPartitions("block", "node").mapInArrow(lean(search), PAIR).distinct()
 
 
 def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -389,7 +389,7 @@ def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int)
     hub = points.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("point").alias("hub_point"))
     # A hub's members are dealt over several tasks, the hub sent to each.
     members = salted_join(star.join(points, "node"), hub, "hub", "node", rows=NODE_ROWS)
-    return members.select("hub", "hub_n", "hub_point", "node", "n", "point").mapInArrow(bound, PAIR), star
+    return members.select("hub", "hub_n", "hub_point", "node", "n", "point").mapInArrow(lean(bound), PAIR), star
 
 
 def rest_pairs(hot: DataFrame, hubs: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -432,7 +432,7 @@ def rest_pairs(hot: DataFrame, hubs: DataFrame, roots: DataFrame, points: DataFr
         yield _pairs(found)
 
     both = all_of.select(*columns).unionByName(asks.select(*columns)).join(points, "node").select(*columns, "n", "point")
-    out = checkpointed(both.repartition("key", "zone", "chunk", "part").sortWithinPartitions("key", "zone", "chunk", "part", "asks").mapInArrow(search, PAIR).distinct())
+    out = checkpointed(both.repartition("key", "zone", "chunk", "part").sortWithinPartitions("key", "zone", "chunk", "part", "asks").mapInArrow(lean(search), PAIR).distinct())
     forget(open_keys, members, sizes, grid)
     return out
 
@@ -473,7 +473,7 @@ def verified(sets: Sets, pairs: DataFrame, nodes: DataFrame, percent: int) -> Da
     of_other = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("held"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")).join(side("other"), "other")
     many, one = salted(of_other, side("held"), "held", "other", heavy) if heavy else (of_other, side("held"))
     rows = many.join(one, ["held", "__salt"] if heavy else "held").select("held", "other", "of_held", "of_other")
-    out = checkpointed(rows.mapInArrow(compare, PAIR).distinct())
+    out = checkpointed(rows.mapInArrow(lean(compare), PAIR).distinct())
     release(sets.docs.sparkSession)
     return out
 
@@ -563,7 +563,7 @@ def without_near_duplicates(docs: DataFrame, *, size: int = SIZE, percent: int =
             found = list(shingle_sets([(x or "").encode() for x in b.column(at).to_pylist()], size))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(s, collided) if len(s) else None for s in found], pa.int64())], names=[*columns, "__node"])
 
-    own = by_ids(docs, several, inside=True).mapInArrow(add, StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    own = by_ids(docs, several, inside=True).mapInArrow(lean(add), StructType([*docs.schema.fields, StructField("__node", LongType())]))
     kept = own.join(stay.withColumnRenamed("node", "__node"), ["doc_id", "__node"], "left_semi").dropDuplicates(["doc_id", "__node"])
     return out.unionByName(own.filter("__node is null").select(*columns)).unionByName(kept.select(*columns))
 

@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARA
                 crc.append(zlib.crc32(y))
         return pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), start, length, crc, pa.array([TaskContext.get().partitionId()] * len(doc), pa.int32())
 
-    return map_texts(docs, rows, SCHEMA)
+    return map_texts(docs, rows, SCHEMA, keeps=True)
 
 
 @dataclass

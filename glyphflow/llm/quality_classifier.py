@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, map_texts, release, slices, table
+from .common import bounded_batches, kept, lean, map_texts, release, slices, table
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 BUCKETS, DIM = 1 << 17, 16
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = kept(("scorer", name), lambda: Scorer(*sent.value))
         return pa.array(ids, pa.int64()), scorer(texts)
 
-    return map_texts(docs, rows, "doc_id long, score double", binary=True)
+    return map_texts(docs, rows, "doc_id long, score double", binary=True, keeps=True)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,4 +244,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                 texts = [(x or "").encode("utf-8") for x in b.column(at).to_pylist()]
                 yield b.filter(pa.array(scorer(texts) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep, keeps=True), docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import FILTER_KEYS, SQL_PLACES, SQL_WINDOWS, SQL_WORDS, by_ids, bounded_batches, checkpointed, forget, grouped, hash_filter, map_texts, release, salted_join, slices, table, windows_hash, word_hashes
+from .common import FILTER_KEYS, SQL_PLACES, SQL_WINDOWS, SQL_WORDS, by_ids, bounded_batches, checkpointed, forget, grouped, hash_filter, lean, map_texts, release, salted_join, slices, table, windows_hash, word_hashes
 
 WINDOW, K, HOT = 50, 10, 48
 #: Rows of one run of windows that one task joins.
@@ -225,7 +225,7 @@ def emitted(docs: DataFrame, info: DataFrame, shared: DataFrame, window: int, k:
             for b in (x for batch in batches for x in slices(batch, 1)):
                 yield from batches_of(rows(b.column(0).to_pylist(), [x or b"" for x in b.column(1).to_pylist()], lambda i, a: (known(a), warm(a))))
 
-        return checkpointed(texts.mapInArrow(emit, schema), sent)
+        return checkpointed(texts.mapInArrow(lean(emit), schema), sent)
 
     def with_class(batches):
         for b in batches:
@@ -243,8 +243,8 @@ def emitted(docs: DataFrame, info: DataFrame, shared: DataFrame, window: int, k:
 
     # A text's own anchors meet here, fewer than it has words.
     listed = exploded(info, "doc_id long, cls binary, anchor long").distinct().join(shared, "anchor")
-    wanted = listed.groupBy("doc_id", "cls").agg(F.collect_list("anchor").alias("known"), F.collect_list(F.when(burning, F.col("anchor"))).alias("warm")).mapInArrow(packed, "doc_id long, cls binary, known binary, warm binary")
-    return checkpointed(texts.mapInArrow(with_class, "doc_id long, cls binary, text binary").join(wanted, ["doc_id", "cls"]).select("doc_id", "text", "known", "warm").mapInArrow(emit_own, schema))
+    wanted = listed.groupBy("doc_id", "cls").agg(F.collect_list("anchor").alias("known"), F.collect_list(F.when(burning, F.col("anchor"))).alias("warm")).mapInArrow(lean(packed), "doc_id long, cls binary, known binary, warm binary")
+    return checkpointed(texts.mapInArrow(lean(with_class), "doc_id long, cls binary, text binary").join(wanted, ["doc_id", "cls"]).select("doc_id", "text", "known", "warm").mapInArrow(lean(emit_own), schema))
 
 
 def exploded(info: DataFrame, schema: str) -> DataFrame:
@@ -257,7 +257,7 @@ def exploded(info: DataFrame, schema: str) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]), pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(len(columns) - 1)], pa.array(np.frombuffer(b"".join(raw), "<i8"))], names=columns)
 
-    return info.filter("doc_id is not null and length(anchors) > 0").select(*columns[:-1], "anchors").mapInArrow(each, schema)
+    return info.filter("doc_id is not null and length(anchors) > 0").select(*columns[:-1], "anchors").mapInArrow(lean(each), schema)
 
 
 def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT) -> DataFrame:
@@ -282,7 +282,7 @@ def spans(docs: DataFrame, info: DataFrame, window: int = WINDOW, k: int = K, ho
         yield pack()
 
     sharded = found.filter("not is_hot").select("key", "doc_id", "cls", "start", "words").repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    cold_spans = sharded.mapInArrow(cold, "doc_id long, cls binary, start long, end long")
+    cold_spans = sharded.mapInArrow(lean(cold), "doc_id long, cls binary, start long, end long")
     hot_spans, used = run_spans(found.filter("is_hot").select("doc_id", "cls", "start", "words"), window)
     # A document's own spans meet here: as many as it has windows at most.
     out = checkpointed(cold_spans.unionByName(hot_spans).groupBy("doc_id", "cls").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
@@ -307,7 +307,7 @@ def run_spans(hot: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(doc[first]), pa.array(doc[np.append(first[1:], len(key)) - 1])], names=["key", "lo", "hi"])
 
-    counts = hot.select("doc_id", "words").mapInArrow(counted, "key long, lo long, hi long")
+    counts = hot.select("doc_id", "words").mapInArrow(lean(counted), "key long, lo long, hi long")
     first = checkpointed(counts.groupBy("key").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last").select("key", "first"))
     n = first.count()
     # Of more windows than a filter holds, runs keep those that don't repeat, too: they find no partner in the join below.
@@ -324,7 +324,7 @@ def run_spans(hot: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
                 out += [(doc_id, cls, start + s, identity(w[s:e].tobytes()), w[s:e].tobytes()) for s, e in zip(turns[::2], turns[1::2], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "cls", "start", "run", "words"])
 
-    runs = checkpointed(hot.mapInArrow(repeating, "doc_id long, cls binary, start long, run binary, words binary"), sent)
+    runs = checkpointed(hot.mapInArrow(lean(repeating), "doc_id long, cls binary, start long, run binary, words binary"), sent)
 
     def windows(batches):
         for b in batches:
@@ -341,9 +341,9 @@ def run_spans(hot: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
             begin, end = np.concatenate([[0], cut]), np.append(cut, len(at)) - 1
             yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.binary()), *[pa.array([x.astype("<i8").tobytes()]) for x in (at[begin], at[end], least[begin])]], names=["run", "begin", "last", "least"])
 
-    listed = runs.select("run", "words").dropDuplicates(["run"]).mapInArrow(windows, "run binary, at long, key long")
+    listed = runs.select("run", "words").dropDuplicates(["run"]).mapInArrow(lean(windows), "run binary, at long, key long")
     known = listed.join(first, "key").select("run", "at", "first").repartition("run").sortWithinPartitions("run", "at")
-    known = checkpointed(known.mapInArrow(intervals, "run binary, begin binary, last binary, least binary"))
+    known = checkpointed(known.mapInArrow(lean(intervals), "run binary, begin binary, last binary, least binary"))
     forget(first)
 
     def placed(batches):
@@ -357,7 +357,7 @@ def run_spans(hot: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
 
     # A passage that is everywhere is one run, whose rows are dealt over several tasks.
     joined = salted_join(runs.drop("words"), known, "run", "doc_id", rows=RUN_ROWS).select("doc_id", "cls", "start", "begin", "last", "least")
-    return joined.mapInArrow(placed, "doc_id long, cls binary, start long, end long"), [runs, known]
+    return joined.mapInArrow(lean(placed), "doc_id long, cls binary, start long, end long"), [runs, known]
 
 
 def copies(info: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def with_words(docs: DataFrame, cut: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([text_class((x or "").encode()) for x in b.column(at).to_pylist()], pa.binary())], names=[*columns, "__cls"])
 
-    return by_ids(docs, cut, inside=True).mapInArrow(add, StructType([*docs.schema.fields, StructField("__cls", BinaryType())]))
+    return by_ids(docs, cut, inside=True).mapInArrow(lean(add), StructType([*docs.schema.fields, StructField("__cls", BinaryType())]))
 
 
 def remaining(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def remaining(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "cls", "n_removed", "kept"])
 
     involved = with_words(docs.select("doc_id", "text"), found).withColumnRenamed("__cls", "cls")
-    left = involved.join(found, ["doc_id", "cls"]).select("doc_id", "cls", "text", "starts", "ends").dropDuplicates(["doc_id", "cls"]).mapInArrow(cut, "doc_id long, cls binary, n_removed long, kept string")
+    left = involved.join(found, ["doc_id", "cls"]).select("doc_id", "cls", "text", "starts", "ends").dropDuplicates(["doc_id", "cls"]).mapInArrow(lean(cut), "doc_id long, cls binary, n_removed long, kept string")
     return checkpointed(left.withColumn("partial_digest", F.sha2(F.col("kept").cast("binary"), 256)))
 
 

@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: int
         n = counter(path, chunk, overlap)(texts)
         return ids, [len(x.encode("utf-8")) for x in texts], n, [x > limit for x in n]
 
-    return map_texts(docs, rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(docs, rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

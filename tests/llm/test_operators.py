@@ -152,6 +152,19 @@ def test_licenses(docs, empty):
     assert [x[0] for x in licenses.detections(b"spdx-license-identifier: mit")] == ["mit"]
 
 
+def test_license_labels():
+    """Labels and scores by every rule on every text, without prefilter, and containment by looking at all pairs."""
+    rnd = random.Random(12)
+    some = [sample(__import__("re")._parser.parse(r.pattern.pattern), rnd) for r in rnd.sample(licenses.rules(), 60)]
+    data = [" and then ".join(rnd.sample(some, rnd.randint(0, 4)) + [words(i, 20)]).encode() for i in range(60)] + [b"", b"MIT License", b"Licensed under the GNU General Public License, version 2"]
+    for text in data:
+        low = text.lower()
+        found = [(r.priority, m.start() - m.end(), k, m.start(), m.end(), r.label) for k, r in enumerate(licenses.rules()) for m in r.pattern.finditer(low)]
+        inside = lambda x, y: y[3] <= x[3] and x[4] <= y[4]
+        kept = [x for x in found if not any(y < x and inside(x, y) for y in found)]
+        assert sorted((x[5], x[0], x[3], x[4]) for x in kept) == sorted(licenses.scan(text)[2])
+
+
 def sample(tree, rnd):
     """A text that a rule's parsed pattern matches, a line end and a comment mark in place of blanks."""
     out = ""

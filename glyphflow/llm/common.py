@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +89,30 @@ def forget(*stored: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects garbage. Checkpoints stay: forget() deletes those."""
-    gc.collect()
+    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects garbage. Checkpoints stay: forget() deletes those.
+
+    The driver's Python and the JVM's native heap, which grows with the number of steps, give back what they don't use, too.
+    """
+    give_back()
     spark.sparkContext._jvm.System.gc()
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Native memory that the driver's JVM has freed goes back to the system; whether this JVM could."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        kinds, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        # The server's class isn't open to reflection, its interface is.
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.java.lang.Class.forName(name)
+        for i, x in enumerate((command, "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0))):
+            values[i] = x
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
 
 
 #: Rows cross to Python code and back in Arrow batches of about so many bytes.

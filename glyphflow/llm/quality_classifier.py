@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, lean, map_texts, release, slices, table
+from .common import bounded_batches, give_back, kept, lean, map_texts, release, slices, table
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 BUCKETS, DIM = 1 << 17, 16
@@ -205,7 +205,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, c
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
     release(docs.sparkSession)
     rows = training_rows(docs, labels, **bounds)
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64))
+    model = train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64))
+    del rows
+    give_back()  # the sample's texts and bags: later steps run in the same driver
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

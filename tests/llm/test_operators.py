@@ -337,6 +337,16 @@ def test_jaccard_ways_of_scale(spark, docs, monkeypatch):
     assert rows(ngram_join.jaccard_components(docs, common=2), "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_driver_gives_memory_back(spark):
+    """release() empties the driver's unused native memory: Python's and, where it can, the JVM's."""
+    from unittest import mock
+
+    assert common.trim_native(spark)
+    with mock.patch.object(common, "give_back") as gave, mock.patch.object(common, "trim_native") as trimmed:
+        common.release(spark)
+    assert gave.called and trimmed.called
+
+
 def test_equal_hashes(spark):
     """Different sets whose first hashes meet are told apart by the second."""
     info = spark.createDataFrame([(1, 3, 7, 70, b"a"), (2, 3, 7, 71, b"b"), (3, 3, 8, 80, b"c"), (4, 3, 7, 70, b"a")], "doc_id long, n_shingles long, node long, check long, point binary")

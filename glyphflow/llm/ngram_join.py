@@ -45,12 +45,12 @@ LEAF = 8
 CHUNK, ASKING = 512, 4096
 #: Rows with points or whole sets that one task joins for one node.
 NODE_ROWS = 1000
-#: Hashes that a task counts before it passes them on.
-FLUSH = 250_000
+#: Hashes that a task counts before it passes them on, and that it has for each bucket at least.
+FLUSH, RUN = 500_000, 100
 #: Bytes kept of a hash when shingles are counted (a shingle may only seem more common).
 COUNTED = 6
-#: Bytes of packed hashes that one task should read.
-TASK_BYTES = 128 << 20
+#: Bytes of packed hashes that one task should read, and that one bucket should have.
+TASK_BYTES, BUCKET_BYTES = 128 << 20, 4 << 20
 #: Sets whose 64-bit hashes meet, of which every task is told. Of 10^10 different sets about three are expected.
 COLLIDED = 1_000_000
 #: Size classes that similar sets may be apart.
@@ -205,13 +205,19 @@ def dealt(packed: DataFrame, total: int) -> tuple[DataFrame, int]:
 
 
 def buckets_for(spark: SparkSession, total: int) -> int:
-    return 16 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    """Buckets of `total` bytes, a few for each task. A task passes on a run for each bucket, so that many buckets make many short runs."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
+def flush_at(buckets: int) -> int:
+    """Hashes that are held before they are dealt to so many buckets: the runs don't get shorter as the input, and with it the buckets, grow."""
+    return max(FLUSH, RUN * buckets)
 
 
 def common_shingles(sets: Sets, total: int, common: int) -> DataFrame:
     """key, n: the lowest bits of shingles in more than `common` sets, and in how many. Hashes travel in packed runs, dealt by their highest bits; `total`: of all sets."""
     buckets = buckets_for(sets.docs.sparkSession, COUNTED * total)
-    read = sets.reader()
+    flush, read = flush_at(buckets), sets.reader()
 
     def count(batches):
         held, n = [], 0
@@ -229,7 +235,7 @@ def common_shingles(sets: Sets, total: int, common: int) -> DataFrame:
         for s in read(batches):
             held.append(s)
             n += len(s)
-            if n > FLUSH:
+            if n > flush:
                 yield from made()
                 held, n = [], 0
         if n:
@@ -259,6 +265,7 @@ def blocks(sets: Sets, total: int, percent: int, common: int) -> DataFrame:
     # A prefix has a key and a node, of 8 bytes each, and a size class for each of its shingles.
     need = 17 * total * (100 - percent) // 100
     buckets = buckets_for(spark, need)
+    flush = flush_at(buckets)
     counted = checkpointed(common_shingles(sets, total, common))
     while (n := counted.filter(F.col("n") > common).count()) > FILTER_KEYS:
         common *= 2
@@ -302,7 +309,7 @@ def blocks(sets: Sets, total: int, percent: int, common: int) -> DataFrame:
                 x = s[is_common][: take - len(own)].view(np.int64)
                 hot.append(np.column_stack([x, np.full(len(x), node), np.full(len(x), len(own))]))
             n += take
-            if n > FLUSH:
+            if n > flush:
                 yield from made()
                 keys, nodes, hot, n = [], [], [], 0
         yield from made()
@@ -392,15 +399,34 @@ def hub_pairs(hot: DataFrame, hubs: DataFrame, points: DataFrame, percent: int)
     return members.select("hub", "hub_n", "hub_point", "node", "n", "point").mapInArrow(lean(bound), PAIR), star
 
 
+def merged(each: DataFrame) -> DataFrame:
+    """Members (key, hub, node, root, outside) of blocks as (key, node, root, outside), stored, where a hub's blocks are one, with the hub as its key, if that makes no more pairs.
+
+    Blocks that are taken as one have all their pairs. Should a hub equal another block's key, the two are one block, which loses no pair either.
+    """
+    pairs = lambda: F.count("*").cast("double") * F.count(F.when(F.col("outside"), 1))
+    apart = each.groupBy("key", "hub").agg(pairs().alias("pairs")).groupBy("hub").agg(F.sum("pairs").alias("apart"))
+    together = each.select("hub", "node", "outside").distinct().groupBy("hub").agg(pairs().alias("together"))
+    one = checkpointed(apart.join(together, "hub").filter("together <= apart").select("hub", F.lit(True).alias("one")))
+    out = checkpointed(salted_join(each, one, "hub", "node", "left").select(F.when(F.col("one"), F.col("hub")).otherwise(F.col("key")).alias("key"), "node", "root", "outside").distinct())
+    forget(one)
+    return out
+
+
 def rest_pairs(hot: DataFrame, hubs: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in common blocks that hubs left with several components: members outside the hub's component against all of similar size, in chunks."""
+    """Pairs across components in common blocks that hubs left with several components: members outside the hub's component against all of similar size, in chunks.
+
+    Near copies meet in the blocks of all the shingles that they share, mostly with one hub: a hub's blocks are taken as one where that makes fewer pairs.
+    """
     root = roots.select(F.col("v").alias("node"), "root")
-    hub_root = hubs.join(roots.withColumnRenamed("v", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("hub_root"))
+    hub_root = hubs.join(roots.withColumnRenamed("v", "hub"), "hub", "left").select("key", "hub", F.coalesce("root", "hub").alias("hub_root"))
     of = checkpointed(hot.select("key", "node").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     open_keys = checkpointed(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key").join(hub_root, "key"))
     zone = F.least(F.lit(255), F.floor(4 * F.log("n") / float(np.log(100 / percent))).cast("int"))
-    members = checkpointed(salted_join(of, open_keys, "key", "node").join(points.select("node", "n"), "node").select("key", zone.alias("zone"), "node", "root", (F.col("root") != F.col("hub_root")).alias("outside")))
-    forget(of)
+    each = checkpointed(salted_join(of, open_keys, "key", "node").select("key", "hub", "node", "root", (F.col("root") != F.col("hub_root")).alias("outside")))
+    fewer = merged(each)
+    members = checkpointed(fewer.join(points.select("node", "n"), "node").select("key", zone.alias("zone"), "node", "root", "outside"))
+    forget(of, each, fewer)
     sizes = checkpointed(members.groupBy("key", "zone").agg(F.count("*").alias("n"), F.count(F.when(F.col("outside"), 1)).alias("asking")))
     near = F.explode(F.sequence(F.col("zone") - ZONES, F.col("zone") + ZONES))
     # Of each zone of sizes: chunks of members, and parts of those that ask there, from it and the zones around.

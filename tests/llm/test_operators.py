@@ -337,6 +337,23 @@ def test_jaccard_ways_of_scale(spark, docs, monkeypatch):
     assert rows(ngram_join.jaccard_components(docs, common=2), "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_jaccard_hubs_blocks(spark):
+    """Blocks of near copies that share a hub are taken as one, others stay apart; every pair that a block asks for is still there."""
+    each = [(k, 900, v, v % 3, v % 3 > 0) for k in range(20) for v in range(30) if (v + k) % 5] + [(100 + k, 901, 1000 * k + v, v, v > 0) for k in range(1, 4) for v in range(10)]
+    made = rows(ngram_join.merged(spark.createDataFrame(each, "key long, hub long, node long, root long, outside boolean")), "key", "node", "root", "outside")
+    pairs = lambda members: [(k, a, b) for k, a, _, out in members for j, b, *_ in members if out and k == j]
+    asked = pairs([(k, *x) for k, _, *x in each])
+    assert {x[1:] for x in asked} <= {x[1:] for x in pairs(made)} and len(pairs(made)) == 30 * 20 + 3 * 9 * 10 < len(asked) / 5
+    assert {k for k, *_ in made} == {900, 101, 102, 103}
+
+
+def test_runs_of_hashes(spark):
+    """A task's runs of hashes for a bucket don't get shorter with more buckets, and buckets stay small."""
+    for total in (1 << 20, 9 << 30, 45 << 30):
+        buckets = ngram_join.buckets_for(spark, total)
+        assert ngram_join.flush_at(buckets) >= 100 * buckets and total / buckets <= 4 << 20
+
+
 def test_driver_gives_memory_back(spark):
     """release() empties the driver's unused native memory: Python's and, where it can, the JVM's."""
     from unittest import mock

@@ -12,6 +12,7 @@ here; other texts go through the library's own normaliser and splitter.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 
@@ -57,6 +58,7 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -125,11 +127,12 @@ class LibraryCoder:
 
     def learn(self, new: list[str]) -> None:
         encode = self.words.tokenizer.encode
-        ids = np.array(encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        # The fast call makes the same ids, without offsets.
+        ids = np.array(self.words.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
-            for w, x in zip(new, np.split(ids, ends[:-1]), strict=True):
-                self.known[w] = x.tobytes()
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update(zip(new, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
         else:
             for w in new:
                 self.known[w] = np.array(encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()

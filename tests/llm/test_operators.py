@@ -12,7 +12,7 @@ import shapes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphflow.llm import bpe_round_trip, common, licenses, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, vector_search
+from glyphflow.llm import bpe, bpe_round_trip, common, licenses, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, vector_search
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score string, component_id int"
@@ -364,6 +364,18 @@ def test_driver_gives_memory_back(spark):
     assert gave.called and trimmed.called
 
 
+def test_words_learnt_without_offsets():
+    """New words are encoded by the call that makes no offsets, in one piece, with the library's ids."""
+    from unittest import mock
+
+    coder = bpe.LibraryCoder(bpe.Words(PATH))
+    text = words(31, 400) + " Don't stop 12 été, x!"
+    expected = np.array(coder.words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    real = coder.words.tokenizer
+    coder.words.tokenizer = mock.Mock(encode=mock.Mock(side_effect=AssertionError("offsets")), encode_batch_fast=real.encode_batch_fast)
+    assert coder([text]) == [expected]
+
+
 def test_equal_hashes(spark):
     """Different sets whose first hashes meet are told apart by the second."""
     info = spark.createDataFrame([(1, 3, 7, 70, b"a"), (2, 3, 7, 71, b"b"), (3, 3, 8, 80, b"c"), (4, 3, 7, 70, b"a")], "doc_id long, n_shingles long, node long, check long, point binary")

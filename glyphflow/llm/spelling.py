@@ -38,10 +38,13 @@ from .common import bounded_batches, checkpointed, forget, grouped, lean, salted
 
 LEAST, SHARE, FACTOR, ALTERED = 7, 2, 10, 31
 #: Characters below which a trie is cut into shards: at most (LEAST - 1) // 2, so that one of the two tries has both words of a pair in one shard.
-PREFIX, SHARD = 3, 20_000
+PREFIX, SHARD = 3, 200_000
 #: Different words that a task counts before it hands them on, and their characters.
-KEPT, KEPT_CHARS = 100_000, 4_000_000
+KEPT, KEPT_CHARS = 300_000, 6_000_000
 NEAR = "a string, n_a long, b string, n_b long"
+NEAREST = "word string, n_near long, best struct<n:long,w:string>"
+#: Large subtrees are named to every task up to this number, else joined: 100,000 stand for words beyond 20,000,000,000.
+BROADCAST_KEYS = 100_000
 
 
 def altered_words(docs: DataFrame, least: int = LEAST, every: int = ALTERED) -> DataFrame:
@@ -146,8 +149,22 @@ def _shard_pairs(side: int, prefix: int, rows: list[tuple[str, int]]) -> Iterato
             yield x, n[a], y, n[b]
 
 
-def near_words(words: DataFrame, *, prefix: int = PREFIX, shard: int = SHARD) -> DataFrame:
-    """a, n_a, b, n_b of every pair of stored words(word, n) one edit apart, each pair once. All words have at least 2 * prefix + 1 characters."""
+def _summed(pairs: Iterator[tuple[str, int, str, int]]) -> Iterator[tuple[str, int, dict]]:
+    """NEAREST of a shard's pairs: of each word, the number of near words and the one that occurs most often, with minus its number."""
+    found: dict[str, list] = {}
+    for a, n_a, b, n_b in pairs:
+        for w, x in ((a, (-n_b, b)), (b, (-n_a, a))):
+            own = found.setdefault(w, [0, x])
+            own[0] += 1
+            own[1] = min(own[1], x)
+    return ((w, n, {"n": x[0], "w": x[1]}) for w, (n, x) in found.items())
+
+
+def near_words(words: DataFrame, *, prefix: int = PREFIX, shard: int = SHARD, summed: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """a, n_a, b, n_b of every pair of stored words(word, n) one edit apart, each pair once, and the stored steps that it reads.
+
+    All words have at least 2 * prefix + 1 characters. summed: NEAREST instead, added up within each shard.
+    """
     left = words.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word").alias("s")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("s")))).alias("x"), "n").select("x.side", "x.s", "n")
     depth, shards, parted, stored = prefix, [], [], []
     while True:
@@ -155,9 +172,12 @@ def near_words(words: DataFrame, *, prefix: int = PREFIX, shard: int = SHARD) ->
         # One row for each subtree that is too large, at most one for `shard` words.
         hot = checkpointed(keyed.groupBy("side", "key").agg(F.count("*").alias("n_words")).filter(F.col("n_words") > shard).drop("n_words"))
         stored.append(hot)
-        if hot.isEmpty():
+        n = hot.count()
+        if not n:
             shards.append(keyed)
             break
+        if n <= BROADCAST_KEYS:
+            hot = F.broadcast(hot)
         shards.append(keyed.join(hot, ["side", "key"], "left_anti"))
         left = keyed.join(hot, ["side", "key"], "left_semi").select("side", "s", "n")
         parted.append(_parted(left, depth, prefix))
@@ -168,16 +188,22 @@ def near_words(words: DataFrame, *, prefix: int = PREFIX, shard: int = SHARD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, 2):
-            out = list(_shard_pairs(rows[0][0], prefix, [r[2:] for r in rows]))
+            out = _shard_pairs(rows[0][0], prefix, [r[2:] for r in rows])
+            out = list(_summed(out) if summed else out)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "n_a", "b", "n_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["word", "n_near", "best"] if summed else ["a", "n_a", "b", "n_b"])
 
-    found = every.select("side", "key", "s", "n").repartition("side", "key").sortWithinPartitions("side", "key").mapInArrow(lean(run), NEAR)
+    found = every.select("side", "key", "s", "n").repartition("side", "key").sortWithinPartitions("side", "key").mapInArrow(lean(run), NEAREST if summed else NEAR)
     for x in parted:
-        found = found.unionByName(x)
-    found = checkpointed(found)
-    forget(*stored)
-    return found
+        found = found.unionByName(_nearest(x) if summed else x)
+    return found, stored
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """NEAREST of pairs, one row for each of a pair's words."""
+    best = lambda n, w: F.struct((-F.col(n)).alias("n"), F.col(w).alias("w"))
+    both = F.array(F.struct(F.col("a").alias("word"), best("n_b", "b").alias("best")), F.struct(F.col("b").alias("word"), best("n_a", "a").alias("best")))
+    return near.select(F.explode(both).alias("x")).select("x.word", F.lit(1).cast("long").alias("n_near"), "x.best")
 
 
 def _parted(left: DataFrame, depth: int, prefix: int) -> DataFrame:
@@ -195,12 +221,13 @@ def _parted(left: DataFrame, depth: int, prefix: int) -> DataFrame:
     return out.filter((F.col("side") == 0) | (F.substring("a", 1, prefix) != F.substring("b", 1, prefix))).drop("side")
 
 
-def forms(words: DataFrame, near: DataFrame, factor: int = FACTOR) -> DataFrame:
-    """word, n, form, n_near and form_n of stored words: the form is the near word that occurs most often, if `factor` times as often as the word."""
-    both = near.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.struct(-F.col("n_b"), F.col("b").alias("w")).alias("x")), F.struct(F.col("b").alias("word"), F.struct(-F.col("n_a"), F.col("a").alias("w")).alias("x")))).alias("y")).select("y.*")
-    best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(F.col("x.col1").alias("n"), F.col("x.w").alias("w"))).alias("best"))
+def forms(words: DataFrame, nearest: DataFrame, factor: int = FACTOR) -> DataFrame:
+    """word, n, form, n_near and form_n of words: the form is the near word that occurs most often, if `factor` times as often as the word."""
+    none = F.lit(None)
+    every = words.select("word", "n", none.cast("long").alias("n_near"), none.cast("struct<n:long,w:string>").alias("best")).unionByName(nearest.select("word", none.cast("long").alias("n"), "n_near", "best"))
+    each = every.groupBy("word").agg(F.max("n").alias("n"), F.coalesce(F.sum("n_near"), F.lit(0)).alias("n_near"), F.min("best").alias("best"))
     fits = -F.col("best.n") >= factor * F.col("n")
-    return words.join(best, "word", "left").select("word", "n", F.when(fits, F.col("best.w")).alias("form"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, -F.col("best.n")).alias("form_n"))
+    return each.select("word", "n", F.when(fits, F.col("best.w")).alias("form"), "n_near", F.when(fits, -F.col("best.n")).alias("form_n"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -220,9 +247,9 @@ def roots(links: DataFrame) -> DataFrame:
 def spelling_variants(docs: DataFrame, *, least: int = LEAST, share: int = SHARE, factor: int = FACTOR, prefix: int = PREFIX, shard: int = SHARD) -> DataFrame:
     """word, form, root, n, n_near and form_n of every word of docs(doc_id, text)."""
     words = checkpointed(word_counts(docs, least, share))
-    near = near_words(words, prefix=prefix, shard=shard)
-    found = checkpointed(forms(words, near, factor))
-    forget(near)
+    nearest, stored = near_words(words, prefix=prefix, shard=shard, summed=True)
+    found = checkpointed(forms(words, nearest, factor))
+    forget(words, *stored)
     to = roots(found.filter("form is not null"))
     return found.join(to, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

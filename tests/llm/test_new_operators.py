@@ -92,6 +92,16 @@ def test_spelling(spark, empty, options):
     assert spelling.spelling_variants(empty, **options).count() == 0
 
 
+@pytest.mark.parametrize("shard", [1000, 2])
+def test_near_words(spark, shard):
+    rnd = random.Random(7)
+    words = sorted({"".join(rnd.choice("abé") for _ in range(rnd.randint(7, 9))) for _ in range(400)})
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, n long")
+    got = [tuple(r) for r in spelling.near_words(df, shard=shard)[0].collect()]
+    assert len(got) == len({(a, b) for a, _, b, _ in got}) and all(words[i] == a and words[j] == b for a, i, b, j in got)
+    assert {p for a, _, b, _ in got for p in ((a, b), (b, a))} == near_by_hand(words)
+
+
 def test_errata_trie():
     rnd = random.Random(4)
     for t in range(200):

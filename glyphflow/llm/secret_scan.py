@@ -41,9 +41,9 @@ OTHER_WORDS = r"(?i)(?:commit|revision|sha-?1|sha-?256|md5|checksum|digest|hash|
 ASSIGNED = r"(?:[ \t]*+(?:[=:]++>?|->)\s*+|\s++(?:(?:is|was)(?:[ \t]*+:)?+\s++)?)(?:(?:basic|bearer|digest)\s++)?"
 #: Values in quotes, else to the next blank or the next name= after one of &;, .
 VALUE = r"""(?<=")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+(?=")|(?<=')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?=')|(?<=`)[^`\n]++(?=`)|(?!["'`])(?:(?![&;,]["']?[a-z_][\w.\-]*+["']?[=:])\S)++"""
-#: 1: a secret word and the rest of its name; 2: what stands before the value; 3: the value. Only a value right after = or : is passed over, so that
-#: one run with many names is read once.
-KEYWORD = rf"""(?=[astpbc])({SECRET_WORDS}[a-z0-9_\-]*+["'`)\]]{{0,2}}+)(?=({ASSIGNED}["'`]?+)({VALUE}))(?:(?=[=:]++>?+\S)\2\3)?+""".replace("(?i)", "")
+#: 1: a name with a secret word; 2: what stands before the value; 3: the value. A name is tried from its start alone, however many secret words it
+#: holds, and only a value right after = or : is passed over, so that one run with many names is read once.
+KEYWORD = rf"""(?<![a-z0-9_\-])((?>[a-z0-9_\-]*?(?=[astpbc]){SECRET_WORDS})[a-z0-9_\-]*+["'`)\]]{{0,2}}+)(?=({ASSIGNED}["'`]?+)({VALUE}))(?:(?=[=:]++>?+\S)\2\3)?+""".replace("(?i)", "")
 KEYWORD = f"(?i){KEYWORD}"
 #: Closing punctuation is no part of a value without quotes.
 CLOSING = ",;.\"'`)]}>"
@@ -52,6 +52,7 @@ TREES, DEPTH, SEED = 32, 10, 11
 FINDINGS = 120
 BLOCK = 256
 
+#: Groups are repeated possessively: Java runs other repeated groups of varying length by recursion, which long values end.
 FEATURES = {
     "f_length": "ln(length(value))",
     "f_digits": "regexp_count(value, '[0-9]') / length(value)",
@@ -71,7 +72,7 @@ FEATURES = {
     "f_punctuation": "regexp_count(value, '[^A-Za-z0-9_+/=. -]') / length(value)",
     "f_prefix": "cast(value rlike '^(?:AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|[sr]k[_-]|npm_|hf_|pypi-)' as int)",
     "f_word": "cast(value rlike '^[A-Za-z]?[a-zà-ÿ]+[^A-Za-z0-9]*$' or value rlike '^[A-ZÀ-Þ]+[^A-Za-z0-9]*$' as int)",
-    "f_identifier": "cast(value rlike '^[A-Za-z]+(?:[^A-Za-z0-9]+[A-Za-z]+)+[^A-Za-z0-9]*$' or value rlike '^[a-z]+(?:[A-Z][a-z]{2,})+$' or value rlike '^(?:[A-Z][a-z]{2,})+$' as int)",
+    "f_identifier": "cast(value rlike '^[A-Za-z]++(?:[^A-Za-z0-9]++[A-Za-z]++)++[^A-Za-z0-9]*+$' or value rlike '^[a-z]++(?:[A-Z][a-z]{2,}+)++$' or value rlike '^(?:[A-Z][a-z]{2,}+)++$' as int)",
     "f_placeholder": "cast(value rlike '^[$<{%*(\\\\[]|[A-Za-z0-9][(\\\\[]|[*]{3}|^(?i)(?:x+|null|none|nil|true|false|undefined|string|str|int|required|optional|empty|changeme)$' as int)",
     "f_blanks": "regexp_count(value, '[ \t]') / length(value)",
     "f_stated": f"cast(before rlike '{SECRET_WORDS}[A-Za-z_]*[ ]+(?:is|was)[ ]*:?[ ]+$' as int)",
@@ -116,8 +117,8 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns({k: F.expr(x).cast("double") for k, x in FEATURES.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """text and label of made-up findings: n of each kind, from digests of numbers. Reviewed findings of one's own have the same form."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) -> DataFrame:
+    """text and label of made-up findings: n of each kind, from digests of the numbers from `first` on. Reviewed findings of one's own have the same form."""
     digests = {"sha1": "sha1(cast(id as string))", "sha2": "sha2(cast(id as string), 256)", "md5": "md5(cast(id as string))"}
     b64 = f"translate(left(base64(unhex(sha2)), 32), '+/=', 'xYz')"
     words = "concat_ws('_', element_at(array('user','release','config','server','module','update'), cast(id % 6 + 1 as int)), element_at(array('default','version','manager','template','example','sample'), cast(id % 5 + 1 as int)), cast(id as string), 'value')"
@@ -185,7 +186,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"{upper} || ' www.' || {prose} || {prose2} || '.example.com/' || {prose} || ' ' || {upper}", 0),
     ]
     one = F.explode(F.array(*[F.struct(F.expr(x).alias("text"), F.lit(float(y)).alias("label")) for x, y in kinds])).alias("x")
-    made = spark.range(0, n, 1, 1).select("id", *[F.expr(x).alias(k) for k, x in digests.items()]).select("*", *[F.expr(x).alias(k) for k, x in parts.items()])
+    made = spark.range(first, first + n, 1, 1).select("id", *[F.expr(x).alias(k) for k, x in digests.items()]).select("*", *[F.expr(x).alias(k) for k, x in parts.items()])
     return made.select(one).select("x.*")
 
 

@@ -524,8 +524,12 @@ def test_vector_search_empty_vectors(spark):
 def test_secret_scan(spark, docs, empty, model):
     import re
 
-    held = secret_scan.labelled_findings(spark, 150).withColumn("doc_id", F.monotonically_increasing_id())
-    judged = secret_scan.findings(held.filter("doc_id >= 22 * 120"), model).join(held, "doc_id")
+    # Of every kind, made from numbers that training hasn't seen.
+    held = secret_scan.labelled_findings(spark, 30, secret_scan.FINDINGS).withColumn("doc_id", F.monotonically_increasing_id()).cache()
+    seen = {r["text"] for r in secret_scan.labelled_findings(spark).collect()}
+    new = [r for r in held.collect() if r["text"] not in seen]
+    assert len(new) > 0.7 * held.count()  # some kinds are made of few words, and repeat
+    judged = secret_scan.findings(spark.createDataFrame(new, held.schema), model).join(held, "doc_id")
     right = judged.filter("is_secret = (label = 1)").count()
     assert right >= 0.97 * judged.count() > 0
     data = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y 9807915762804490 z'), (2, None), (3, ""), (None, "api_key: 0cc175b9c0f1b6a831c399e269772661"), (4, "a1" * 60_000), (5, "k1a2b3c4d5e6f7g8h9 " * 700)]
@@ -558,6 +562,27 @@ def test_secret_values(spark, model):
     assert [clean[i] for i in range(len(secrets), len(text))] == plain
 
 
+def test_secret_scan_of_long_values(spark, model):
+    """Texts that reach every loop of the patterns: no recursion, and time that grows with the text."""
+    import time
+
+    n = 200_000
+    prose = " ".join(["word"] * (n // 5))
+    long = {
+        1: "ab_" * (n // 3), 2: "Abc" * (n // 3), 3: "abc" + "Def" * (n // 3), 4: f'the secret was "{prose}" and', 5: f"password = '{prose}", 6: "secret" * (n // 6), 7: "secret_token-" * (n // 13) + "= x7!k",
+        8: "ab-cd_" * (n // 6) + "1", 9: 'token="' + "\\x" * (n // 2) + '"', 10: "token=" + "a&b;" * (n // 4), 11: "key " * (n // 4), 12: "password:" * (n // 9), 13: "secret" + " " * n + "x", 14: "Ab" * n, 15: "secret=" + "[" * n,
+    }
+    df = spark.createDataFrame(list(long.items()), "doc_id long, text string").repartition(4)
+    begin = time.time()
+    found = secret_scan.findings(df, model).select("doc_id", "start", "value", "is_secret").collect()
+    assert time.time() - begin < 60
+    assert all(long[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"] for r in found)
+    by_id = {i: {r["value"] for r in found if r["doc_id"] == i} for i in long}
+    assert all(by_id[i] == {long[i]} for i in (1, 2, 3, 6)) and prose in by_id[4] and "x7!k" in by_id[7]
+    assert rows(secret_scan.with_features(secret_scan.candidates(df.filter("doc_id <= 3"))), "doc_id", "f_identifier") == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert secret_scan.redacted(df, model).count() == len(long)
+
+
 def test_redaction_by_place(spark, model, monkeypatch):
     own = spark.createDataFrame([(1, "x token=abc!def/ghi abc defabc"), (1, "abc"), (None, None)], "doc_id long, text string")
     found = common.checkpointed(spark.createDataFrame([("x token=abc!def/ghi abc defabc", [(2, 11), (8, 15), (20, 23)])], "t string, __places array<struct<start:long,end:long>>").select(F.md5("t").alias("__key"), "__places"))
@@ -583,6 +608,32 @@ def test_secret_shapes(spark, model):
     assert right >= 0.97 * sum(r[3] for r in made) and right >= 0.9 * (right + wrong)
 
 
+def by_hand(f, v, place):
+    """The features that aren't shares of characters, from their meaning."""
+    import re
+
+    before, after = place["before"], place["after"]
+    secret, other = (re.compile(x) for x in (secret_scan.SECRET_WORDS, secret_scan.OTHER_WORDS))
+    letters, last = re.sub("[^A-Za-z]", " ", v), max((m.end() for m in secret.finditer(before)), default=None)
+    rest = None if last is None else before[last:]
+    kinds = [bool(re.search(x, v)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+    one_case = re.fullmatch("[A-Za-z]?[a-zà-ÿ]+[^A-Za-z0-9]*", v) or re.fullmatch("[A-ZÀ-Þ]+[^A-Za-z0-9]*", v)
+    camel = re.sub("[A-Z][a-z]{2,}", "", v)
+    parts = v[0].isalpha() and v[0].isascii() and not re.search("[0-9]", v) and len(letters.split()) > 1
+    values = {
+        "f_hex": sum(c in "0123456789abcdefABCDEF" for c in v) / len(v), "f_vowels": sum(c in "aeiouAEIOU" for c in v) / len(v), "f_blanks": sum(c in " \t" for c in v) / len(v),
+        "f_punctuation": sum(not (c.isascii() and (c.isalnum() or c in "_+/=. -")) for c in v) / len(v), "f_classes": sum(kinds), "f_word": bool(one_case),
+        "f_near_secret_word": bool(secret.search(before) or secret.search(after)), "f_other_word": bool(other.search(before) or other.search(after)),
+        "f_secret_word": rest is not None and bool(re.fullmatch("[A-Za-z_]*[^A-Za-z0-9]{0,6}", rest)), "f_stated": rest is not None and bool(re.fullmatch("[A-Za-z_]*[ ]+(?:is|was)[ ]*:?[ ]+", rest)),
+        "f_assigned": bool(re.search("[=:]>?$", before.removesuffix(before[-1:] if before[-1:] in "\"'" else "").rstrip(" "))), "f_quoted": before[-1:] in tuple("\"'`") and after[:1] in tuple("\"'`"),
+        "f_identifier": bool(parts or (camel == "" and v) or (camel != v and re.fullmatch("[a-z]+", camel) and v.startswith(camel))),
+        "f_prefix": v.startswith(("AKIA", "ASIA", "AIza", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", *[f"xox{c}-" for c in "abeprs"], "sk_", "sk-", "rk_", "rk-", "npm_", "hf_", "pypi-")),
+        "f_path": v.count("/") > 1 or v[0] == "/" or v.endswith((".com", ".org", ".net", ".js", ".css", ".png", ".html", ".py", ".txt")) or set(v) <= set("0123456789.") or bool(re.search(r"(?:://|[/.@])[^ ]*$", before)) or after[:1] in ("@", "/", ".", "\\"),
+    }
+    wrong = {k: (f[k], x, v, before, after) for k, x in values.items() if abs(f[k] - x) > 1e-9}
+    assert not wrong and len(values) + 8 == len(secret_scan.FEATURES), wrong
+
+
 def test_forest(spark, docs, model):
     """Probabilities against a walk through the trees by hand, features against their definition."""
     import re
@@ -599,7 +650,7 @@ def test_forest(spark, docs, model):
     features = secret_scan.assembled(secret_scan.candidates(made)).select("doc_id", "start", "value", "features", *secret_scan.FEATURES)
     by_place = {(r["doc_id"], r["start"], r["value"]): r for r in features.collect()}
     roots = [t._call_java("rootNode") for t in model.trees]
-    judged = found.collect()
+    judged, around = found.collect(), secret_scan.candidates(made).collect()
     assert len(judged) >= 25 and {r["is_secret"] for r in judged} == {True, False}
     for r in judged:
         f = by_place[r["doc_id"], r["start"], r["value"]]
@@ -608,5 +659,6 @@ def test_forest(spark, docs, model):
         v = r["value"]
         share = lambda x, v=v: len(re.findall(x, v)) / len(v)
         words = "|".join(sorted(secret_scan.DICTIONARY, key=lambda x: (-len(x), x)))
+        by_hand(f, v, {(i["doc_id"], i["start"], i["value"]): i for i in around}[r["doc_id"], r["start"], v])
         expected = {"f_length": np.log(len(v)), "f_digits": share("[0-9]"), "f_uppers": share("[A-Z]"), "f_symbols": share("[^A-Za-z0-9]"), "f_distinct": len(set(v)) / len(v), "f_dictionary": 1 - len(re.sub(words, "", v.lower())) / len(v), "f_transitions": share("(?<=[a-z])(?=[0-9A-Z])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")}
         assert all(abs(f[k] - x) < 1e-9 for k, x in expected.items())

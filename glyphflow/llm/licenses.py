@@ -165,12 +165,29 @@ def detections(low: bytes) -> list[tuple[str, int, int, int]]:
                 has[k] = all(w in low for w in k.split())
         if any(map(has.__getitem__, r.keywords)):
             found += [(r.priority, m.start() - m.end(), order, m.start(), m.end(), r.label) for m in r.pattern.finditer(low)]
-    kept: list[tuple[str, int, int, int]] = []
-    starts: list[tuple[int, int]] = []
+    return uncontained(found)
+
+
+def uncontained(found: list[tuple[int, int, int, int, int, str]]) -> list[tuple[str, int, int, int]]:
+    """(label, priority, start, end) of detections (priority, -length, rule, start, end, label) that lie in none before them in this order.
+
+    The furthest end of those kept, up to a start, is the maximum of a prefix: a tree over the starts gives it in the logarithm of their number.
+    """
+    place = {a: i for i, a in enumerate(sorted({x[3] for x in found}), 1)}
+    furthest = [0] * (len(place) + 1)
+    kept = []
     for priority, _, _, a, b, label in sorted(found):
-        if not any(x <= a and b <= y for x, y in starts):
-            starts.append((a, b))
-            kept.append((label, priority, a, b))
+        i = at = place[a]
+        end = 0
+        while i:
+            end = max(end, furthest[i])
+            i &= i - 1
+        if end >= b:
+            continue
+        kept.append((label, priority, a, b))
+        while at < len(furthest):
+            furthest[at] = max(furthest[at], b)
+            at += at & -at
     return kept
 
 

@@ -188,6 +188,27 @@ def sample(tree, rnd):
     return out
 
 
+def test_license_suppression():
+    """Containment against all pairs, and in time that grows with the detections."""
+    import time
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        found = []
+        for k in range(rnd.randint(0, 40)):
+            a, n = rnd.randint(0, 30), rnd.randint(1, 12)
+            found.append((rnd.randint(0, 3), -n, k, a, a + n, "x"))
+        kept = []
+        for p, _, _, a, b, label in sorted(found):
+            if not any(x <= a and b <= y for _, _, x, y in kept):
+                kept.append((label, p, a, b))
+        assert licenses.uncontained(found) == kept
+    text = "\n".join(f"file{i}.c: licensed under the apache license, version 2.0, or the mit license" for i in range(100_000)).encode()
+    begin = time.time()
+    words, _, hits = licenses.scan(text)
+    assert len(text) > 7_000_000 and words > 1_000_000 and len(hits) >= 200_000 and time.time() - begin < 60
+
+
 def test_licenses_wrapped():
     """No rule's match is lost to keywords or gate where headers are wrapped."""
     import re

@@ -5,11 +5,16 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
+from typing import TYPE_CHECKING
+
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..operators.trie import CompiledTable
+
 
 def column_function(fn: Callable) -> Callable:
     """Marks a function of (Column, options) that returns a Column, for use in maps made in memory."""
@@ -76,15 +81,14 @@ def regexp_escape(c: Column) -> Column:
 
 
 def levenshtein(a: Column, b: Column, *, utf16: bool = False) -> Column:
-    """Edit distance in characters; with utf16 in UTF-16 units, which differ for characters beyond U+FFFF (an Arrow UDF)."""
-    if not utf16:
-        return F.levenshtein(a, b)
+    """Edit distance in characters; with utf16 in UTF-16 units, which differ for characters beyond U+FFFF."""
+    return F.levenshtein(utf16_units(a), utf16_units(b)) if utf16 else F.levenshtein(a, b)
 
-    @F.pandas_udf("int")
-    def units_apart(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else distance(p, q, utf16=True) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
-    return units_apart(a, b)
+def utf16_units(c: Column) -> Column:
+    """A text with a character for each of its UTF-16 units: unit u is U+20000 + u. Texts up to U+FFFF alone are spelled so, too, as both sides of a distance must be."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    return F.decode(F.unhex(F.regexp_replace(units, "(....)", "0002$1")), "UTF-32")
 
 
 def distance(a: str, b: str, *, utf16: bool = False) -> int:
@@ -115,9 +119,13 @@ def glob_regex(pattern: str) -> str:
     return "^" + ".*".join(regex_quote(x) for x in pattern.split("*")) + r"\Z"
 
 
-def parallel_replace(c: Column, pairs: Sequence[tuple[str, str]] | Mapping[str, str], strategy: str = "auto") -> Column:
-    """The longest key at each place by its value; of equal keys the last counts, empty ones are ignored."""
+def parallel_replace(c: Column, pairs: Sequence[tuple[str, str]] | Mapping[str, str] | CompiledTable, strategy: str = "auto") -> Column:
+    """The longest key at each place by its value; of equal keys the last counts, empty ones are ignored. A compiled table is walked as it is."""
     from ..operators.rewrite import table_column
+    from ..operators.trie import CompiledTable
+
+    if isinstance(pairs, CompiledTable):
+        return pairs.column(c)
 
     return table_column(c, {k: v for k, v in dict(pairs).items() if k}, strategy)
 

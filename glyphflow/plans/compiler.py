@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,8 +12,9 @@ import regex
 
 from ..errors import MapLogicError, ScriptError
 from ..sources.maps import MapLoader
+from .fusion import Facts, Fused, fuse
 from .model import ScriptMap
-from .patterns import Items, Shape, utf16_length
+from .patterns import ANYTHING, Follow, Items, Shape, utf16_length
 
 
 @dataclass
@@ -27,6 +29,8 @@ class Replace:
     look_behind_unbounded: bool = False
     function: Callable | None = None
     function_name: str = ""
+    #: What the rule is made of, if that is plain strings.
+    facts: Facts | None = None
 
 
 @dataclass
@@ -52,7 +56,7 @@ class Call:
     function: Callable | None = None
 
 
-Step = Replace | Table | Delete | Call
+Step = Replace | Table | Delete | Call | Fused
 
 
 class Compiler:
@@ -62,7 +66,7 @@ class Compiler:
     def stage(self, found: ScriptMap, name: str) -> list[Step]:
         """The steps of a stage; a stage that isn't there has none."""
         rules = found.rules(name)
-        return [] if rules is None else fused(self.rules(found, rules, ((found.system_code, name),)))
+        return [] if rules is None else fuse(fused(self.rules(found, rules, ((found.system_code, name),))))
 
     def rules(self, found: ScriptMap, rules: list[dict], path: tuple) -> list[Step]:
         items = Items(self.aliases(found))
@@ -130,13 +134,18 @@ class Compiler:
             raise MapLogicError("Sub rule missing 'from'")
         shape, around = Shape(), Shape()
         parts, behind = [], False
+        follow = Follow()
+        if rule.get("notAfter"):
+            follow = ANYTHING
+        elif rule.get("after"):
+            follow = Follow().before(items.strings(rule["after"]))
         for key, form, sure in (("before", "(?<={})", True), ("notBefore", "(?<!{})", False), ("from", "{}", True), ("after", "(?={})", True), ("notAfter", "(?!{})", False)):
             if not rule.get(key):
                 continue
             empty, shape.unbounded = shape.can_be_empty, False
             if key == "from":
                 shape.can_be_empty = True
-            x = items.pattern(rule[key], shape, sure)
+            x = items.pattern(rule[key], shape, sure, follow if key == "from" else Follow())
             around.unbounded |= shape.unbounded and key in ("before", "notBefore")
             if key != "from":
                 shape.can_be_empty = empty
@@ -160,8 +169,17 @@ class Compiler:
             out.template = items.replacement(to)
         if not behind and not any(rule.get(k) for k in ("after", "notAfter")) and rule["from"]["kind"] == "string":
             out.plain = rule["from"]["value"]
+        out.facts = self.facts(rule, items, out)
         return out
 
+    def facts(self, rule: dict, items: Items, made: Replace) -> Facts | None:
+        if made.function is not None or made.shape.groups or made.shape.back_references or re.search(r"\$\d", made.template):
+            return None
+        strings = {k: items.strings(rule[k]) for k in ("from", "before", "notBefore", "after", "notAfter") if rule.get(k)}
+        if any(not x or "" in x or len(x) > 100 for x in strings.values()):
+            return None
+        return Facts(tuple(dict.fromkeys(strings.pop("from"))), made.template, tuple((k, tuple(dict.fromkeys(x))) for k, x in strings.items()))
+
     def parallel(self, found: ScriptMap, rule: dict, items: Items) -> list[Step]:
         pairs: dict[str, str] = {}
         bound, dropped = [], 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import maps as m
 from .engine import Engine
 from .functions import text as fn
+from .operators.trie import CompiledTable
 from .sources.catalog import aliases_table, dependencies_table, maps_table, rules_table
 
 #: Pairs of Latin and Cyrillic letters, to make Cyrillic texts of Latin ones.
@@ -65,6 +66,21 @@ _rules("sub_boundary", r"regexp_replace(text, '(^|[^\p{L}\p{M}])t', '\1T', 'g')"
 _rules("sub_non_word_boundary", r"regexp_replace(text, '([\p{L}\p{M}])q', '\1Q', 'g')", m.sub(m.group(m.alias("non_word_boundary"), "q"), "Q"))
 _rules("sub_any_empty", "text", m.sub("e", "E", notBefore=m.any_of()))
 _rules("sub_repeat", "regexp_replace(regexp_replace(text, 'e+', 'E', 'g'), 'l{2,3}', 'L', 'g')", m.sub(m.repeated("e", 2, None), "E"), m.sub(m.repeated("l", 2, 3), "L"))
+# Alternatives of several lengths, over some 25 documents in one text: loops of tens of thousands of rounds.
+def sub_repeat_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by 25, one text each, as runs of a and bc between number signs."""
+    docs = _table(spark, sf_dir, "documents").filter("doc_id is not null")
+    part = F.struct("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a#]", "bc").alias("t"))
+    joined = docs.groupBy(F.floor(F.col("doc_id") / 25).cast("long").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "").alias("text"))
+    e = engine(m.script_map("loops", m.sub(m.group(m.captured("b"), m.repeated(m.any_of("a", "cb"), 1, None)), m.group("<", m.reference(1), ">"))))
+    return joined.select("part", e.transliterate("text", "loops").alias("out"))
+
+
+QUERIES["sub_repeat_alternatives"] = sub_repeat_alternatives
+ORACLES["sub_repeat_alternatives"] = """
+SELECT part, regexp_replace(text, 'b(a|cb)+', '<b>', 'g') AS out FROM (
+  SELECT CAST(floor(doc_id / 25) AS BIGINT) AS part, string_agg(regexp_replace(coalesce(text, ''), '[^a#]', 'bc', 'g'), '' ORDER BY doc_id, text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1
+)"""
 _rules("sub_inline_function", "replace(text, 'the', 'THE')", m.sub("the", m.inline("upcase")))
 _rules("alias_any_character", r"regexp_replace(text, '[^\n\r]', '.', 'g')", m.sub(m.alias("any_character"), "."))
 _rules("alias_space", "replace(text, ' ', '_')", m.sub(m.alias("space"), "_"))
@@ -126,6 +142,11 @@ _rules("funcall_separate", "array_to_string(string_split(text, ''), '-')", m.cal
 _register("regexp_escape", fn.regexp_escape, r"regexp_replace(text, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')")
 _register("parallel_replace_function", lambda c: fn.parallel_replace(c, [("ab", "x"), ("a", "y"), ("a", "z")]), _tokens("ab|a", {"ab": "x", "a": "z"}))
 _register("parallel_replace_arrow", lambda c: fn.parallel_replace(c, TRIE, "arrow"), _tokens("the|and|th|an|in|e|a", TRIE))
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+#: 36,504 keys: words of four letters with th, all of three, all of two, by what they become.
+LARGE = {f"th{a}{b}": f"TH{a}{b}".upper() for a in _LOW for b in _LOW} | {f"{x}{b}{c}": f"{c}{b}{x}" for x in _LOW + _LOW.upper() for b in _LOW for c in _LOW} | {a + b: f"={a}{b}" for a in _LOW for b in _LOW}
+_LARGE_VALUE = "CASE WHEN len(t) = 4 THEN upper(t) WHEN len(t) = 3 THEN reverse(t) WHEN len(t) = 2 THEN '=' || t ELSE t END"
+_register("parallel_large_table", lambda c: CompiledTable(LARGE).column(c), f"array_to_string(list_transform(regexp_extract_all(text, '(?s)(th[a-z]{{2}}|[A-Za-z][a-z]{{2}}|[a-z]{{2}}|.)'), lambda t: {_LARGE_VALUE}), '')")
 _register("parallel_single_pass", lambda c: fn.parallel_single_pass(c, {"a": "1", "in": "2"}, [("an(?=d)", "3"), ("in", "4")]), "replace(replace(replace(replace(replace(text, 'and', chr(1)), 'a', '1'), 'in', '2'), chr(1), '3d'), chr(2), '')")
 _register("levenshtein", lambda c: fn.levenshtein(c, F.reverse(c)), "CAST(levenshtein(p_name, reverse(p_name)) AS INTEGER)", table="part", key="p_partkey", column="p_name")
 # Characters beyond U+FFFF are two units: each "a" put in place of one costs two edits. Of names without "a" or "e", both sides are equal.

@@ -67,20 +67,32 @@ _rules("sub_non_word_boundary", r"regexp_replace(text, '([\p{L}\p{M}])q', '\1Q',
 _rules("sub_any_empty", "text", m.sub("e", "E", notBefore=m.any_of()))
 _rules("sub_repeat", "regexp_replace(regexp_replace(text, 'e+', 'E', 'g'), 'l{2,3}', 'L', 'g')", m.sub(m.repeated("e", 2, None), "E"), m.sub(m.repeated("l", 2, 3), "L"))
 # Alternatives of several lengths, over some 25 documents in one text: loops of tens of thousands of rounds.
+def _joined(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """Documents by 25, one text each: part and text."""
+    docs = _table(spark, sf_dir, "documents").filter("doc_id is not null")
+    each = F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["t"]), "")
+    return docs.groupBy(F.floor(F.col("doc_id") / 25).cast("long").alias("part")).agg(whole.alias("text")).select("part", text.alias("text"))
+
+
+_JOINED = "SELECT CAST(floor(doc_id / 25) AS BIGINT) AS part, string_agg(coalesce(text, ''), '' ORDER BY doc_id, text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1"
+
+
+def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts in pieces of some 4,000 characters, by the Ukrainian system of 2019."""
+    e = engine(*m.ukrainian())
+    return e.convert_long(_joined(spark, sf_dir, _cyrillic(F.col("text"))), "text", "bgnpcgn-ukr-Cyrl-Latn-2019", "part", to="out", piece=4096)
+
+
 def sub_repeat_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by 25, one text each, as runs of a and bc between number signs."""
-    docs = _table(spark, sf_dir, "documents").filter("doc_id is not null")
-    part = F.struct("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a#]", "bc").alias("t"))
-    joined = docs.groupBy(F.floor(F.col("doc_id") / 25).cast("long").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "").alias("text"))
+    joined = _joined(spark, sf_dir, F.regexp_replace("text", "[^a#]", "bc"))
     e = engine(m.script_map("loops", m.sub(m.group(m.captured("b"), m.repeated(m.any_of("a", "cb"), 1, None)), m.group("<", m.reference(1), ">"))))
     return joined.select("part", e.transliterate("text", "loops").alias("out"))
 
 
 QUERIES["sub_repeat_alternatives"] = sub_repeat_alternatives
-ORACLES["sub_repeat_alternatives"] = """
-SELECT part, regexp_replace(text, 'b(a|cb)+', '<b>', 'g') AS out FROM (
-  SELECT CAST(floor(doc_id / 25) AS BIGINT) AS part, string_agg(regexp_replace(coalesce(text, ''), '[^a#]', 'bc', 'g'), '' ORDER BY doc_id, text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1
-)"""
+ORACLES["sub_repeat_alternatives"] = f"SELECT part, regexp_replace(regexp_replace(text, '[^a#]', 'bc', 'g'), 'b(a|cb)+', '<b>', 'g') AS out FROM ({_JOINED})"
 _rules("sub_inline_function", "replace(text, 'the', 'THE')", m.sub("the", m.inline("upcase")))
 _rules("alias_any_character", r"regexp_replace(text, '[^\n\r]', '.', 'g')", m.sub(m.alias("any_character"), "."))
 _rules("alias_space", "replace(text, ' ', '_')", m.sub(m.alias("space"), "_"))
@@ -171,11 +183,27 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ukrainian_2019"] = ukrainian_2019
 
 
-def _ukrainian_oracle() -> str:
+_APOSTROPHES = "'’"
+
+
+def _literal(x) -> str:
+    """A value as a DuckDB literal."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, (list, tuple)):
+        return f"[{', '.join(map(_literal, x))}]"
+    if isinstance(x, dict):
+        return f"map([{', '.join(map(_literal, x))}], [{', '.join(map(_literal, x.values()))}])"
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def _ukrainian_oracle(column: str = "text", apostrophes: str = _APOSTROPHES) -> str:
     # The texts hold neither the letters of the rules at word starts nor soft signs; З before г is the one rule with context that applies.
     low = m.UKRAINIAN
     table = {k.upper(): v[:1].upper() + v[1:] for k, v in low.items()} | low
-    out = f"replace(replace(translate(text, '{LATIN}', '{CYRILLIC}'), '''', ''), '’', '')"
+    out = f"translate({column}, '{LATIN}', '{CYRILLIC}')"
+    for x in apostrophes:
+        out = f"replace({out}, {_literal(x)}, '')"
     for a, b in (("ЗГ", "ЗGh"), ("зГ", "зGh"), ("Зг", "Зgh"), ("зг", "зgh")):
         out = f"replace({out}, '{a}', '{b}')"
     for k, v in table.items():
@@ -183,6 +211,8 @@ def _ukrainian_oracle() -> str:
     return out
 
 
+QUERIES["long_texts"] = long_texts
+ORACLES["long_texts"] = f"SELECT part, {_ukrainian_oracle()} AS out FROM ({_JOINED})"
 ORACLES["ukrainian_2019"] = f"SELECT doc_id, {_ukrainian_oracle()} AS out FROM documents"
 
 CANDIDATES = [
@@ -193,11 +223,11 @@ CANDIDATES = [
 _CONVERTED = {"low-all": "lower(p_name)", "low-vowels": "translate(p_name, 'AEIOU', 'aeiou')", "up-none": "replace(p_name, 'x', 'y')"}
 
 
-def _detected(spark: SparkSession, sf_dir: str, pattern: str | None = None) -> DataFrame:
+def _detected(spark: SparkSession, sf_dir: str, pattern: str | None = None, best: int | None = None) -> DataFrame:
     """Names of parts in upper case as the source, with capitals at the start of words as what was seen."""
     e = engine(*CANDIDATES)
     parts = _table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("name"), F.initcap("p_name").alias("seen"))
-    return e.detect_rows(parts, "name", "seen", "p_partkey", candidates=[x.system_code for x in CANDIDATES], map_pattern=pattern)
+    return e.detect_rows(parts, "name", "seen", "p_partkey", candidates=[x.system_code for x in CANDIDATES], map_pattern=pattern, best=best)
 
 
 def _detected_oracle(pattern: str | None = None) -> str:
@@ -207,13 +237,28 @@ def _detected_oracle(pattern: str | None = None) -> str:
 
 
 def detect_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(spark, sf_dir).filter("rank = 1")
+    return _detected(spark, sf_dir, best=1)
 
 
 def map_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(spark, sf_dir).groupBy("map_name").agg(F.count("*").alias("n"), F.sum((F.col("rank") == 1).cast("long")).alias("n_best"), F.avg("distance").alias("mean_distance"))
 
 
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four Ukrainian maps, which run each other, over names of parts in Cyrillic letters with apostrophes for blanks."""
+    e = engine(*m.ukrainian())
+    parts = _table(spark, sf_dir, "part").select("p_partkey", _cyrillic(F.replace("p_name", F.lit(" "), F.lit("'"))).alias("name"), "p_name")
+    return e.detect_rows(parts, "name", "p_name", "p_partkey", candidates=[x.system_code for x in m.ukrainian()])
+
+
+def _shared_oracle() -> str:
+    name = "replace(p_name, ' ', chr(39))"
+    rows = " UNION ALL ".join(f"SELECT p_partkey, {i} AS pos, '{x.system_code}' AS map_name, levenshtein({_ukrainian_oracle(name, '’' if '1996' in x.system_code else _APOSTROPHES)}, p_name) AS d FROM part" for i, x in enumerate(m.ukrainian()))
+    return f"SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY d, pos) AS INTEGER) AS rank, map_name, CAST(d AS INTEGER) AS distance FROM ({rows})"
+
+
+QUERIES |= {"detect_shared": _shared, "detect_top": lambda s, d: _detected(s, d, best=2)}
+ORACLES |= {"detect_shared": _shared_oracle(), "detect_top": f"SELECT * FROM ({_detected_oracle()}) WHERE rank <= 2"}
 QUERIES |= {"detect_rank": _detected, "detect_glob": lambda s, d: _detected(s, d, "low-*"), "detect_best": detect_best, "map_accuracy": map_accuracy}
 ORACLES |= {
     "detect_rank": _detected_oracle(),
@@ -223,17 +268,6 @@ ORACLES |= {
 }
 
 
-def _literal(x) -> str:
-    """A value as a DuckDB literal."""
-    if x is None:
-        return "NULL"
-    if isinstance(x, (list, tuple)):
-        return f"[{', '.join(map(_literal, x))}]"
-    if isinstance(x, dict):
-        return f"map([{', '.join(map(_literal, x))}], [{', '.join(map(_literal, x.values()))}])"
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-
 def _values(columns: dict[str, str], rows: list[tuple]) -> str:
     """SQL for a small table, written out: rows that are stated here, not read back from the package's tables."""
     casts = ", ".join(f"CAST({k} AS {t}) AS {k}" for k, t in columns.items())

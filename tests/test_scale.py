@@ -177,3 +177,52 @@ def test_words_in_parts(monkeypatch):
     words, plain = by_words(python_steps(steps), separators(steps)), python_steps(steps)
     texts = [None if rnd.random() < 0.1 else some(rnd, "abx  .", rnd.randint(0, 30)) for _ in range(500)]
     assert words(texts) == [x if x is None else plain(x) for x in texts]
+
+
+def test_shared_steps(spark):
+    """Rows with shared steps against a Column for each candidate, and the best against all, on random maps that begin or end alike."""
+    rnd = random.Random(10)
+    for _ in range(4):
+        begin, end = ([m.sub(some(rnd, "abcd", 1), some(rnd, "wxyz", 2), before=some(rnd, "ab", 1)) for _ in range(rnd.randint(0, 14))] for _ in range(2))
+        own = lambda: [m.sub(some(rnd, "abcd", 2), some(rnd, "vw", 1)) for _ in range(rnd.randint(0, 2))]  # noqa: B023, E731
+        maps = [m.script_map(f"m{i}", *x) for i, x in enumerate([[*begin, *own()], [*begin, *own()], begin, [*own(), *end], [*own(), *end], end, [], [m.call("upcase"), *end], [*begin, *begin], begin])]
+        e = engine(*maps)
+        codes = [x.system_code for x in maps]
+        rows = [(i, some(rnd, "abcd ", rnd.randint(0, 30)), some(rnd, "abcdwxyz 😀", rnd.randint(0, 30))) for i in range(40)] + [(40, None, "a"), (41, "a", None), (42, "", "")]
+        df = spark.createDataFrame(rows, "i int, a string, b string")
+        for utf16 in (False, True):
+            each = df.select("i", e.detect("a", "b", candidates=codes, utf16=utf16).alias("x"), e.detect("a", "b", candidates=codes, utf16=utf16, best=3).alias("y")).collect()
+            assert all(r["y"] == r["x"][:3] for r in each)
+            got = e.detect_rows(df, "a", "b", "i", candidates=codes, utf16=utf16).collect()
+            assert sorted((r["i"], r["rank"], r["map_name"], r["distance"]) for r in got if r["distance"] is not None) == sorted((r["i"], k, x["map_name"], x["distance"]) for r in each for k, x in enumerate(r["x"], 1) if x["distance"] is not None)
+            assert e.detect_rows(df, "a", "b", "i", candidates=codes, utf16=utf16, best=2).count() == 2 * len(rows)
+
+
+def test_shared_plan(spark, capsys):
+    """Four maps that run each other need one Arrow step."""
+    e = engine(*m.ukrainian())
+    df = spark.createDataFrame([("Згорани", "Zghorany")], "a string, b string")
+    out = e.detect_rows(df, "a", "b", candidates=[x.system_code for x in m.ukrainian()])
+    assert [(r["rank"], r["distance"]) for r in out.collect()] == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    out.explain("formatted")
+    assert capsys.readouterr().out.count(") ArrowEvalPython") <= 2  # named once in the tree, once in the list
+
+
+def test_utf16_distance(spark):
+    rnd = random.Random(11)
+    rows = [(i, some(rnd, "ab😀🚀é\U00020061日\U000f0000", rnd.randint(0, 12)), some(rnd, "ab😀🚀é\U00020061日\U000f0000", rnd.randint(0, 12))) for i in range(300)] + [(300, None, "a"), (301, "", "")]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = [r["d"] for r in df.orderBy("i").select(fn.levenshtein(F.col("a"), F.col("b"), utf16=True).alias("d")).collect()]
+    assert got == [None if a is None else fn.distance(a, b, utf16=True) for _, a, b in rows]
+
+
+def test_long_texts(spark):
+    rnd = random.Random(12)
+    e = engine(*m.ukrainian(), m.script_map("whole", m.sub(m.alias("line_start"), ">")))
+    code = "bgnpcgn-ukr-Cyrl-Latn-2019"
+    texts = [None, "", " ", "Щука", *[some(rnd, "зЗгГ’'ЩьЄєїЯяюа. -\n1x", rnd.randint(0, 400)) for _ in range(20)], "а" * 500, ("Згорани, " * 30_000)]
+    df = spark.createDataFrame([(i % 7, "x", t) for i, t in enumerate(texts)], "k int, text string, t string")
+    for piece in (1, 10, 4096):
+        got = e.convert_long(df, "t", code, "k", "text", piece=piece).collect()
+        assert sorted((r["k"], r["converted"]) for r in got if r["converted"] is not None) == sorted((i % 7, e.convert(t, code)) for i, t in enumerate(texts) if t is not None) and len(got) == len(texts)
+    assert {r["converted"] for r in e.convert_long(df.filter("k = 3"), "t", "whole", "k").collect()} >= {">Щука"}

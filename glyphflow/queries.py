@@ -11,7 +11,7 @@ from . import maps as m
 from .engine import Engine
 from .functions import text as fn
 from .operators.trie import CompiledTable
-from .sources.catalog import aliases_table, dependencies_table, maps_table, rules_table
+from .sources.catalog import parsed
 
 #: Pairs of Latin and Cyrillic letters, to make Cyrillic texts of Latin ones.
 LATIN, CYRILLIC = "abvhgdezyiklmnoprstufABVHGDEZYIKLMNOPRSTUF", "абвгґдезиіклмнопрстуфАБВГҐДЕЗИІКЛМНОПРСТУФ"
@@ -268,53 +268,51 @@ ORACLES |= {
 }
 
 
-def _values(columns: dict[str, str], rows: list[tuple]) -> str:
-    """SQL for a small table, written out: rows that are stated here, not read back from the package's tables."""
-    casts = ", ".join(f"CAST({k} AS {t}) AS {k}" for k, t in columns.items())
-    body = ", ".join(f"({', '.join(map(_literal, r))})" for r in rows) or f"({', '.join(['NULL'] * len(columns))})"
-    return f"SELECT {casts} FROM (VALUES {body}) AS t({', '.join(columns)})" + ("" if rows else " WHERE false")
-
-
-def _catalog_map():
-    """A map with a rule of each kind, whose catalogue is written out by hand below."""
-    return [
-        m.script_map("catalog-a", m.sub("a", "b", before="x"), m.run("second"), m.call("title_case", wordSeparator="_"), m.parallel(m.sub("c", "d", notAfter="y")), dependencies=("catalog-b",), aliases={"v": m.any_of("o", "u")}, second=[m.sequential(m.sub("q"), m.run("main", "catalog-b"))]),
-        m.script_map("catalog-b", m.sub("e", m.inline("upcase"), after="z", notBefore="w")),
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each part, as JSON: a rule of each kind, with the part's own strings."""
+    text = lambda x: F.struct(F.lit("string").alias("kind"), (F.lit(x) if isinstance(x, str) else x).alias("value"))
+    rule = lambda kind, **own: F.to_json(F.struct(F.lit(kind).alias("kind"), *[x.alias(k) for k, x in own.items()]))
+    own = rule("sub", **{"from": text(F.col("p_brand")), "to": text(F.col("p_type")), "before": text("x"), "notAfter": text("y")})
+    call = rule("funcall", name=F.lit("title_case"), kwargs=F.struct(F.lit("_").alias("wordSeparator")))
+    run = rule("run", stage=F.lit("main"), docName=F.concat(F.lit("part-"), (F.col("p_partkey") + 1).cast("string")))
+    inline = F.to_json(F.struct(F.lit("sub").alias("kind"), text(F.col("p_name")).alias("from"), F.struct(F.lit("funcall_inline").alias("kind"), F.lit("upcase").alias("name")).alias("to")))
+    nested = F.format_string('{"kind": "parallel", "rules": [%s, {"kind": "sequential", "rules": [%s]}]}', inline, call)
+    code = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
+    spec = F.format_string(
+        '{"schemaVersion": 1, "systemCode": "%s", "dependencies": ["part-%d", "size-%d"], "stages": [{"name": "main", "rules": [%s, %s]}, {"name": "second", "rules": [%s]}], "aliases": {"brand": %s}}',
+        code, F.col("p_partkey") + 1, F.col("p_size"), own, nested, run, F.to_json(text(F.col("p_brand"))),
+    )
+    return _table(spark, sf_dir, "part").select(code.alias("path"), spec.alias("spec"))
+
+
+def _catalog_oracle() -> str:
+    text = lambda x: f"""'{{"kind": "string", "value": "' || {x} || '"}}'"""
+    names = ("from_json", "to_json", "before_json", "after_json", "not_before_json", "not_after_json", "run_stage", "run_doc", "fn_name", "kwargs_json")
+    call = {"fn_name": "'title_case'", "kwargs_json": """'{"wordSeparator": "_"}'"""}
+    rows = [
+        ("main", [0], "sub", {"from_json": text("p_brand"), "to_json": text("p_type"), "before_json": text("'x'"), "not_after_json": text("'y'")}),
+        ("main", [1], "parallel", {}),
+        ("main", [1, 0], "sub", {"from_json": text("p_name"), "to_json": """'{"kind": "funcall_inline", "name": "upcase"}'"""}),
+        ("main", [1, 1], "sequential", {}),
+        ("main", [1, 1, 0], "funcall", call),
+        ("second", [0], "run", {"run_stage": "'main'", "run_doc": "'part-' || (p_partkey + 1)"}),
     ]
+    each = [f"SELECT 'part-' || p_partkey AS system_code, '{stage}' AS stage, CAST({path} AS INTEGER[]) AS path, '{kind}' AS kind, {', '.join(f'CAST({own.get(k, _NULL)} AS VARCHAR) AS {k}' for k in names)} FROM part" for stage, path, kind, own in rows]
+    return " UNION ALL ".join(each)
 
 
-def _string(x: str) -> str:
-    return f'{{"kind": "string", "value": "{x}"}}'
-
-
-_RULES = {"system_code": "VARCHAR", "stage": "VARCHAR", "path": "INTEGER[]", "kind": "VARCHAR", "from_json": "VARCHAR", "to_json": "VARCHAR", "before_json": "VARCHAR", "after_json": "VARCHAR", "not_before_json": "VARCHAR", "not_after_json": "VARCHAR", "run_stage": "VARCHAR", "run_doc": "VARCHAR", "fn_name": "VARCHAR", "kwargs_json": "VARCHAR"}
-_NONE = None
-_CATALOG_RULES = [
-    ("catalog-a", "main", [0], "sub", _string("a"), _string("b"), _string("x"), _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE),
-    ("catalog-a", "main", [1], "run", _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, "second", _NONE, _NONE, _NONE),
-    ("catalog-a", "main", [2], "funcall", _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, "title_case", '{"wordSeparator": "_"}'),
-    ("catalog-a", "main", [3], "parallel", *[_NONE] * 10),
-    ("catalog-a", "main", [3, 0], "sub", _string("c"), _string("d"), _NONE, _NONE, _NONE, _string("y"), _NONE, _NONE, _NONE, _NONE),
-    ("catalog-a", "second", [0], "sequential", *[_NONE] * 10),
-    ("catalog-a", "second", [0, 0], "sub", _string("q"), *[_NONE] * 9),
-    ("catalog-a", "second", [0, 1], "run", _NONE, _NONE, _NONE, _NONE, _NONE, _NONE, "main", "catalog-b", _NONE, _NONE),
-    ("catalog-b", "main", [0], "sub", _string("e"), '{"kind": "funcall_inline", "name": "upcase"}', _NONE, _string("z"), _string("w"), _NONE, _NONE, _NONE, _NONE, _NONE),
-]
+_NULL = "NULL"
 QUERIES |= {
-    "catalog_rules": lambda spark, sf_dir: rules_table(spark, _catalog_map()),
-    "catalog_maps": lambda spark, sf_dir: maps_table(spark, _catalog_map()).select("system_code", "schema_version", F.array_join("dependencies", ",").alias("dependencies")),
-    "catalog_aliases": lambda spark, sf_dir: aliases_table(spark, _catalog_map()),
-    "catalog_dependencies": lambda spark, sf_dir: dependencies_table(spark, _catalog_map()),
-    "catalog_bundled": lambda spark, sf_dir: rules_table(spark, m.bundled().values()).groupBy("system_code", "kind").agg(F.count("*").alias("n")),
+    "catalog_rules": lambda spark, sf_dir: parsed(_specs(spark, sf_dir), "rules"),
+    "catalog_maps": lambda spark, sf_dir: parsed(_specs(spark, sf_dir), "maps").select("system_code", "schema_version", F.array_join("dependencies", ",").alias("dependencies")),
+    "catalog_aliases": lambda spark, sf_dir: parsed(_specs(spark, sf_dir), "aliases"),
+    "catalog_dependencies": lambda spark, sf_dir: parsed(_specs(spark, sf_dir), "dependencies"),
+    "catalog_bundled": lambda spark, sf_dir: parsed(_specs(spark, sf_dir), "rules").groupBy("stage", "kind").agg(F.count("*").alias("n"), F.countDistinct("from_json").alias("n_sources")),
 }
 ORACLES |= {
-    "catalog_rules": _values(_RULES, _CATALOG_RULES),
-    "catalog_maps": _values({"system_code": "VARCHAR", "schema_version": "INTEGER", "dependencies": "VARCHAR"}, [("catalog-a", 1, "catalog-b"), ("catalog-b", 1, "")]),
-    "catalog_aliases": _values({"system_code": "VARCHAR", "alias": "VARCHAR", "item_json": "VARCHAR"}, [("catalog-a", "v", f'{{"kind": "any", "of": [{_string("o")}, {_string("u")}]}}')]),
-    "catalog_dependencies": _values({"system_code": "VARCHAR", "dependency": "VARCHAR", "position": "INTEGER"}, [("catalog-a", "catalog-b", 0)]),
-    "catalog_bundled": _values({"system_code": "VARCHAR", "kind": "VARCHAR", "n": "BIGINT"}, [
-        ("bgnpcgn-ukr-Cyrl-Latn-2019", "parallel", 1), ("bgnpcgn-ukr-Cyrl-Latn-2019", "run", 1), ("bgnpcgn-ukr-Cyrl-Latn-2019", "sub", 1), ("deu-Latn-Latn-2000", "parallel", 1), ("deu-Latn-Latn-2000", "sub", 6),
-        ("ua-ukr-Cyrl-Latn-1996", "parallel", 1), ("ua-ukr-Cyrl-Latn-1996", "sub", 78), ("ua-ukr-Cyrl-Latn-2010", "parallel", 1), ("ua-ukr-Cyrl-Latn-2010", "run", 1), ("ua-ukr-Cyrl-Latn-2010", "sub", 10),
-        ("un-tam-Taml-Latn-1972", "funcall", 1), ("un-tam-Taml-Latn-1972", "parallel", 1), ("un-tam-Taml-Latn-1972", "sub", 89), ("un-ukr-Cyrl-Latn-2012", "run", 1),
-    ]),
-}
+    "catalog_rules": _catalog_oracle(),
+    "catalog_maps": "SELECT 'part-' || p_partkey AS system_code, CAST(1 AS INTEGER) AS schema_version, 'part-' || (p_partkey + 1) || ',size-' || p_size AS dependencies FROM part",
+    "catalog_aliases": """SELECT 'part-' || p_partkey AS system_code, 'brand' AS alias, '{"kind": "string", "value": "' || p_brand || '"}' AS item_json FROM part""",
+    "catalog_dependencies": "SELECT 'part-' || p_partkey AS system_code, unnest(['part-' || (p_partkey + 1), 'size-' || p_size]) AS dependency, CAST(unnest([0, 1]) AS INTEGER) AS position FROM part",
+    "catalog_bundled": f"SELECT stage, kind, count(*) AS n, count(DISTINCT from_json) AS n_sources FROM ({_catalog_oracle()}) GROUP BY stage, kind",
+}

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
-from typing import Any
+from typing import TYPE_CHECKING, Any
 from urllib.parse import unquote, urlparse
 
 from ..errors import MapNotFoundError
 from ..plans.model import ScriptMap, normalise_map
 
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
+
 Strategy = Callable[[str], ScriptMap | None]
 
 
@@ -26,6 +29,18 @@ def folder_strategy(folder: str | Path) -> Strategy:
     return find
 
 
+def shared_folder_strategy(spark: SparkSession, folder: str) -> Strategy:
+    """Maps from <folder>/<code>.json in any file system that Spark reads. A file that is missing, unreadable or no map counts as not found."""
+
+    def find(code: str) -> ScriptMap | None:
+        try:
+            return normalise_map(json.loads(spark.read.text(f"{folder.rstrip('/')}/{code}.json", wholetext=True).first()["value"]))
+        except Exception:
+            return None
+
+    return find
+
+
 def relative_folder_strategy(relative_to: str, path: str) -> Strategy:
     """Maps from a folder beside a file (a file:// URL) or under a folder."""
     base = Path(unquote(urlparse(relative_to).path)).parent if relative_to.startswith("file://") else Path(relative_to)

@@ -1,5 +1,6 @@
 """Tables of many keys, loops without recursion, fused rules and conversion by words: each against the plain form."""
 
+import json
 import random
 import time
 
@@ -8,6 +9,7 @@ import regex
 from pyspark.sql import functions as F
 
 from glyphflow import maps as m
+from glyphflow.engine import Engine
 from glyphflow.functions import text as fn
 from glyphflow.operators import rewrite
 from glyphflow.operators.rewrite import apply_steps, by_words, is_native, python_steps, table_column
@@ -17,6 +19,8 @@ from glyphflow.plans.compiler import Compiler, fused
 from glyphflow.plans.cuts import separators
 from glyphflow.plans.patterns import regexp_escape
 from glyphflow.queries import MANY, engine
+from glyphflow.sources import catalog
+from glyphflow.sources.maps import shared_folder_strategy
 
 
 def column(spark, texts, build):
@@ -226,3 +230,19 @@ def test_long_texts(spark):
         got = e.convert_long(df, "t", code, "k", "text", piece=piece).collect()
         assert sorted((r["k"], r["converted"]) for r in got if r["converted"] is not None) == sorted((i % 7, e.convert(t, code)) for i, t in enumerate(texts) if t is not None) and len(got) == len(texts)
     assert {r["converted"] for r in e.convert_long(df.filter("k = 3"), "t", "whole", "k").collect()} >= {">Щука"}
+
+
+def test_map_files(spark, tmp_path):
+    """Maps of a folder as tables, errors as rows, and the loader on any path that Spark reads."""
+    spec = {"schemaVersion": 1, "systemCode": "one", "dependencies": ["two"], "stages": [{"name": "main", "rules": [m.sub("a", "b"), m.parallel(m.sub("c", "d"))]}], "aliases": {"v": m.text("o")}}
+    for name, x in {"one": json.dumps(spec), "two": json.dumps(spec | {"systemCode": "two", "dependencies": []}), "bad": "{", "list": "[]", "short": '{"systemCode": "x"}', "odd": json.dumps(spec | {"stages": [{"name": "main", "rules": [{}]}]})}.items():
+        (tmp_path / f"{name}.json").write_text(x)
+    files = catalog.map_files(spark, f"file://{tmp_path}")
+    assert sorted((r["system_code"], r["path"], r["kind"]) for r in catalog.parsed(files, "rules").collect()) == [(c, p, k) for c in ("one", "two") for p, k in (([0], "sub"), ([1], "parallel"), ([1, 0], "sub"))]
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in catalog.errors(files).collect()) == ["bad.json", "list.json", "odd.json", "short.json"]
+    own = [Engine([shared_folder_strategy(spark, f"file://{tmp_path}/")]).load_map("one")]
+    for name in ("maps", "rules", "aliases", "dependencies"):
+        here = getattr(catalog, f"{name}_table")(spark, own)
+        assert here.schema == catalog.parsed(files, name).schema and [r for r in catalog.parsed(files, name).collect() if r["system_code"] == "one" and (name != "maps" or r["dependencies"])] [: here.count()] == here.collect()
+    find = shared_folder_strategy(spark, f"file://{tmp_path}")
+    assert find("bad") is None and find("none") is None and find("two").system_code == "two"

@@ -81,7 +81,7 @@ def converted_columns(df: DataFrame, source: Column, candidates: list[tuple[str,
     for alike in by_end.values():
         n = common_end([p.steps for p in alike])
         end = alike[0].steps[len(alike[0].steps) - n :]
-        between = separators(end) if strategy == "auto" and len(alike) > 1 and sum(map(cost, end)) >= WORDS else None
+        between = separators(end) if strategy == "auto" and len(alike) > 1 and len(alike) * sum(map(cost, end)) >= WORDS else None
         if between:
             heads = [apply_steps(F.col("__shared"), p.steps[: len(p.steps) - n], strategy) for p in alike]
             names = [f"__shared{len(made) + i}" for i in range(len(alike))]

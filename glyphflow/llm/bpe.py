@@ -14,15 +14,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 from .common import kept
 
-#: Words kept by a coder (by the trie's: new ones cost more); it starts anew beyond.
-KEPT_WORDS, TRIE_WORDS = 300_000, 600_000
+#: Units kept by a coder, lately met and before; words kept by the trie's, where new ones cost more: it starts anew beyond.
+KEPT_WORDS, TRIE_WORDS = 250_000, 600_000
+#: Characters up to which what stands between blanks is kept.
+KEPT_LENGTH = 64
 END = "</w>"
+Unit = str | tuple[str] | int
 
 
 def byte_letters() -> list[str]:
@@ -80,62 +85,89 @@ class Words:
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class(letters)}]+|[{_class(digits)}]|[^{_class(sorted(letters + digits + blanks))}]+")
         self.bytes = {x: b for b, x in enumerate(byte_letters())}
 
-    def plain(self, text: str) -> list[str]:
-        """The words of a text without special strings."""
-        if not self.odd.search(text):
-            return self.word.findall(text.lower())
-        t = self.tokenizer
-        pieces = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
-        return [bytes(map(self.bytes.__getitem__, x)).decode("utf-8") for x, _ in pieces]
+    def _parts(self, text: str, cut: Callable[[str], list[str]], whole: Callable[[str], str | tuple[str]]) -> list:
+        """A text's parts by cut(), if its treatment is the same in every Unicode version, else the library's words, as whole() gives them; and the ids of special strings in it."""
+        if self.cut is not None and any(x in text for x in self.marks):
+            parts = self.cut.split(text)
+        else:
+            parts = [text]
+        out: list[Unit] = []
+        for i, part in enumerate(parts):
+            if i % 2:
+                out.append(self.special[part])
+            elif not self.odd.search(part):
+                out += cut(part.lower())
+            else:
+                t = self.tokenizer
+                pieces = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(part))
+                out += [whole(bytes(map(self.bytes.__getitem__, x)).decode("utf-8")) for x, _ in pieces]
+        return out
 
     def split(self, text: str) -> list[str | int]:
         """The words of a text, and the ids of special strings in it."""
-        if self.cut is None or not any(x in text for x in self.marks):
-            return self.plain(text)
-        out: list[str | int] = []
-        for i, part in enumerate(self.cut.split(text)):
-            out += [self.special[part]] if i % 2 else self.plain(part) if part else []
-        return out
+        return self._parts(text, self.word.findall, str)
+
+    def units(self, text: str) -> list[Unit]:
+        """Fewer parts that a text's ids are put together from: what stands between blanks (no word holds one), single words of texts that the library split, ids of special strings."""
+        return self._parts(text, str.split, lambda w: (w,))
+
+    def of(self, unit: str | tuple[str]) -> list[str]:
+        """The words of a unit."""
+        return self.word.findall(unit) if isinstance(unit, str) else list(unit)
+
+
+class Known(dict):
+    """What units stand for; that of a new unit is made when it is first asked for. Long units aren't kept."""
+
+    def __init__(self, make: Callable, fixed: dict):
+        super().__init__(fixed)
+        self.make = make
+
+    def __missing__(self, unit: str | tuple[str]):
+        made = self.make(unit)
+        if len(unit if isinstance(unit, str) else unit[0]) <= KEPT_LENGTH:
+            self[unit] = made
+        return made
 
 
 class LibraryCoder:
-    """Ids of words by the library: new words in one call, parted by their word ends."""
+    """Ids of units. The library's model encodes new words; normalising and splitting them is done."""
 
     def __init__(self, words: Words):
-        self.words, self.known = words, {i: np.array([i], dtype="<u4").tobytes() for i in words.special.values()}
-        self.ends = np.zeros(max([*words.tokenizer.get_vocab().values()]) + 1, dtype=bool)
-        self.ends[[i for x, i in words.tokenizer.get_vocab().items() if x.endswith(END)]] = True
-        self.own = len(self.known)
+        self.words, self.model = words, words.tokenizer.model
+        self.letters = byte_letters()
+        self.special = {i: self.value([i]) for i in words.special.values()}
+        # What was met lately, and before that: frequent units move on to the new ones.
+        self.known, self.old = Known(self.learn, self.special), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        self.forget()
-        split = [self.words.split(x) for x in texts]
-        self.learn_new(split)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        get = self.lookup()
+        return [b"".join(map(get, self.words.units(x))) for x in texts]
 
-    def forget(self) -> None:
-        """Starts anew if too many words are kept."""
+    def lookup(self) -> Callable:
+        """What a unit stands for, by the unit."""
         if len(self.known) > KEPT_WORDS:
-            self.__init__(self.words)
-
-    def learn_new(self, split: list[list[str | int]]) -> None:
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 5000):
-            self.learn(new[i : i + 5000])
-
-    def learn(self, new: list[str]) -> None:
-        encode = self.words.tokenizer.encode
-        # The fast call makes the same ids, without offsets.
-        ids = np.array(self.words.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(new):
-            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.known.update(zip(new, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
-        else:
-            for w in new:
-                self.known[w] = np.array(encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.old, self.known = self.known, Known(self.learn, self.special)
+        return self.known.__getitem__
+
+    def learn(self, unit: str | tuple[str]):
+        met = dict.get(self.old, unit)
+        if met is not None:
+            return met
+        own = self.words.of(unit)
+        return self.value(self.ids(own[0])) if len(own) == 1 else self.joined(map(self.known.__getitem__, own))
+
+    def ids(self, word: str) -> list[int]:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
+        return [t.id for t in self.model.tokenize(word)]
+
+    def value(self, ids: list[int]):
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def joined(self, values: Iterable):
+        return b"".join(values)
 
 
 class TrieCoder:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,11 +81,14 @@ class WordCounts(LibraryCoder):
     """Numbers of tokens of texts: of each word met before, its number is kept."""
 
     def __call__(self, texts: list[str]) -> list[int]:
-        self.forget()
-        split = [self.words.split(x) for x in texts]
-        self.learn_new(split)
-        size = {w: len(self.known[w]) // 4 for w in set().union(*split)}.__getitem__
-        return [sum(map(size, x)) for x in split]
+        get = self.lookup()
+        return [sum(map(get, self.words.units(x))) for x in texts]
+
+    def value(self, ids: list[int]) -> int:
+        return len(ids)
+
+    def joined(self, values: Iterable[int]) -> int:
+        return sum(values)
 
 
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Counter:

@@ -397,6 +397,20 @@ def test_words_learnt_without_offsets():
     assert coder([text]) == [expected]
 
 
+def test_units_between_blanks(tokenizer, monkeypatch):
+    """Units with marks, contractions, special strings, odd characters and long runs, kept in two small generations."""
+    from glyphflow.llm import token_count
+
+    texts = ["", " \n", "It's can't 'sure' x,y,,z! 12a34", "a\u00a0b\tc\x0bd", "<|endoftext|>a<|endoftext|>", "e\u0301a \u05e9\u05dc abc,\u05e9 a'\u0301s", "q\x1cr\x85s", "ab1" * 500 + ". " + "!" * 300, words(7, 60) + " été, Ünïcode."] * 2
+    expected = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for most in (0, 5, 10**6):
+        monkeypatch.setattr(bpe, "KEPT_WORDS", most)
+        coder, counts = bpe.LibraryCoder(bpe.Words(PATH)), token_count.WordCounts(bpe.Words(PATH))
+        for x, ids in zip(texts, expected, strict=True):
+            assert np.frombuffer(coder([x])[0], "<u4").tolist() == ids and counts([x]) == [len(ids)]
+        assert all(isinstance(x, int) or len(x) <= bpe.KEPT_LENGTH for x in coder.known)
+
+
 def test_equal_hashes(spark):
     """Different sets whose first hashes meet are told apart by the second."""
     info = spark.createDataFrame([(1, 3, 7, 70, b"a"), (2, 3, 7, 71, b"b"), (3, 3, 8, 80, b"c"), (4, 3, 7, 70, b"a")], "doc_id long, n_shingles long, node long, check long, point binary")

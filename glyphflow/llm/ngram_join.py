@@ -178,11 +178,16 @@ class Sets:
     """Sets of the documents that stand for their nodes, and what tasks need to make them."""
 
     def __init__(self, docs: DataFrame, info: DataFrame, nodes: DataFrame, size: int, collided: frozenset[int]):
-        """info: doc_id, node. Rows whose sets other rows stand for are left out if few enough to tell every task; else they count as what they are, copies."""
+        """info: doc_id, node. Rows whose sets other rows stand for are left out, however many: else the shingles of every text with many copies would be common ones.
+
+        A few are told to every task; of more, the rows that stand for nodes are picked by their ids.
+        """
         self.docs, self.size, self.collided = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")), size, collided
         copies = salted_join(info.filter("doc_id is not null").select("doc_id", "node"), nodes.select("node", F.col("doc_id").alias("first")), "node", "doc_id").filter("doc_id <> first").select("doc_id")
         few = copies.join(nodes.select("doc_id"), "doc_id", "left_anti").distinct().limit(BROADCAST_IDS + 1).toArrow()
-        ids = np.sort(few.column(0).to_numpy()) if few.num_rows <= BROADCAST_IDS else np.empty(0, dtype=np.int64)
+        ids = np.sort(few.column(0).to_numpy())
+        if len(ids) > BROADCAST_IDS:
+            ids, self.docs = np.empty(0, dtype=np.int64), by_ids(self.docs, nodes, inside=True)
         self.skipped: Broadcast = docs.sparkSession.sparkContext.broadcast(ids)
 
     def reader(self):

@@ -316,33 +316,53 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-#: Bits of a HashFilter for each of its numbers (one in so many other numbers is found too), and the most bits it may have: 128 MB.
-FILTER_RATIO, FILTER_BITS = 16, 30
+#: Bits of a HashFilter for each of its numbers (one in twenty other numbers is found too), and the most bits it may have: 64 MB.
+FILTER_RATIO, FILTER_BITS = 8, 29
 #: Numbers that such a filter can hold.
 FILTER_KEYS = (1 << FILTER_BITS) // FILTER_RATIO
+#: Where the second of a number's two bits is taken from: both together need no more than the lowest 48.
+SECOND = 19
+#: Words of a filter that the driver takes at once: 16 MB with their places.
+FILTER_WORDS = 1 << 20
 
 
 class HashFilter:
-    """A set of 64-bit numbers as bits at their lowest bits, sized by their count. Numbers of the set are always found; of others about one in FILTER_RATIO."""
+    """A set of 64-bit numbers, each as two bits at what its lowest 48 bits say, sized by their count. Numbers of the set are always found; of others about one in twenty."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        x = x.view(np.uint64)
+    def _at(self, x: np.ndarray) -> np.ndarray:
         low = x & np.uint64(len(self.words) * 64 - 1)
         return (self.words[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = x.view(np.uint64)
+        found = self._at(x)
+        found[found] = self._at(x[found] >> np.uint64(SECOND))
+        return found
+
 
 def hash_filter(df: DataFrame, column: str, n: int) -> HashFilter:
-    """The filter of a column of n 64-bit numbers, at most FILTER_KEYS: past those it would be full, and the caller needs a join."""
+    """The filter of a column of n 64-bit numbers, at most FILTER_KEYS: past those it would be full, and the caller needs a join.
+
+    The driver takes the filter's words in parts: beside the filter itself it holds one part.
+    """
     if n > FILTER_KEYS:
         raise ValueError(f"{n} numbers are too many for a filter")
     bits = max(10, (n * FILTER_RATIO - 1).bit_length() if n else 0)
-    low = F.col(column).bitwiseAND((1 << bits) - 1)
-    words = df.select(F.shiftright(low, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    both = df.select(F.explode(F.array(*[F.shiftright(column, k).bitwiseAND((1 << bits) - 1) for k in (0, SECOND)])).alias("low"))
+    words = both.select(F.shiftright("low", 6).alias("at"), F.expr("shiftleft(1L, cast(low & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    parts = -(-len(out) // FILTER_WORDS)
+    stored = checkpointed(words) if parts > 1 else words
+    for k in range(parts):
+        part = (stored.filter((F.col("at") >= k * FILTER_WORDS) & (F.col("at") < (k + 1) * FILTER_WORDS)) if parts > 1 else words).toArrow()
+        out[part.column("at").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
+        del part
+        give_back()
+    if parts > 1:
+        forget(stored)
     return HashFilter(out)
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
 from typing import TYPE_CHECKING
 
-import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import texts
+
 if TYPE_CHECKING:
     from ..operators.trie import CompiledTable
 
@@ -49,9 +51,8 @@ def separate(c: Column, options: Mapping | None = None) -> Column:
 
 
 def _normaliser(form: str) -> Callable:
-    @F.pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else unicodedata.normalize(form, x))
+    def normal(c: Column) -> Column:
+        return texts(c, lambda: lambda x: unicodedata.normalize(form, x))
 
     return normal
 
@@ -135,25 +136,90 @@ def parallel_single_pass(c: Column, pairs: Mapping[str, str], matchers: Sequence
 
     matchers: (pattern with any look-around, replacement). Ties by length are more than one alternation can say: an Arrow UDF.
     """
+    return texts(c, lambda: single_pass(pairs, matchers))
+
+
+#: What makes a match depend on where the search began, or start elsewhere than the search says: such patterns are tried place by place.
+_PLACED = regex.compile(r"\\[GK]|\(\*|(?<!\\[pPNx])\{[^}]*[<a-z]")
+_FLAGS = regex.REVERSE | regex.BESTMATCH | regex.ENHANCEMATCH | regex.POSIX
+#: Keys up to which one alternation finds the next; of more, their first characters are looked for.
+ALTERNATIVES = 64
+
+
+def single_pass(pairs: Mapping[str, str], matchers: Sequence[tuple[str, str]] = ()) -> Callable[[str], str]:
+    """parallel_single_pass() of one string. Each pattern's next match is searched for, and again only when the pass is beyond its start."""
     keys = {k: v for k, v in pairs.items() if k}
-    longest = max(map(len, keys), default=0)
-    tests = [(regex.compile(p), r) for p, r in matchers]
+    # Functions of (text, place) that give the next match from there on, as start, end and value; the table's comes first.
+    finders = ([_next_key(keys)] if keys else []) + [_next_match(regex.compile(p), r) for p, r in matchers]
+    n = range(len(finders))
 
     def convert(text: str) -> str:
-        out, i = [], 0
-        while i < len(text):
-            size = next((n for n in range(min(longest, len(text) - i), 0, -1) if text[i : i + n] in keys), 0)
-            found = keys.get(text[i : i + size], "") if size else None
-            for p, r in tests:
-                m = p.match(text, i)
-                if m and m.end() - i > size:
-                    size, found = m.end() - i, r
-            out.append(text[i] if found is None else found)
-            i += size or 1
+        out, i, end = [], 0, len(text)
+        none = (end, end, "")
+        found = [f(text, 0) or none for f in finders]
+        while found:
+            best = found[0]
+            for x in found:
+                if x[0] < best[0] or x[0] == best[0] and x[1] > best[1]:
+                    best = x
+            if best[0] >= end:
+                break
+            out.append(text[i : best[0]])
+            out.append(best[2])
+            i = best[1]
+            for k in n:
+                if found[k][0] < i:
+                    found[k] = finders[k](text, i) or none
+        out.append(text[i:])
         return "".join(out)
 
-    @F.pandas_udf("string")
-    def single(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else convert(x))
+    return convert
+
+
+def _next_key(keys: dict[str, str]) -> Callable[[str, int], tuple[int, int, str] | None]:
+    if len(keys) <= ALTERNATIVES:
+        search = re.compile("|".join(map(re.escape, sorted(keys, key=len, reverse=True)))).search
+
+        def find(text: str, at: int) -> tuple[int, int, str] | None:
+            m = search(text, at)
+            return m and (m.start(), m.end(), keys[m[0]])
+
+        return find
+    sizes = sorted(set(map(len, keys)), reverse=True)
+    start = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in keys}))) + "]").search
+
+    def look(text: str, at: int) -> tuple[int, int, str] | None:
+        while m := start(text, at):
+            at = m.start()
+            for n in sizes:
+                # A slice that the text's end cuts short is a shorter key, which is found by its own size.
+                if (value := keys.get(text[at : at + n])) is not None and at + n <= len(text):
+                    return at, at + n, value
+            at += 1
+        return None
+
+    return look
+
+
+def _next_match(pattern: regex.Pattern, value: str) -> Callable[[str, int], tuple[int, int, str] | None]:
+    if _PLACED.search(pattern.pattern) or pattern.flags & _FLAGS:
+
+        def step(text: str, at: int) -> tuple[int, int, str] | None:
+            while at < len(text):
+                m = pattern.match(text, at)
+                if m and m.end() > at:
+                    return at, m.end(), value
+                at += 1
+            return None
+
+        return step
+
+    def find(text: str, at: int) -> tuple[int, int, str] | None:
+        # An empty match is none.
+        while (m := pattern.search(text, at)) and m.end() == m.start():
+            at = m.end() + 1
+            if at > len(text):
+                return None
+        return m and (m.start(), m.end(), value)
 
-    return single(c)
+    return find

@@ -15,11 +15,11 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrow import text_lists, texts
 from ..functions.text import BUILT_IN
 from ..plans.compiler import Call, Delete, Fused, Replace, Step, Table
 from ..plans.cuts import separators
@@ -139,24 +139,12 @@ def by_words(convert: Callable[[str], str], between: str) -> Callable[[list[str
 def word_steps(c: Column, steps: list[Step], between: str) -> Column:
     """All steps in one Arrow UDF that converts each word once a task."""
 
-    @F.pandas_udf("string")
-    def converted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        convert = by_words(python_steps(steps), between)
-        for s in batches:
-            yield pd.Series(convert(s.tolist()), dtype=object)
-
-    return converted(c)
+    return text_lists(c, lambda: by_words(python_steps(steps), between))
 
 
 def arrow_steps(c: Column, steps: list[Step]) -> Column:
     """All steps in one Arrow UDF: a text crosses to Python once, however many rules there are."""
-    convert = python_steps(steps)
-
-    @F.pandas_udf("string")
-    def converted(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else convert(x))
-
-    return converted(c)
+    return texts(c, lambda: python_steps(steps))
 
 
 def apply_step(c: Column, step: Step, strategy: str = "auto") -> Column:
@@ -204,11 +192,7 @@ def call_column(c: Column, fn: Callable, options: dict | None = None) -> Column:
     if getattr(fn, "builds_column", False):
         return fn(c, options or {})
 
-    @F.pandas_udf("string")
-    def own(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else fn(x, options or {}))
-
-    return own(c)
+    return texts(c, lambda: lambda x: fn(x, options or {}))
 
 
 def disjoint(pairs: dict[str, str]) -> bool:
@@ -377,10 +361,4 @@ def _python_replace(step: Replace) -> Callable[[str], str]:
 
 
 def _replace_arrow(c: Column, step: Replace) -> Column:
-    convert = _python_replace(step)
-
-    @F.pandas_udf("string")
-    def replace(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else convert(x))
-
-    return replace(c)
+    return texts(c, lambda: _python_replace(step))

@@ -282,7 +282,9 @@ def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"schemaVersion": 1, "systemCode": "%s", "dependencies": ["part-%d", "size-%d"], "stages": [{"name": "main", "rules": [%s, %s]}, {"name": "second", "rules": [%s]}], "aliases": {"brand": %s}}',
         code, F.col("p_partkey") + 1, F.col("p_size"), own, nested, run, F.to_json(text(F.col("p_brand"))),
     )
-    return _table(spark, sf_dir, "part").select(code.alias("path"), spec.alias("spec"))
+    # A small file is one task however many rows it has: the parts are dealt out before they become much longer maps.
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition(2 * spark.sparkContext.defaultParallelism)
+    return parts.select(code.alias("path"), spec.alias("spec"))
 
 
 def _catalog_oracle() -> str:

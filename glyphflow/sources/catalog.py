@@ -18,8 +18,12 @@ DEPENDENCIES = "system_code string, dependency string, position int"
 ERRORS = "path string, error string"
 
 
+#: Made once: json.dumps makes an encoder at each call that asks for its own options.
+_ENCODE = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+
+
 def _json(x) -> str | None:
-    return None if x is None else json.dumps(x, ensure_ascii=False, sort_keys=True)
+    return None if x is None else _ENCODE(x)
 
 
 def _map_row(m: ScriptMap) -> tuple:

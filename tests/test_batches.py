@@ -26,3 +26,13 @@ def test_batches_are_bounded(spark):
     sizes = arrow.text_lists(F.col("text"), lambda: lambda xs: [str(sum(map(len, xs)))] * len(xs))
     found = df.select(sizes.alias("n")).agg(F.max(F.col("n").cast("long"))).first()[0]
     assert found <= 2 * arrow.BATCH_BYTES
+
+
+def test_catalog_is_dealt_out(spark, tmp_path):
+    """Parts of one small file are parsed by all tasks."""
+    from glyphflow import queries
+
+    columns = ["p_name", "p_brand", "p_type"]
+    spark.range(0, 400, 1, 1).select(F.col("id").alias("p_partkey"), *[F.lit(x).alias(x) for x in columns], F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    out = queries.QUERIES["catalog_rules"](spark, str(tmp_path))
+    assert out.count() == 2400 and out.select(F.spark_partition_id().alias("p")).distinct().count() > 1

@@ -11,10 +11,11 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bounded_batches, slices, strings
 from ..functions.text import distance, glob_regex, levenshtein, utf16_units
 from ..plans.compiler import Step
 from ..plans.cuts import separators
@@ -100,12 +101,15 @@ def converted_columns(df: DataFrame, source: Column, candidates: list[tuple[str,
 
 def words_of_many(inputs: list[Column], steps: list[Step], between: str) -> Column:
     """struct<x0, x1, ...>: each input converted by words, in one Arrow UDF that keeps the words of all."""
+    bounded_batches()
+    names = [f"x{i}" for i in range(len(inputs))]
 
-    @F.pandas_udf(", ".join(f"x{i} string" for i in range(len(inputs))))
-    def converted(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(f"{x} string" for x in names))
+    def converted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         convert = by_words(python_steps(steps), between)
         for columns in batches:
-            yield pd.DataFrame({f"x{i}": pd.Series(convert(c.tolist()), dtype=object) for i, c in enumerate(columns)})
+            for own in slices(*columns):
+                yield pa.StructArray.from_arrays([strings(convert(c.to_pylist())) for c in own], names)
 
     return converted(*inputs)
 

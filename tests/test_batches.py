@@ -1,6 +1,7 @@
 """Arrow UDFs get batches bounded by bytes; the single pass searches for matches instead of trying every place."""
 
 import random
+import threading
 import time
 
 from pyspark.sql import functions as F
@@ -36,3 +37,23 @@ def test_catalog_is_dealt_out(spark, tmp_path):
     spark.range(0, 400, 1, 1).select(F.col("id").alias("p_partkey"), *[F.lit(x).alias(x) for x in columns], F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
     out = queries.QUERIES["catalog_rules"](spark, str(tmp_path))
     assert out.count() == 2400 and out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_parts_are_bounded_in_any_session(spark):
+    """A worker holds about PART_BYTES of texts as strings, whatever bounds the batches of the session that runs the Column; rows stay in order, nulls null."""
+    other = spark.newSession()
+    x = F.when(F.col("id") % 7 != 0, F.repeat(F.lit("ж"), 5_000))
+    sizes = arrow.text_lists(F.col("text"), lambda: lambda xs: [t and f"{sum(len(y or '') for y in xs)}" for t in xs])
+    out = other.range(0, 3000, 1, 1).select("id", x.alias("text")).select("id", sizes.alias("n")).collect()
+    assert [r.id for r in out] == list(range(3000)) and all((r.n is None) == (r.id % 7 == 0) for r in out)
+    assert max(2 * int(r.n) for r in out if r.n) <= arrow.PART_BYTES
+
+
+def test_batches_are_bounded_from_a_thread(spark):
+    """A thread without an active session of its own bounds the process's."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    thread = threading.Thread(target=lambda: arrow.texts(F.col("text"), lambda: str))
+    thread.start()
+    thread.join()
+    assert spark.conf.get(key) == str(arrow.BATCH_BYTES)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import DependencyMissingError, MapNotFoundError, ScriptError, SystemConversionError
+from .functions.arrow import bounded_batches
 from .operators import detect as detection
 from .operators.rewrite import apply_steps, python_steps
 from .plans.compiler import Compiler, Step
@@ -82,6 +83,7 @@ class Engine:
 
     def detect_rows(self, df: DataFrame, source: str, output: str, *keys: str, map_pattern: str | None = None, candidates: Sequence[str] | None = None, utf16: bool = False, best: int | None = None) -> DataFrame:
         """A row for each row of df and candidate (or each of the best), with its rank. Steps that candidates share are computed once."""
+        bounded_batches(df.sparkSession)
         wide, converted = detection.converted_columns(df, F.col(source), self._candidates(map_pattern, candidates), self.strategy)
         seen = F.col(output)
         result = detection.ranked(converted, seen, utf16=utf16) if best is None else detection.best(converted, seen, best, utf16=utf16)
@@ -94,6 +96,7 @@ class Engine:
         tasks, converted and joined again. Maps whose rules may see past any character take each text whole. Null stays null; a
         text without a place to cut stays whole.
         """
+        bounded_batches(df.sparkSession)
         steps = self.steps(code, stage)
         between = separators(steps)
         if between is None:
@@ -112,6 +115,7 @@ class Engine:
 
         One Arrow UDF over the whole map, so that a function which raises for one text doesn't end the query.
         """
+        bounded_batches(df.sparkSession)
         convert = python_steps(self.steps(code, stage))
 
         @F.pandas_udf("converted string, error string")
@@ -128,6 +132,7 @@ class Engine:
 
     def register_sql(self, spark: SparkSession, name: str, code: str, stage: str | None = None) -> None:
         """A SQL function name(text), as an Arrow UDF over the same steps; in DataFrames transliterate() stays in the JVM."""
+        bounded_batches(spark)
         convert = python_steps(self.steps(code, stage))
 
         @F.pandas_udf("string")
@@ -138,6 +143,7 @@ class Engine:
 
     def register_detect_sql(self, spark: SparkSession, name: str, *, map_pattern: str | None = None, candidates: Sequence[str] | None = None, utf16: bool = False) -> None:
         """A SQL function name(source, output) that returns what detect() does, as an Arrow UDF."""
+        bounded_batches(spark)
         known = [(code, python_steps(steps)) for code, steps in self._candidates(map_pattern, candidates)]
 
         @F.pandas_udf(detection.RESULT)

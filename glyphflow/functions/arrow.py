@@ -17,15 +17,17 @@ PART_BYTES = 1 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches() -> None:
+def bounded_batches(spark: SparkSession | None = None) -> None:
     """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own. The setting stays, as Columns run later.
 
-    The session is the thread's, else the process's first one. A Column may run in another: slices() bounds what is held there.
+    What knows its DataFrame or session gives that one: it may be none that is active. Else the session is the thread's, or the
+    process's first one. A Column may run in another: slices() bounds what is held as strings there, but not the batch itself.
     """
-    try:
-        spark = SparkSession.active()
-    except PySparkRuntimeError:
-        return
+    if spark is None:
+        try:
+            spark = SparkSession.active()
+        except PySparkRuntimeError:
+            return
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 

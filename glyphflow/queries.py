@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import maps as m
 from .engine import Engine
 from .functions import text as fn
+from .functions.arrow import bounded_batches
 from .operators.trie import CompiledTable
 from .sources.catalog import parsed
 
@@ -21,6 +22,8 @@ ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, in a session whose Arrow batches are bounded: it need not be the active one."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

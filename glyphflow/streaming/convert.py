@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
+from ..functions.arrow import bounded_batches
 
 
 def convert_stream(stream: DataFrame, engine: Engine, code: str, column: str = "text", to: str = "converted") -> DataFrame:
     """A streaming DataFrame with a converted column."""
+    bounded_batches(stream.sparkSession)
     return stream.withColumn(to, engine.transliterate(column, code))
 
 

@@ -57,3 +57,27 @@ def test_batches_are_bounded_from_a_thread(spark):
     thread.start()
     thread.join()
     assert spark.conf.get(key) == str(arrow.BATCH_BYTES)
+
+
+def test_batches_are_bounded_in_the_session_that_runs(spark, tmp_path):
+    """Queries, and what takes a DataFrame, bound the batches of its session, though another one is active; a bound of its own stays."""
+    from glyphflow import queries
+    from glyphflow import maps as m
+
+    key, made = "spark.sql.execution.arrow.maxBytesPerBatch", lambda: spark.newSession()
+    spark.range(0, 50, 1, 1).select(F.col("id").alias("doc_id"), F.lit("é a").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("funcall_decompose", "parallel_large_table", "long_texts"):
+        other = made()
+        queries.QUERIES[name](other, str(tmp_path))
+        assert other.conf.get(key, None) == str(arrow.BATCH_BYTES)
+    e = queries.engine(*m.ukrainian())
+    for use in (e.convert_long, e.convert_rows):
+        other = made()
+        rows = other.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("Київ "), 1_000).alias("text"))
+        out = use(rows, "text", "bgnpcgn-ukr-Cyrl-Latn-2019", "id", to="out")
+        assert other.conf.get(key, None) == str(arrow.BATCH_BYTES)
+    assert out.select("out").distinct().collect()[0].out == "Kyiv " * 1_000
+    other = made()
+    other.conf.set(key, 1 << 20)
+    e.convert_long(other.range(1).select("id", F.lit("Київ").alias("text")), "text", "bgnpcgn-ukr-Cyrl-Latn-2019", "id")
+    assert other.conf.get(key) == str(1 << 20)

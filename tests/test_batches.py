@@ -81,3 +81,23 @@ def test_batches_are_bounded_in_the_session_that_runs(spark, tmp_path):
     other.conf.set(key, 1 << 20)
     e.convert_long(other.range(1).select("id", F.lit("Київ").alias("text")), "text", "bgnpcgn-ukr-Cyrl-Latn-2019", "id")
     assert other.conf.get(key) == str(1 << 20)
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    """What a task keeps of its words doesn't grow with its texts, however many words are new."""
+    import tracemalloc
+
+    from glyphflow.operators import rewrite
+
+    monkeypatch.setattr(rewrite, "KEPT_WORDS", 2_000)
+    convert = rewrite.by_words(str.upper, "[ ]")
+    tracemalloc.start()
+    try:
+        sizes = []
+        for k in range(100):
+            texts = [None, " ".join(f"ж{k}-{i}" for i in range(500)), "ж" * 100]
+            assert convert(texts) == [None, texts[1].upper(), texts[2].upper()]
+            sizes.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert max(sizes[10:]) < 1.5 * max(sizes[:10])
